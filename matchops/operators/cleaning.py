@@ -93,69 +93,84 @@ def with_derived(df: DataFrame) -> DataFrame:
     ).withColumn("kd_ratio", kd_ratio("kills", "deaths"))
 
 
-def dedup(df: DataFrame, keys=("player_id", "match_id"), order_col: str = "ingest_seq",
-          keep: str = "first") -> DataFrame:
+def _candidates(raw: DataFrame, cfg: Config, trim_ids: bool) -> DataFrame:
+    """(key, payload-if-valid, ordinal-if-valid) for the dedup aggregate.
+
+    Invalid rows keep a NULL ordinal, which min_by / max_by skip.  No
+    Filter sits below the aggregate: pushing one down would inline every
+    parse expression into the scan predicate once per reference.
+    """
+    tagged = tag_rows(raw, cfg)
+    valid = F.col("drop_reason").isNull()
+    pid, mid = F.col("player_id"), F.col("match_id")
+    if trim_ids:
+        pid, mid = strip_ws(pid), strip_ws(mid)
+    extra = [c for c in ("ingest_seq", "created_at") if c in tagged.columns]
+    payload = F.struct(
+        "region", "device",
+        *[F.col(c).try_cast("int").alias(c) if c in INT_COLUMNS else F.col(c)
+          for c in cfg.numeric_columns],
+        *extra,
+    )
+    return tagged.select(
+        pid.alias("player_id"), mid.alias("match_id"),
+        F.when(valid, payload).alias("_row"), F.when(valid, F.col("ingest_seq")).alias("_ord"),
+    )
+
+
+def dedup(cands: DataFrame, keep: str = "first") -> DataFrame:
     """B6 / B7 as an aggregate: min_by / max_by over the ordinal.
 
     A grouped aggregate combines map-side, so a key repeated a million
     times never meets in one task (a window would sort them together).
     """
-    others = [c for c in df.columns if c not in keys]
     pick = F.min_by if keep == "first" else F.max_by
-    agg = df.groupBy(*keys).agg(pick(F.struct(*others), F.col(order_col)).alias("_row"))
-    return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
+    agg = cands.groupBy("player_id", "match_id").agg(pick("_row", "_ord").alias("_row"))
+    kept = agg.filter(F.col("_row").isNotNull())
+    fields = [f.name for f in cands.schema["_row"].dataType.fields]
+    return kept.select("player_id", "match_id", *[F.col(f"_row.{c}").alias(c) for c in fields])
 
 
 def clean_matches(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Raw all-string records (+ ingest_seq) -> clean matches."""
-    tagged = tag_rows(raw, cfg)
-    valid = tagged.filter(F.col("drop_reason").isNull()).drop("drop_reason")
-    for c in INT_COLUMNS:
-        valid = valid.withColumn(c, F.col(c).try_cast("int"))
-    if cfg.dedup_after_trim:
-        valid = valid.withColumn("player_id", strip_ws("player_id")).withColumn(
-            "match_id", strip_ws("match_id"))
-    kept = dedup(valid, keep="first")
+    kept = dedup(_candidates(raw, cfg, cfg.dedup_after_trim), keep="first")
     return _finish(kept, cfg)
 
 
 def drop_accounting(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """A5: rows per outcome (first failing check, duplicate, kept) + input."""
+    """A5: rows per outcome (first failing check, duplicate, kept) + input.
+
+    One aggregate: counts per reason, and the distinct valid keys.
+    """
     tagged = tag_rows(raw, cfg)
-    by_reason = tagged.groupBy(
-        F.coalesce("drop_reason", F.lit("valid")).alias("outcome")
-    ).agg(F.count(F.lit(1)).alias("rows"))
-    valid = tagged.filter(F.col("drop_reason").isNull())
+    pid, mid = F.col("player_id"), F.col("match_id")
     if cfg.dedup_after_trim:
-        valid = valid.withColumn("player_id", strip_ws("player_id")).withColumn(
-            "match_id", strip_ws("match_id"))
-    kept = valid.select("player_id", "match_id").distinct().agg(F.count(F.lit(1)).alias("kept"))
-    valid_n = by_reason.filter(F.col("outcome") == "valid").agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("valid"))
-    tail = valid_n.crossJoin(kept).select(
-        F.explode(F.array(
-            F.struct(F.lit("duplicate").alias("outcome"), (F.col("valid") - F.col("kept")).alias("rows")),
-            F.struct(F.lit("kept").alias("outcome"), F.col("kept").cast("long").alias("rows")),
-        )).alias("r")
-    ).select("r.outcome", "r.rows")
-    total = tagged.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("input").alias("outcome"), "rows")
-    return (
-        by_reason.filter(F.col("outcome") != "valid")
-        .unionByName(tail).unionByName(total)
-        .select("outcome", F.col("rows").cast("long").alias("rows"))
+        pid, mid = strip_ws(pid), strip_ws(mid)
+    r = F.col("drop_reason")
+    checks = [x for x in REASONS if x not in ("duplicate", "kept")]
+    agg = tagged.agg(
+        F.count(F.lit(1)).alias("input"),
+        *[F.count_if(r == x).alias(x) for x in checks],
+        F.count_if(r.isNull()).alias("_valid"),
+        F.count_distinct(F.when(r.isNull(), F.struct(pid, mid))).alias("kept"),
     )
+    rows = [F.struct(F.lit(x).alias("outcome"), F.col(x).cast("long").alias("rows")) for x in checks]
+    rows += [
+        F.struct(F.lit("duplicate").alias("outcome"), (F.col("_valid") - F.col("kept")).cast("long").alias("rows")),
+        F.struct(F.lit("kept").alias("outcome"), F.col("kept").cast("long").alias("rows")),
+        F.struct(F.lit("input").alias("outcome"), F.col("input").cast("long").alias("rows")),
+    ]
+    out = agg.select(F.explode(F.array(*rows)).alias("o")).select("o.outcome", "o.rows")
+    # Checks that never fired are not listed (a GROUP BY would not list them).
+    return out.filter((F.col("rows") > 0) | F.col("outcome").isin("duplicate", "kept", "input"))
 
 
 def latest_submission_wins(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """B7 + H3: valid rows, re-sent keys resolved to the newest ordinal."""
-    tagged = tag_rows(raw, cfg)
-    valid = tagged.filter(F.col("drop_reason").isNull()).drop("drop_reason")
-    for c in INT_COLUMNS:
-        valid = valid.withColumn(c, F.col(c).try_cast("int"))
-    # Submissions are normalized on arrival, so the key is the trimmed id.
-    valid = valid.withColumn("player_id", strip_ws("player_id")).withColumn(
-        "match_id", strip_ws("match_id"))
-    kept = dedup(valid, keep="last")
+    """B7 + H3: valid rows, re-sent keys resolved to the newest ordinal.
+
+    Submissions are normalized on arrival, so the key is the trimmed id.
+    """
+    kept = dedup(_candidates(raw, cfg, True), keep="last")
     return _finish(kept, cfg)
 
 
