@@ -52,3 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="matchops-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for staged inputs, sinks and stream checkpoints.
+
+    It lives under the session's checkpoint folder, which on a cluster is
+    the shared location every executor (and a restarted driver) can reach.
+    """
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/matchops-work/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,4 +1,216 @@
-"""Registered streaming queries (filled in by the streaming plans)."""
+"""Registered streaming queries and their oracles.
 
-STREAM_QUERIES: dict = {}
-STREAM_ORACLE: dict = {}
+Each query stages rows Spark derives from the driver tables as parquet
+files under the shared work folder, runs a ``readStream`` over them with
+``trigger(availableNow=True)`` — in arrival stages against the same
+checkpoint, so later stages are new micro-batches of a restarted query —
+and returns the sink as a DataFrame.
+"""
+
+from __future__ import annotations
+
+from typing import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchops.config import DEFAULT
+from matchops.operators import history, ranking
+from matchops.plans import oracle
+from matchops.plans.batch import Analysis
+from matchops.session import work_dir
+from matchops.sources import fixtures
+from matchops.streaming import plans
+from matchops.streaming.verdicts import submission_verdicts
+
+LATE_DELAY = "10 minutes"     # watermark for the windowed rates
+DEDUP_DELAY = "40 days"       # covers the whole test span: copies meet state
+SPLIT_AT = "2024-01-16"       # arrival stages: first half of the month, then the rest
+
+
+def _matches(spark, sf_dir) -> DataFrame:
+    return fixtures.matches(spark, sf_dir).withColumn(
+        "ingest_seq", F.substring("match_id", 2, 64).cast("long"))
+
+
+def _resent(spark, sf_dir) -> DataFrame:
+    """Re-sent copies of every 109th match, one point more score."""
+    m = _matches(spark, sf_dir)
+    return m.filter(F.col("ingest_seq") % 109 == 0).withColumn(
+        "score", F.col("score") + 1).withColumn("ingest_seq", F.col("ingest_seq") + 1_000_000_000)
+
+
+def _halves(spark, sf_dir):
+    m = _matches(spark, sf_dir)
+    cut = F.lit(SPLIT_AT).cast("timestamp_ntz")
+    return [m.filter(F.col("created_at") < cut), m.filter(F.col("created_at") >= cut)]
+
+
+def _run(spark: SparkSession, base: str, stages, build, sink) -> None:
+    """Stage each input, then drain it with one availableNow run."""
+    schema = None
+    for i, stage in enumerate(stages):
+        stage.write.mode("overwrite").parquet(f"{base}/in/s{i:03d}")
+        if schema is None:
+            schema = spark.read.parquet(f"{base}/in/s{i:03d}").schema
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in/*")
+        q = sink(build(stream).writeStream.option("checkpointLocation", f"{base}/chk"))
+        q.trigger(availableNow=True).start().awaitTermination()
+
+
+def _to_parquet(out: str, mode: str = "append"):
+    return lambda w: w.outputMode(mode).format("parquet").option("path", out)
+
+
+def q_stream_rule_alerts(spark, sf_dir):
+    base = work_dir(spark, "alerts")
+    _run(spark, base, _halves(spark, sf_dir), plans.rule_alerts, _to_parquet(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out")
+
+
+def q_stream_dedup(spark, sf_dir):
+    base = work_dir(spark, "dedup")
+    stages = [_matches(spark, sf_dir), _resent(spark, sf_dir)]
+    _run(spark, base, stages, lambda s: plans.dedup_within_watermark(s, DEDUP_DELAY),
+         _to_parquet(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out").select("player_id", "match_id", "score")
+
+
+def _store_from_stream(spark, base, stages):
+    path = f"{base}/store"
+    _run(spark, base, stages, lambda s: s,
+         lambda w: w.foreachBatch(lambda df, bid: plans.append_to_store(df, bid, path)))
+    return path
+
+
+def q_stream_upsert(spark, sf_dir):
+    base = work_dir(spark, "upsert")
+    path = _store_from_stream(spark, base, [_matches(spark, sf_dir), _resent(spark, sf_dir)])
+    return plans.read_store(spark, path).select("player_id", "match_id", "region", "score")
+
+
+def q_stream_ingest_rate(spark, sf_dir):
+    base = work_dir(spark, "rate")
+    _run(spark, base, _halves(spark, sf_dir), lambda s: plans.windowed_counts(s, LATE_DELAY),
+         _to_parquet(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out")
+
+
+def q_stream_flagged_per_minute(spark, sf_dir):
+    base = work_dir(spark, "alert-rate")
+    _run(spark, base, _halves(spark, sf_dir), lambda s: plans.windowed_alerts(s, LATE_DELAY),
+         _to_parquet(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out")
+
+
+def q_stream_totals(spark, sf_dir):
+    base = work_dir(spark, "totals")
+    path = f"{base}/totals"
+    _run(spark, base, _halves(spark, sf_dir), plans.running_totals,
+         lambda w: w.outputMode("update").foreachBatch(
+             lambda df, bid: plans.append_totals(df, bid, path)))
+    return plans.read_totals(spark, path)
+
+
+def q_pruned_region_read(spark, sf_dir):
+    base = work_dir(spark, "store")
+    path = _store_from_stream(spark, base, _halves(spark, sf_dir))
+    return plans.read_store(spark, path, region="India").select(
+        "player_id", "match_id", "region", F.date_format("match_date", "yyyy-MM-dd").alias("match_date"),
+        "score")
+
+
+def q_zscore_refresh(spark, sf_dir):
+    base = work_dir(spark, "zrefresh")
+    path = _store_from_stream(spark, base, _halves(spark, sf_dir))
+    return history.zscore_outliers(Analysis(plans.read_store(spark, path)).flags)
+
+
+def q_topk_refresh(spark, sf_dir):
+    base = work_dir(spark, "topk")
+    path = _store_from_stream(spark, base, _halves(spark, sf_dir))
+    return Analysis(plans.read_store(spark, path)).top_k(DEFAULT.top_k)
+
+
+def q_stream_verdicts(spark, sf_dir):
+    """The re-sent copies arrive as submissions after the store is loaded."""
+    base = work_dir(spark, "verdicts")
+    verdicts = f"{base}/verdicts"
+    store = _store_from_stream(spark, f"{base}/load", [_matches(spark, sf_dir)])
+
+    def handle(batch, bid):
+        plans.append_to_store(batch, 1_000 + bid, store)
+        v = submission_verdicts(plans.read_store(spark, store), batch.drop("ingest_seq"))
+        v.withColumn("_batch", F.lit(int(bid))).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(verdicts)
+
+    _run(spark, base + "/subs", [_resent(spark, sf_dir)], lambda s: s,
+         lambda w: w.foreachBatch(handle))
+    return spark.read.parquet(verdicts).drop("_batch")
+
+
+STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_rule_alerts": q_stream_rule_alerts,
+    "stream_dedup": q_stream_dedup,
+    "stream_upsert": q_stream_upsert,
+    "stream_ingest_rate": q_stream_ingest_rate,
+    "stream_flagged_per_minute": q_stream_flagged_per_minute,
+    "stream_totals": q_stream_totals,
+    "pruned_region_read": q_pruned_region_read,
+    "zscore_refresh": q_zscore_refresh,
+    "topk_refresh": q_topk_refresh,
+    "stream_verdicts": q_stream_verdicts,
+}
+
+
+# --- oracles ------------------------------------------------------------
+
+_M = oracle.MATCHES
+_CLOSED = "time_bucket(INTERVAL '1 minute', created_at) + INTERVAL '1 minute' <= " \
+          "(SELECT max(created_at) FROM matches) - INTERVAL '10 minutes'"
+_UPSERTED = ("matches AS (SELECT player_id, match_id, region, device, ping, "
+             "CASE WHEN CAST(substr(match_id, 2) AS BIGINT) % 109 = 0 THEN score + 1 ELSE score END score, "
+             "kills, deaths, match_duration_seconds, created_at FROM base)")
+_BASE = "base AS (" + fixtures.duck_matches_cte() + ")"
+
+STREAM_ORACLE: dict[str, str] = {
+    "stream_rule_alerts": oracle.SQL["rule_flags_long"],
+    "stream_dedup": oracle._with(_M) + "SELECT player_id, match_id, score FROM matches",
+    "stream_upsert": oracle._with(_BASE, _UPSERTED) + "SELECT player_id, match_id, region, score FROM matches",
+    "stream_ingest_rate": oracle._with(_M) + f"""
+SELECT strftime(time_bucket(INTERVAL '1 minute', created_at), '%Y-%m-%d %H:%M:%S') window_start,
+  count(*) matches, count(*) / 60.0 matches_per_sec
+FROM matches WHERE {_CLOSED} GROUP BY 1""",
+    "stream_flagged_per_minute": oracle._with(_M, oracle.DERIVED, oracle.RULES) + f"""
+SELECT strftime(time_bucket(INTERVAL '1 minute', m.created_at), '%Y-%m-%d %H:%M:%S') window_start,
+  count(*) flagged_matches, count(DISTINCT m.player_id) flagged_players
+FROM m WHERE EXISTS (SELECT 1 FROM rf WHERE rf.player_id = m.player_id AND rf.match_id = m.match_id)
+  AND {_CLOSED.replace('created_at)', 'm.created_at)', 1)}
+GROUP BY 1""",
+    "stream_totals": oracle._with(_M) + """
+SELECT player_id, sum(score) total_score, CAST(sum(kills) AS BIGINT) total_kills,
+  CAST(sum(deaths) AS BIGINT) total_deaths, count(*) matches_played FROM matches GROUP BY player_id""",
+    "pruned_region_read": oracle._with(_M) + """
+SELECT player_id, match_id, region, strftime(CAST(created_at AS DATE), '%Y-%m-%d') match_date, score
+FROM matches WHERE region = 'India'""",
+    "zscore_refresh": oracle.SQL["zscore_outliers"],
+    "topk_refresh": oracle.SQL["top10_players"],
+    "stream_verdicts": oracle._with(_BASE, _UPSERTED, *oracle.BASE[1:], oracle.REASONS, """pages AS (
+  SELECT fl.player_id, fl.severity, string_agg(rs.reason, '; ' ORDER BY rs.pos) flag_reasons,
+    CAST((rs.pos - 1) // 1000 AS INTEGER) page
+  FROM fl JOIN rs ON fl.player_id = rs.player_id
+  GROUP BY fl.player_id, fl.severity, CAST((rs.pos - 1) // 1000 AS INTEGER)),
+subs AS (SELECT player_id, match_id FROM m WHERE CAST(substr(match_id, 2) AS BIGINT) % 109 = 0),
+own AS (
+  SELECT subs.player_id, subs.match_id,
+    string_agg(rf.reason, '; ' ORDER BY CASE rf.rule_code WHEN 'SCORE_RATE' THEN 1 WHEN 'ZERO_DEATH' THEN 2
+      WHEN 'SHORT_HIGH' THEN 3 WHEN 'EXTREME_KILLS' THEN 4 ELSE 5 END) reasons, count(rf.rule_code) fired
+  FROM subs LEFT JOIN rf ON subs.player_id = rf.player_id AND subs.match_id = rf.match_id
+  GROUP BY subs.player_id, subs.match_id)""") + """
+SELECT own.player_id, own.match_id,
+  CASE WHEN own.fired > 0 OR pages.severity IS NOT NULL THEN 'flagged' ELSE 'clean' END status,
+  coalesce(pages.severity, 'None') severity,
+  CASE WHEN pages.severity IS NOT NULL THEN pages.flag_reasons ELSE coalesce(own.reasons, '') END reasons,
+  coalesce(pages.page, 0) page
+FROM own LEFT JOIN pages ON own.player_id = pages.player_id""",
+}
