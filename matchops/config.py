@@ -81,11 +81,13 @@ class Config:
     # partition count is derived from the data size, never fixed.
     rows_per_range_partition: int = 2_000_000
     min_range_partitions: int = 1
-    # Keys with more rows than max(hot_key_min_rows, total/hot_key_max_count)
-    # take the broadcast path of the skew-aware join; at most
-    # hot_key_max_count keys can qualify, which bounds the broadcast.
+    # Keys with more than hot_key_min_rows rows are salted in the
+    # skew-aware join (ceil(rows / hot_key_min_rows) salts, at most
+    # max_salts); at most hot_key_max_count keys qualify, which bounds the
+    # broadcast hot-key table.
     hot_key_min_rows: int = 1_000_000
     hot_key_max_count: int = 1000
+    max_salts: int = 1024
     # Broadcast of a derived table happens only below this many rows.
     broadcast_row_limit: int = 100_000
     severity_levels: tuple[str, ...] = field(default=("Low", "Medium", "High"))

@@ -73,7 +73,9 @@ def fixed2(x) -> Column:
         (n / 100).cast("long").cast("string"), F.lit("."),
         F.lpad((n % 100).cast("string"), 2, "0"),
     )
-    signed = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), body)
+    # Python keeps the sign of negative zero ('-0.00').
+    negative = (v < 0) | ((v == 0) & v.cast("string").startswith("-"))
+    signed = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), body)
     return (
         F.when(v.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(v), F.lit("nan"))

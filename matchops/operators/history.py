@@ -3,7 +3,7 @@
 Moments come from the single player aggregate.  Only histories long
 enough for |z| to exceed the limit ((n-1)/sqrt(n) > limit, n >= 11 for
 3.0) are joined back — a pruning that cannot change a flag — and the
-join splits hot players off to a broadcast path (see ``joins``).
+join salts hot players over many reducers (see ``joins``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
 from matchops.functions.text import fixed2
-from matchops.operators.joins import skew_aware_join
+from matchops.operators.joins import salted_join
 from matchops.operators.players import player_moments
 from matchops.operators.rules import DEFAULT_RULES, flag_struct, rule_flags
 
@@ -49,13 +49,12 @@ def match_flags(matches: DataFrame, profile: DataFrame, cfg: Config = DEFAULT,
         "match_duration_seconds", "score_per_second",
         *[c for c in ("created_at",) if c in matches.columns],
     )
-    joined = skew_aware_join(base, moments, "player_id", "_history", "left", cfg)
+    joined = salted_join(base, moments, "player_id", "_history", "match_id", "left", cfg)
     out = joined.select(
         *base.columns,
         rule_flags(cfg, rules).alias("rule_flags"),
         stat_flags(cfg).alias("stat_flags"),
-        F.when(F.col("_history").isNotNull(), F.col("mean_score")).alias("mean_score"),
-        F.col("std_score"), F.col("mean_kills"), F.col("std_kills"),
+        "mean_score", "std_score", "mean_kills", "std_kills",
     )
     return out.withColumn("all_flags", F.concat("rule_flags", "stat_flags"))
 

@@ -1,12 +1,15 @@
-"""Skew-aware equi-join of a fact table to a per-key table.
-
-The per-key side carries a row count per key (it is an aggregate of the
-fact table).  Keys above a threshold are "hot": the top
-``hot_key_max_count`` of them by count are taken with ORDER BY … LIMIT
-(bounded by construction) and joined by broadcast, map-side, so a key
-with a third of all rows is spread over every map task instead of one
-reducer.  The remaining rows take an ordinary shuffle join, where AQE
-still picks broadcast when the per-key side is small at run time.
+"""Skew-aware equi-join of a fact table to a per-key table (salting).
+
+The per-key side is an aggregate of the fact table and carries its row
+count per key.  Keys with more than ``hot_key_min_rows`` rows are "hot";
+at most ``hot_key_max_count`` of them are taken (ORDER BY count DESC
+LIMIT k, so the table is bounded by construction and safe to broadcast).
+A hot key gets ceil(rows / hot_key_min_rows) salts (capped): its fact
+rows spread over that many join keys (key, salt) by a hash of a unique
+column, and its per-key row is repeated once per salt.  Every other key
+has the single salt 0.  The plan is one scan of the fact table, a
+map-side broadcast tag, and one shuffle join on (key, salt) — a key with
+a third of all rows lands on many reducers instead of one.
 """
 
 from __future__ import annotations
@@ -16,20 +19,38 @@ from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
 
+_SALTS, _SALT = "_salts", "_salt"
+
 
 def hot_keys(per_key: DataFrame, key: str, count_col: str, cfg: Config = DEFAULT) -> DataFrame:
+    """(key, salts) for the heaviest keys; at most ``hot_key_max_count`` rows."""
+    salts = F.least(
+        F.lit(cfg.max_salts),
+        F.ceil(F.col(count_col) / F.lit(float(cfg.hot_key_min_rows))),
+    ).cast("int")
     return (
         per_key.filter(F.col(count_col) > cfg.hot_key_min_rows)
         .orderBy(F.col(count_col).desc(), F.col(key))
         .limit(cfg.hot_key_max_count)
+        .select(key, salts.alias(_SALTS))
     )
 
 
-def skew_aware_join(fact: DataFrame, per_key: DataFrame, key: str, count_col: str,
-                    how: str = "left", cfg: Config = DEFAULT) -> DataFrame:
-    """``fact JOIN per_key USING (key)`` with the hot keys split off."""
+def salted_join(fact: DataFrame, per_key: DataFrame, key: str, count_col: str,
+                spread_col: str, how: str = "left", cfg: Config = DEFAULT) -> DataFrame:
+    """``fact JOIN per_key USING (key)`` with hot keys spread over salts.
+
+    ``spread_col`` should be (close to) unique per fact row, e.g. a match id.
+    """
     hot = F.broadcast(hot_keys(per_key, key, count_col, cfg))
-    hot_ids = hot.select(key)
-    hot_part = fact.join(hot_ids, key, "left_semi").join(hot, key, how)
-    cold_part = fact.join(hot_ids, key, "left_anti").join(per_key, key, how)
-    return cold_part.unionByName(hot_part)
+    tagged = fact.join(hot, key, "left").select(
+        *fact.columns,
+        F.when(F.col(_SALTS).isNull(), F.lit(0))
+        .otherwise(F.pmod(F.xxhash64(F.col(spread_col)), F.col(_SALTS)).cast("int"))
+        .alias(_SALT),
+    )
+    expanded = per_key.join(hot, key, "left").select(
+        *per_key.columns,
+        F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)).alias(_SALT),
+    )
+    return tagged.join(expanded, [key, _SALT], how).drop(_SALT)

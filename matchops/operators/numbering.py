@@ -20,6 +20,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +53,18 @@ def ordered_row_number(
     n = range_partitions(df, num_partitions)
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order)
 
+    # The range sampler and the shuffle map stage both read the input;
+    # keeping it for their duration runs the upstream plan once.  (The
+    # checkpoint writer's second pass only re-reads the shuffle output.)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = (
-        df.repartitionByRange(n, *keys)
+        src.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn(_PART, F.spark_partition_id())
         .withColumn(_SEQ, F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
+    src.unpersist()
 
     pieces = ranged.groupBy(_PART, *group_cols).agg(
         F.count(F.lit(1)).alias(_CNT), F.min(_SEQ).alias(_FIRST)
