@@ -192,6 +192,19 @@ def q_canonical_regions(spark, sf_dir):
     return timeline.canonical_regions(spark, players.player_totals(a.profile))
 
 
+def q_report_by_name(spark, sf_dir):
+    """A10 + A11: every published report, as JSON records, by name."""
+    from matchops.plans.reports import REPORT_NAMES
+    from matchops.sources import sinks
+
+    a = _analysis(spark, sf_dir)
+    out = None
+    for name in REPORT_NAMES:
+        part = sinks.json_records(sinks.report(a, name)).select(F.lit(name).alias("report"), "record")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES: dict[str, Query] = {
     "clean_matches": q_clean_matches,
     "drop_accounting": q_drop_accounting,
@@ -226,4 +239,5 @@ QUERIES: dict[str, Query] = {
     "flagged_per_minute": q_flagged_per_minute,
     "season_leaderboard": q_season_leaderboard,
     "canonical_regions": q_canonical_regions,
+    "report_by_name": q_report_by_name,
 }
