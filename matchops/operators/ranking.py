@@ -41,11 +41,12 @@ def board_input(profile: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def _board(players: DataFrame, group_cols=()) -> DataFrame:
-    clean = players.filter(F.col("status") == "clean")
-    ranked = ordered_row_number(clean, rank_order(), group_cols=group_cols, out="rank")
-    review = players.filter(F.col("status") == "under_review").withColumn(
-        "rank", F.lit(None).cast("long"))
-    return ranked.unionByName(review).select(*BOARD_COLUMNS)
+    """One numbering over every player, grouped by status: clean players
+    get their position as rank, under-review players a NULL rank."""
+    numbered = ordered_row_number(players, rank_order(), group_cols=["status", *group_cols], out="_pos")
+    return numbered.withColumn(
+        "rank", F.when(F.col("status") == "clean", F.col("_pos")).cast("long")
+    ).select(*BOARD_COLUMNS)
 
 
 def leaderboard_global(profile: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -38,20 +38,25 @@ def severity_order(sev: Column) -> Column:
     return F.when(sev == "High", 0).when(sev == "Medium", 1).when(sev == "Low", 2).otherwise(3)
 
 
-def flag_counts(flags: DataFrame) -> DataFrame:
-    """E5 (+ E9 later): totals, flagged and gameplay-flagged matches, max severity."""
+def flag_counts(hits: DataFrame, profile: DataFrame) -> DataFrame:
+    """E5 + E9: per flagged player, from the flagged matches only.
+
+    ``hits`` holds one row per match with at least one flag, so players
+    without flags never appear; the match total comes from the profile.
+    """
     max_sev = F.array_max(F.transform("all_flags", lambda f: severity_rank(f["severity"])))
-    return flags.groupBy("player_id").agg(
-        F.count(F.lit(1)).alias("total_matches_count"),
-        F.count_if(F.size("all_flags") > 0).alias("flagged_matches_count"),
+    c = hits.groupBy("player_id").agg(
+        F.count(F.lit(1)).alias("flagged_matches_count"),
         F.count_if(F.exists("rule_flags", lambda f: f["is_gameplay"])).alias("gameplay_matches_count"),
         F.max(max_sev).alias("base_rank"),
     )
+    totals = profile.select("player_id", F.col("matches_played").alias("total_matches_count"))
+    return c.join(totals, "player_id")
 
 
-def flagged_players(flags: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def flagged_players(hits: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Flagged players with base severity and escalation."""
-    c = flag_counts(flags).filter(F.col("flagged_matches_count") > 0)
+    c = flag_counts(hits, profile)
     ratio = F.col("gameplay_matches_count") / F.col("total_matches_count")
     escalate = (
         (F.col("total_matches_count") >= cfg.escalation_min_matches)
@@ -69,13 +74,13 @@ def flagged_players(flags: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def reasons_long(flags: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def reasons_long(hits: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Distinct reasons per flagged player, escalation text last.
 
     ``reason_pos`` is the 1-based position in the report: code-point
     order of the reasons, then the escalation line.
     """
-    distinct = flags.select("player_id", F.explode("all_flags").alias("f")).select(
+    distinct = hits.select("player_id", F.explode("all_flags").alias("f")).select(
         "player_id", F.col("f.text").alias("reason"), F.lit(0).alias("_last")
     ).distinct()
     esc = flagged.filter("escalated").select(
@@ -89,13 +94,13 @@ def reasons_long(flags: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) ->
     return numbered.select("player_id", "reason", "reason_pos")
 
 
-def suspicious_report(flags: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def suspicious_report(hits: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The report: one row per flagged player (per page of reasons).
 
     ``flag_reasons`` joins the reasons with "; "; a player whose reason
     list is longer than ``page_size`` spans pages 0, 1, …
     """
-    reasons = reasons_long(flags, flagged, cfg)
+    reasons = reasons_long(hits, flagged, cfg)
     pages = text_pages(reasons, ["player_id"], "reason_pos", "reason",
                        cfg.reason_separator, cfg.page_size, "flag_reasons")
     return flagged.join(pages, "player_id").select(

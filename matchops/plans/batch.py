@@ -1,60 +1,69 @@
 """One batch analysis over a clean ``matches`` DataFrame.
 
-``Analysis`` wires the operators together and shares the two
-intermediates every report reads: the player profile (one aggregate) and
-the per-player verdicts.  ``persist=True`` keeps them across the four
-reports of one run (``reports.write_reports``); the registered queries
-build their own plans and let each action compute what it needs.
+``Analysis`` wires the operators together.  Two small intermediates are
+cut from their lineage with a reliable checkpoint (the session's
+checkpoint folder) the first time they are needed:
+
+* ``profile`` — one row per player (totals, averages, moments, modes);
+* ``hits`` — only the matches that carry a flag (rule or z-score).
+
+Every report then reads those two tables, so the match table is scanned
+exactly twice per analysis (the player aggregate, the flag join) however
+many reports are built, and a lost executor recomputes from the
+checkpoint instead of from the raw scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
 from matchops.operators import history, lobbies, players, ranking, severity
 from matchops.operators.cleaning import with_derived
+from matchops.session import ensure_checkpoint_dir
 
 
 @dataclass
 class Analysis:
     matches: DataFrame
     cfg: Config = DEFAULT
-    persist: bool = False
     _cache: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if "score_per_second" not in self.matches.columns:
             self.matches = with_derived(self.matches)
 
-    def _keep(self, name: str, build):
+    def _cut(self, name: str, build) -> DataFrame:
         if name not in self._cache:
-            df = build()
-            if self.persist:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._cache[name] = df
+            ensure_checkpoint_dir(self.matches.sparkSession)
+            self._cache[name] = build().checkpoint(eager=True)
         return self._cache[name]
 
     # shared intermediates ------------------------------------------------
     @property
     def profile(self) -> DataFrame:
-        return self._keep("profile", lambda: players.player_profile(self.matches, self.cfg))
+        return self._cut("profile", lambda: players.player_profile(self.matches, self.cfg))
 
     @property
     def flags(self) -> DataFrame:
-        return self._keep("flags", lambda: history.match_flags(self.matches, self.profile, self.cfg))
+        """Per-match flags for every match (lazy; full size)."""
+        return history.match_flags(self.matches, self.profile, self.cfg)
+
+    @property
+    def hits(self) -> DataFrame:
+        """Flagged matches only (checkpointed; a small fraction of rows)."""
+        return self._cut("hits", lambda: self.flags.filter(F.size("all_flags") > 0))
 
     @property
     def flagged(self) -> DataFrame:
-        return self._keep("flagged", lambda: severity.flagged_players(self.flags, self.cfg))
+        return severity.flagged_players(self.hits, self.profile, self.cfg)
 
     # reports ---------------------------------------------------------------
     def suspicious_report(self) -> DataFrame:
-        return severity.suspicious_report(self.flags, self.flagged, self.cfg)
+        return severity.suspicious_report(self.hits, self.flagged, self.cfg)
 
     def leaderboard_global(self) -> DataFrame:
         return ranking.leaderboard_global(self.profile, self.flagged)
@@ -70,8 +79,3 @@ class Analysis:
 
     def lobbies(self) -> DataFrame:
         return lobbies.lobbies(self.profile, self.flagged, self.cfg)
-
-    def unpersist(self) -> None:
-        for df in self._cache.values():
-            df.unpersist()
-        self._cache.clear()

@@ -70,7 +70,7 @@ def q_player_moments(spark, sf_dir):
 
 
 def q_zscore_outliers(spark, sf_dir):
-    return history.zscore_outliers(_analysis(spark, sf_dir).flags)
+    return history.zscore_outliers(_analysis(spark, sf_dir).hits)
 
 
 def q_player_totals(spark, sf_dir):
@@ -161,7 +161,7 @@ def q_roster_exploded(spark, sf_dir):
 
 def q_reasons_exploded(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return severity.reasons_long(a.flags, a.flagged).select("player_id", "reason")
+    return severity.reasons_long(a.hits, a.flagged).select("player_id", "reason")
 
 
 def q_status_kpis(spark, sf_dir):

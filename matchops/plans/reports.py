@@ -1,7 +1,7 @@
 """One batch run: CSV in, four reports out, plus the run summary.
 
-The analysis persists the shared intermediates (player profile, per-match
-flags, verdicts) for the four reports and releases them at the end.
+The analysis checkpoints its two shared intermediates (player profile,
+flagged matches) once; the four reports and the summary read them.
 
     python -m matchops.plans.reports --data players.csv --output-dir out/
 """
@@ -26,14 +26,10 @@ REPORT_NAMES = ("leaderboard_global", "leaderboard_region", "suspicious_players"
 def run(spark: SparkSession, data: str, output_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     """Write the four reports; return the one-row run summary."""
     matches = clean_matches(read_raw(spark, data, cfg), cfg)
-    a = Analysis(matches, cfg, persist=True)
-    try:
-        for name in REPORT_NAMES:
-            sinks.write_report(sinks.report(a, name), os.path.join(output_dir, name))
-        summary = kpis.run_summary(a.matches, a.flagged, a.lobbies()).collect()
-        return spark.createDataFrame(summary)
-    finally:
-        a.unpersist()
+    a = Analysis(matches, cfg)
+    for name in REPORT_NAMES:
+        sinks.write_report(sinks.report(a, name), os.path.join(output_dir, name))
+    return kpis.run_summary(a.matches, a.flagged, a.lobbies())
 
 
 def main(argv=None) -> None:

@@ -123,7 +123,7 @@ def q_pruned_region_read(spark, sf_dir):
 def q_zscore_refresh(spark, sf_dir):
     base = work_dir(spark, "zrefresh")
     path = _store_from_stream(spark, base, _halves(spark, sf_dir))
-    return history.zscore_outliers(Analysis(plans.read_store(spark, path)).flags)
+    return history.zscore_outliers(Analysis(plans.read_store(spark, path)).hits)
 
 
 def q_topk_refresh(spark, sf_dir):
