@@ -46,10 +46,23 @@ def test_no_python_udf_and_no_single_partition(spark, name):
 
 
 def test_scan_prunes_columns(spark):
-    df = QUERIES["player_totals"](spark, SMALL)
-    plan = _plan(df)
-    assert "ReadSchema: struct<event_id:bigint,ts" not in plan   # props/ts not read
-    assert "props" not in plan.split("ReadSchema")[1].split("\n")[0]
+    from matchops.operators.players import player_profile
+    from matchops.sources import fixtures
+
+    plan = _plan(player_profile(fixtures.matches(spark, SMALL)))
+    read = plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert "props" not in read and "ts:" not in read      # only the columns the aggregate needs
+
+
+def test_store_read_prunes_partitions(spark, tmp_path):
+    from matchops.streaming import plans
+    from matchops.session import work_dir
+    from matchops.sources import fixtures
+
+    path = work_dir(spark, "t-prune")
+    plans.append_to_store(fixtures.matches(spark, SMALL), 0, path)
+    plan = _plan(plans.read_store(spark, path, region="India"))
+    assert "PartitionFilters: [isnotnull(region" in plan and "(region" in plan
 
 
 def test_stream_queries_registered():
