@@ -5,12 +5,13 @@
 (regions, one hot lobby) the whole group lands in one task.  Here the
 rows are range-partitioned on (group keys, order keys) — the sampler
 splits a hot group across many partitions — sorted inside each
-partition, and checkpointed so partition ids and in-partition positions
-are fixed facts.  A small table with one row per (partition, group)
-piece then carries, for each piece, the number of rows of the same
-group in earlier partitions; a join adds it back.
+partition, stamped with (partition id, position) and written as a table
+in the shared checkpoint folder, so the numbers are fixed facts.  A small
+table with one row per (partition, group) piece then carries, for each
+piece, the number of rows of the same group in earlier partitions; a
+join adds it back.
 
-Cost: one range shuffle, one checkpoint write, and a join against the
+Cost: one range shuffle, one table write, and a join against the
 piece table (≤ groups + partitions rows; broadcast when there are no
 group keys, since it then has at most one row per partition).
 """
@@ -20,11 +21,10 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchops.session import ensure_checkpoint_dir
+from matchops.session import materialize
 
 _PART, _SEQ, _FIRST, _CNT, _CARRY = "_nb_part", "_nb_seq", "_nb_first", "_nb_cnt", "_nb_carry"
 
@@ -48,23 +48,19 @@ def ordered_row_number(
     then the result equals ``row_number() OVER (PARTITION BY group_cols
     ORDER BY order)`` row for row.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = range_partitions(df, num_partitions)
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order)
 
-    # The range sampler and the shuffle map stage both read the input;
-    # keeping it for their duration runs the upstream plan once.  (The
-    # checkpoint writer's second pass only re-reads the shuffle output.)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (
-        src.repartitionByRange(n, *keys)
+    # Positions are stored as columns, so the sorted, numbered rows can be
+    # written as a table: partition ids and offsets become fixed facts that
+    # survive a lost executor, whatever partitioning the read-back has.
+    ranged = materialize(
+        df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn(_PART, F.spark_partition_id())
-        .withColumn(_SEQ, F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        .withColumn(_SEQ, F.monotonically_increasing_id()),
+        "numbering",
     )
-    src.unpersist()
 
     pieces = ranged.groupBy(_PART, *group_cols).agg(
         F.count(F.lit(1)).alias(_CNT), F.min(_SEQ).alias(_FIRST)

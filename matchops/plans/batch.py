@@ -1,16 +1,16 @@
 """One batch analysis over a clean ``matches`` DataFrame.
 
 ``Analysis`` wires the operators together.  Two small intermediates are
-cut from their lineage with a reliable checkpoint (the session's
-checkpoint folder) the first time they are needed:
+cut from their lineage the first time they are needed, written as parquet
+tables under the session's checkpoint folder (shared on a cluster):
 
 * ``profile`` — one row per player (totals, averages, moments, modes);
 * ``hits`` — only the matches that carry a flag (rule or z-score).
 
 Every report then reads those two tables, so the match table is scanned
 exactly twice per analysis (the player aggregate, the flag join) however
-many reports are built, and a lost executor recomputes from the
-checkpoint instead of from the raw scan.
+many reports are built, and a lost executor re-reads those tables
+instead of recomputing from the raw scan.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from matchops.config import Config, DEFAULT
 from matchops.operators import history, lobbies, players, ranking, severity
 from matchops.operators.cleaning import with_derived
-from matchops.session import ensure_checkpoint_dir
+from matchops.session import materialize
 
 
 @dataclass
@@ -38,8 +38,7 @@ class Analysis:
 
     def _cut(self, name: str, build) -> DataFrame:
         if name not in self._cache:
-            ensure_checkpoint_dir(self.matches.sparkSession)
-            self._cache[name] = build().checkpoint(eager=True)
+            self._cache[name] = materialize(build(), f"analysis-{name}")
         return self._cache[name]
 
     # shared intermediates ------------------------------------------------

@@ -64,3 +64,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/matchops-work/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table in the shared folder.
+
+    One write job (no recount as with an RDD checkpoint), columnar, so
+    later readers prune columns; a lost executor re-reads the files
+    instead of recomputing the upstream plan.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
