@@ -1,9 +1,11 @@
 """Historical outliers (D1–D4, F7): per-player z-scores joined back.
 
-Moments come from the single player aggregate.  Only histories long
-enough for |z| to exceed the limit ((n-1)/sqrt(n) > limit, n >= 11 for
-3.0) are joined back — a pruning that cannot change a flag — and the
-join salts hot players over many reducers (see ``joins``).
+Moments come from the single player aggregate.  Only players that can
+flag at all are joined back: histories long enough for |z| to exceed the
+limit ((n-1)/sqrt(n) > limit, n >= 11 for 3.0) whose max or min already
+exceeds it — exact prunings that cannot change a flag, and a smaller
+build side that AQE can broadcast.  The join salts hot players over many
+reducers (see ``joins``).
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from matchops.config import Config, DEFAULT
 from matchops.functions.text import fixed2
 from matchops.operators.joins import salted_join
-from matchops.operators.players import player_moments
+from matchops.operators.players import z_candidates
 from matchops.operators.rules import DEFAULT_RULES, flag_struct, rule_flags
 
 # --- fixed values: z-score messages -----------------------------------
@@ -41,9 +43,7 @@ def stat_flags(cfg: Config = DEFAULT) -> Column:
 def match_flags(matches: DataFrame, profile: DataFrame, cfg: Config = DEFAULT,
                 rules=DEFAULT_RULES) -> DataFrame:
     """Per match: rule_flags, stat_flags and all_flags (rules first)."""
-    moments = player_moments(profile, cfg).filter(
-        F.col("matches_played") >= cfg.z_min_matches
-    ).withColumnRenamed("matches_played", "_history")
+    moments = z_candidates(profile, cfg).withColumnRenamed("matches_played", "_history")
     base = matches.select(
         "player_id", "match_id", "score", "kills", "deaths", "ping",
         "match_duration_seconds", "score_per_second",

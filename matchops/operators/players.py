@@ -37,6 +37,8 @@ def player_profile(matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.avg("ping").alias("avg_ping"),
         F.stddev_samp("score").alias("std_score"),
         F.stddev_samp("kills").alias("std_kills"),
+        F.max("score").alias("max_score"), F.min("score").alias("min_score"),
+        F.max("kills").alias("max_kills"), F.min("kills").alias("min_kills"),
         F.mode("region", True).alias("_region_mode"),
         F.mode("device", True).alias("_device_mode"),
     )
@@ -44,6 +46,7 @@ def player_profile(matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "player_id", "matches_played", "total_score", "total_kills", "total_deaths",
         (F.col("total_score") / F.col("matches_played")).alias("avg_score_per_match"),
         "avg_score", "avg_kills", "avg_deaths", "avg_ping", "std_score", "std_kills",
+        "max_score", "min_score", "max_kills", "min_kills",
         F.coalesce("_region_mode", F.lit(cfg.unknown_label)).alias("primary_region"),
         F.coalesce("_device_mode", F.lit(cfg.unknown_label)).alias("device"),
         skill_score("avg_score", "avg_kills", "avg_deaths", cfg).alias("skill_score"),
@@ -73,4 +76,28 @@ def player_moments(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.when(enough, F.col("std_score")).alias("std_score"),
         F.when(enough, F.col("avg_kills")).alias("mean_kills"),
         F.when(enough, F.col("std_kills")).alias("std_kills"),
+        "max_score", "min_score", "max_kills", "min_kills",
     )
+
+
+def _extreme_fires(mx: str, mn: str, mean: str, std: str, limit: float):
+    s = F.col(std)
+    return (s > 0) & (
+        (F.abs((F.col(mx).cast("double") - F.col(mean)) / s) > limit)
+        | (F.abs((F.col(mn).cast("double") - F.col(mean)) / s) > limit)
+    )
+
+
+def z_candidates(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Players that can have a z-flagged match at all.
+
+    |x - mean| / std is largest at the player's max or min, so testing the
+    two extremes with the same expression decides exactly whether any of
+    the player's matches flags.  Only these players' moments are joined
+    back to the matches.
+    """
+    m = player_moments(profile, cfg).filter(F.col("matches_played") >= cfg.z_min_matches)
+    return m.filter(
+        _extreme_fires("max_score", "min_score", "mean_score", "std_score", cfg.z_limit)
+        | _extreme_fires("max_kills", "min_kills", "mean_kills", "std_kills", cfg.z_limit)
+    ).select("player_id", "matches_played", "mean_score", "std_score", "mean_kills", "std_kills")

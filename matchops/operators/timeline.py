@@ -13,6 +13,7 @@ from matchops.config import Config, DEFAULT
 from matchops.operators.numbering import ordered_row_number
 from matchops.operators.ranking import rank_order
 from matchops.operators.rules import rule_flags
+from matchops.session import materialize
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -73,12 +74,14 @@ def season_leaderboard(matches: DataFrame, flagged: DataFrame, cfg: Config = DEF
     marks = flagged.select("player_id", F.lit(True).alias("_f"))
     per = per.join(marks, "player_id", "left").withColumn(
         "status", F.when(F.col("_f"), F.lit("under_review")).otherwise(F.lit("clean"))).drop("_f")
-    ranked = ordered_row_number(per.filter(F.col("status") == "clean"), rank_order(),
-                                group_cols=["season"], out="rank")
-    review = per.filter(F.col("status") == "under_review").withColumn("rank", F.lit(None).cast("long"))
+    # The range sampler and the shuffle would each rescan the matches:
+    # write the (season, player) table once.
+    per = materialize(per, "season-totals")
+    numbered = ordered_row_number(per, rank_order(), group_cols=["status", "season"], out="_pos")
     cols = ["season", "rank", "player_id", "total_score", "total_kills", "total_deaths",
             "matches_played", "status"]
-    return ranked.select(*cols).unionByName(review.select(*cols))
+    return numbered.withColumn(
+        "rank", F.when(F.col("status") == "clean", F.col("_pos")).cast("long")).select(*cols)
 
 
 def canonical_regions(spark: SparkSession, per_player: DataFrame,

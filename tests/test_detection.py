@@ -73,3 +73,33 @@ def test_reason_pages_keep_every_reason(spark, matches_df):
     assert [p.page for p in pages] == [0, 1, 2]
     joined = "; ".join(p.flag_reasons for p in pages).split("; ")
     assert joined == sorted(f"Ping anomaly: {600 + i}ms (Limits: 5-500ms)" for i in range(8))
+
+
+def test_zscore_pruning_matches_brute_force(spark, matches_df):
+    """Candidate pruning + salted join == pandas z-scores over every match."""
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(7)
+    rows = []
+    for p in range(12):
+        n = rnd.randint(3, 25)
+        for i in range(n):
+            spike = rnd.random() < 0.08
+            rows.append(row(f"P{p:02d}", f"M{p}_{i}", score=float(rnd.randint(900, 1100) * (8 if spike else 1)),
+                            kills=rnd.randint(3, 7) * (6 if rnd.random() < 0.05 else 1), deaths=2, dur=600))
+    pdf = pd.DataFrame(rows)
+    want = set()
+    for pid, g in pdf.groupby("player_id"):
+        if len(g) < 3:
+            continue
+        for col, code in (("score", "Z_SCORE"), ("kills", "Z_KILLS")):
+            m, s = g[col].mean(), g[col].std()
+            if s > 0:
+                for _, r in g.iterrows():
+                    if abs((r[col] - m) / s) > 3.0:
+                        want.add((pid, r["match_id"], code))
+    from matchops.operators.history import zscore_outliers
+    got = {(r.player_id, r.match_id, r.stat_code) for r in zscore_outliers(Analysis(matches_df(rows)).hits).collect()}
+    assert got == want and want
