@@ -18,12 +18,24 @@ def status_kpis(matches: DataFrame) -> DataFrame:
 
 
 def run_summary(matches: DataFrame, flagged: DataFrame, lobby_df: DataFrame) -> DataFrame:
-    """One row of four single-row aggregates."""
-    m = matches.agg(F.count(F.lit(1)).alias("total_matches"),
-                    F.countDistinct("player_id").alias("unique_players"))
-    f = flagged.agg(F.count(F.lit(1)).alias("flagged_players"))
-    lb = lobby_df.agg(F.countDistinct("lobby_name").alias("lobbies"))
-    return m.crossJoin(f).crossJoin(lb)
+    """Four global aggregates as one row (union of (metric, value),
+    then a keyless pivot)."""
+    names = ["total_matches", "unique_players", "flagged_players", "lobbies"]
+    m = matches.agg(F.count(F.lit(1)).alias("a"), F.countDistinct("player_id").alias("b")).select(
+        F.explode(F.array(
+            F.struct(F.lit(names[0]).alias("k"), F.col("a").alias("v")),
+            F.struct(F.lit(names[1]).alias("k"), F.col("b").alias("v")),
+        )).alias("kv")).select("kv.k", "kv.v")
+    parts = [
+        m,
+        flagged.agg(F.count(F.lit(1)).alias("v")).select(F.lit(names[2]).alias("k"), "v"),
+        lobby_df.agg(F.countDistinct("lobby_name").alias("v")).select(F.lit(names[3]).alias("k"), "v"),
+    ]
+    kv = parts[0]
+    for p in parts[1:]:
+        kv = kv.unionByName(p)
+    return kv.groupBy().pivot("k", names).agg(F.first("v")).select(
+        *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names])
 
 
 def lobbies_in_region(lobby_df: DataFrame, region: str) -> DataFrame:
