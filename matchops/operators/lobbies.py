@@ -125,12 +125,15 @@ def lobby_members(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT)
         .otherwise(F.concat_ws("_", "region", "ping_band", "skill_tier")),
     )
     # Tiers are contiguous ranges of the bucket order, so the roster
-    # position is the bucket position minus the tier's first position.
-    first = m.groupBy(*_BUCKET, "skill_tier").agg(F.min("bucket_pos").alias("_first"))
-    m = m.join(first, [*_BUCKET, "skill_tier"])
+    # position is the bucket position minus the tier's first position; the
+    # same per-lobby aggregate gives the lobby size.
+    per_lobby = m.groupBy(*_BUCKET, "skill_tier").agg(
+        F.min("bucket_pos").alias("_first"), F.count(F.lit(1)).alias("player_count"))
+    m = m.join(per_lobby, [*_BUCKET, "skill_tier"])
     return m.select(
         "lobby_name", "region", "ping_band", "skill_tier", "player_id", "player_label",
         (F.col("bucket_pos") - F.col("_first") + 1).alias("position"),
+        F.col("player_count").cast("long").alias("player_count"),
         "skill_score", "avg_score", "avg_kills", "avg_deaths", "avg_ping",
         F.col("primary_region"), "device",
     )
@@ -139,8 +142,7 @@ def lobby_members(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT)
 def lobbies(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per lobby (per roster page)."""
     members = lobby_members(profile, flagged, cfg)
-    keys = ["lobby_name", "region", "ping_band", "skill_tier"]
-    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("player_count"))
+    keys = ["lobby_name", "region", "ping_band", "skill_tier", "player_count"]
     pages = text_pages(members, keys, "position", "player_label", cfg.roster_separator,
                        cfg.page_size, "player_ids")
     status = (
@@ -148,9 +150,8 @@ def lobbies(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> Da
         .when(F.col("player_count") >= cfg.lobby_ready_size, F.lit("Ready"))
         .otherwise(F.lit("Waiting"))
     )
-    return counts.join(pages, keys).select(
-        "lobby_name", "region", "ping_band", "skill_tier",
-        F.col("player_count").cast("long").alias("player_count"),
+    return pages.select(
+        "lobby_name", "region", "ping_band", "skill_tier", "player_count",
         status.alias("status"), "player_ids", "page",
     )
 
