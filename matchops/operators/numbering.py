@@ -112,3 +112,35 @@ def text_pages(
         *group_cols, page_col,
         F.array_join(F.transform("_items", lambda x: x["t"]), sep).alias(out),
     )
+
+
+def ordered_text(
+    items: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    text_col: str,
+    sep: str,
+    page_size: int,
+    out: str,
+    page_col: str = "page",
+) -> DataFrame:
+    """Per group, ``text_col`` joined in ``order_cols`` order, in pages.
+
+    Groups with at most ``page_size`` items (the usual case) are joined in
+    one aggregate — each list is bounded by the page size.  Only groups
+    above it go through ``ordered_row_number`` and ``text_pages``, so a hot
+    group is split across tasks and rows while nothing is dropped.
+    """
+    counts = items.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    tagged = items.join(counts, list(group_cols))
+    small = tagged.filter(F.col("_n") <= page_size).groupBy(*group_cols).agg(
+        F.array_sort(F.collect_list(F.struct(*order_cols, F.col(text_col).alias("_t")))).alias("_items"))
+    small = small.select(
+        *group_cols, F.lit(0).alias(page_col),
+        F.array_join(F.transform("_items", lambda x: x["_t"]), sep).alias(out))
+    big = tagged.filter(F.col("_n") > page_size).drop("_n")
+    if big.isEmpty():
+        return small
+    numbered = ordered_row_number(big, [F.col(c).asc() for c in order_cols], group_cols, out="_pos")
+    return small.unionByName(
+        text_pages(numbered, group_cols, "_pos", text_col, sep, page_size, out, page_col))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
-from matchops.operators.numbering import ordered_row_number, text_pages
+from matchops.operators.numbering import ordered_text
 
 REPORT_COLUMNS = (
     "player_id", "severity", "flagged_matches_count", "total_matches_count", "flag_reasons",
@@ -75,10 +75,10 @@ def flagged_players(hits: DataFrame, profile: DataFrame, cfg: Config = DEFAULT)
 
 
 def reasons_long(hits: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Distinct reasons per flagged player, escalation text last.
+    """Distinct reasons per flagged player (V4), escalation text included.
 
-    ``reason_pos`` is the 1-based position in the report: code-point
-    order of the reasons, then the escalation line.
+    ``_last`` orders the escalation line after the code-point-sorted
+    reasons when the text is assembled.
     """
     distinct = hits.select("player_id", F.explode("all_flags").alias("f")).select(
         "player_id", F.col("f.text").alias("reason"), F.lit(0).alias("_last")
@@ -86,12 +86,7 @@ def reasons_long(hits: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) ->
     esc = flagged.filter("escalated").select(
         "player_id", F.lit(cfg.escalation_text).alias("reason"), F.lit(1).alias("_last")
     )
-    numbered = ordered_row_number(
-        distinct.unionByName(esc),
-        [F.col("_last").asc(), F.col("reason").asc()],
-        group_cols=["player_id"], out="reason_pos",
-    )
-    return numbered.select("player_id", "reason", "reason_pos")
+    return distinct.unionByName(esc)
 
 
 def suspicious_report(hits: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -101,8 +96,8 @@ def suspicious_report(hits: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT
     list is longer than ``page_size`` spans pages 0, 1, …
     """
     reasons = reasons_long(hits, flagged, cfg)
-    pages = text_pages(reasons, ["player_id"], "reason_pos", "reason",
-                       cfg.reason_separator, cfg.page_size, "flag_reasons")
+    pages = ordered_text(reasons, ["player_id"], ["_last", "reason"], "reason",
+                         cfg.reason_separator, cfg.page_size, "flag_reasons")
     return flagged.join(pages, "player_id").select(
         *REPORT_COLUMNS, "page",
     )
