@@ -35,8 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint folder.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``;
-    only when nothing is configured (local tests) is a scratch folder set.
+    On a cluster this is the shared folder named by ``spark.checkpoint.dir``
+    (required there); only a local-mode session without one gets a scratch
+    folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # not set
             conf_dir = None
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder every executor can reach; "
+                "intermediate tables and stream checkpoints are written there")
+        # local mode only (tests): one machine, so a scratch folder is shared.
         conf_dir = tempfile.mkdtemp(prefix="matchops-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
