@@ -31,12 +31,6 @@ def is_finite(x) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
-def truncate_int(x) -> Column:
-    """Truncate toward zero to INT; out of range -> NULL (dropped)."""
-    c = F.col(x) if isinstance(x, str) else x
-    return F.when(is_finite(c), c.try_cast("int"))
-
-
 def safe_rate(score, duration) -> Column:
     """score / duration with float semantics for a zero duration.
 

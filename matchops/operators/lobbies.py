@@ -20,7 +20,7 @@ from matchops.operators.numbering import ordered_row_number, text_pages
 from matchops.operators.players import player_skill
 
 LOBBY_COLUMNS = (
-    "lobby_name", "region", "ping_band", "skill_tier", "player_count", "status", "player_ids",
+    "lobby_name", "region", "ping_band", "skill_tier", "player_count", "status", "player_ids", "page",
 )
 _BUCKET = ["_iso", "region", "ping_band"]
 

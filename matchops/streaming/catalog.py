@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchops.config import DEFAULT
-from matchops.operators import history, ranking
+from matchops.operators import history
 from matchops.plans import oracle
 from matchops.plans.batch import Analysis
 from matchops.session import work_dir

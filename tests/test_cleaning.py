@@ -3,7 +3,6 @@
 import math
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from matchops.functions.text import fixed2, float_text, strip_ws, title_case
 from matchops.operators.cleaning import (

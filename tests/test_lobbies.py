@@ -1,6 +1,5 @@
 """Lobby edges: ping bands, tiers, sizes, isolation, quantile parity."""
 
-import numpy as np
 import pandas as pd
 from hypothesis import HealthCheck, given, settings, strategies as st
 

@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from matchops.operators.cleaning import with_derived
 from matchops.operators.rules import rule_flags_long
 from matchops.session import work_dir
