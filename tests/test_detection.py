@@ -103,3 +103,28 @@ def test_zscore_pruning_matches_brute_force(spark, matches_df):
     from matchops.operators.history import zscore_outliers
     got = {(r.player_id, r.match_id, r.stat_code) for r in zscore_outliers(Analysis(matches_df(rows)).hits).collect()}
     assert got == want and want
+
+
+def test_hot_player_salting_is_exact(spark, matches_df):
+    """One player with a third of all rows: the salted join gives the same flags."""
+    import random
+    from dataclasses import replace
+
+    from matchops.operators.history import zscore_outliers
+    from matchops.operators.joins import hot_keys
+
+    rnd = random.Random(3)
+    rows = [row("HOT", f"H{i}", score=float(rnd.randint(900, 1100) * (9 if i % 97 == 0 else 1)),
+                kills=rnd.randint(2, 8), dur=600) for i in range(300)]
+    for p in range(30):
+        rows += [row(f"P{p:02d}", f"M{p}_{i}", score=float(rnd.randint(900, 1100) * (9 if i == 5 else 1)),
+                     kills=rnd.randint(2, 8), dur=600) for i in range(20)]
+    m = matches_df(rows)
+    hot_cfg = replace(DEFAULT, hot_key_min_rows=40, max_salts=16)
+    plain = Analysis(m)
+    salted = Analysis(m, hot_cfg)
+    hk = hot_keys(salted.profile, "player_id", "matches_played", hot_cfg).collect()
+    assert [(r.player_id, r["_salts"]) for r in hk] == [("HOT", 8)]
+    key = lambda a: sorted(map(tuple, zscore_outliers(a.hits).collect()))
+    assert key(salted) == key(plain) and key(plain)
+    assert sorted(map(tuple, salted.flagged.collect())) == sorted(map(tuple, plain.flagged.collect()))
