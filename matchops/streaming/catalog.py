@@ -20,12 +20,12 @@ from matchops.plans import oracle
 from matchops.plans.batch import Analysis
 from matchops.session import work_dir
 from matchops.sources import fixtures
-from matchops.streaming import plans
-from matchops.streaming.verdicts import submission_verdicts
+from matchops.streaming import jobs, plans
 
 LATE_DELAY = "10 minutes"     # watermark for the windowed rates
 DEDUP_DELAY = "40 days"       # covers the whole test span: copies meet state
 SPLIT_AT = "2024-01-16"       # arrival stages: first half of the month, then the rest
+DRAIN = {"availableNow": True}
 
 
 def _matches(spark, sf_dir) -> DataFrame:
@@ -46,40 +46,37 @@ def _halves(spark, sf_dir):
     return [m.filter(F.col("created_at") < cut), m.filter(F.col("created_at") >= cut)]
 
 
-def _run(spark: SparkSession, base: str, stages, build, sink) -> None:
-    """Stage each input, then drain it with one availableNow run."""
+def _drain(spark: SparkSession, base: str, stages, start) -> None:
+    """Stage each input, then run the job once with availableNow.
+
+    Later stages are new files for the same checkpoint: a restarted
+    query picks up exactly the new micro-batches.
+    """
     schema = None
     for i, stage in enumerate(stages):
         stage.write.mode("overwrite").parquet(f"{base}/in/s{i:03d}")
-        if schema is None:
-            schema = spark.read.parquet(f"{base}/in/s{i:03d}").schema
-        stream = spark.readStream.schema(schema).parquet(f"{base}/in/*")
-        q = sink(build(stream).writeStream.option("checkpointLocation", f"{base}/chk"))
-        q.trigger(availableNow=True).start().awaitTermination()
-
-
-def _to_parquet(out: str, mode: str = "append"):
-    return lambda w: w.outputMode(mode).format("parquet").option("path", out)
+        schema = schema or spark.read.parquet(f"{base}/in/s{i:03d}").schema
+        stream = jobs.match_source(spark, f"{base}/in/*", schema)
+        start(stream, f"{base}/chk").awaitTermination()
 
 
 def q_stream_rule_alerts(spark, sf_dir):
     base = work_dir(spark, "alerts")
-    _run(spark, base, _halves(spark, sf_dir), plans.rule_alerts, _to_parquet(f"{base}/out"))
+    _drain(spark, base, _halves(spark, sf_dir),
+           lambda s, chk: jobs.alerts_job(s, f"{base}/out", chk, DRAIN))
     return spark.read.parquet(f"{base}/out")
 
 
 def q_stream_dedup(spark, sf_dir):
     base = work_dir(spark, "dedup")
-    stages = [_matches(spark, sf_dir), _resent(spark, sf_dir)]
-    _run(spark, base, stages, lambda s: plans.dedup_within_watermark(s, DEDUP_DELAY),
-         _to_parquet(f"{base}/out"))
+    _drain(spark, base, [_matches(spark, sf_dir), _resent(spark, sf_dir)],
+           lambda s, chk: jobs.dedup_job(s, f"{base}/out", chk, DRAIN, DEDUP_DELAY))
     return spark.read.parquet(f"{base}/out").select("player_id", "match_id", "score")
 
 
 def _store_from_stream(spark, base, stages):
     path = f"{base}/store"
-    _run(spark, base, stages, lambda s: s,
-         lambda w: w.foreachBatch(lambda df, bid: plans.append_to_store(df, bid, path)))
+    _drain(spark, base, stages, lambda s, chk: jobs.store_job(s, path, chk, DRAIN))
     return path
 
 
@@ -91,24 +88,22 @@ def q_stream_upsert(spark, sf_dir):
 
 def q_stream_ingest_rate(spark, sf_dir):
     base = work_dir(spark, "rate")
-    _run(spark, base, _halves(spark, sf_dir), lambda s: plans.windowed_counts(s, LATE_DELAY),
-         _to_parquet(f"{base}/out"))
+    _drain(spark, base, _halves(spark, sf_dir),
+           lambda s, chk: jobs.rate_job(s, f"{base}/out", chk, DRAIN, LATE_DELAY))
     return spark.read.parquet(f"{base}/out")
 
 
 def q_stream_flagged_per_minute(spark, sf_dir):
     base = work_dir(spark, "alert-rate")
-    _run(spark, base, _halves(spark, sf_dir), lambda s: plans.windowed_alerts(s, LATE_DELAY),
-         _to_parquet(f"{base}/out"))
+    _drain(spark, base, _halves(spark, sf_dir),
+           lambda s, chk: jobs.alert_rate_job(s, f"{base}/out", chk, DRAIN, LATE_DELAY))
     return spark.read.parquet(f"{base}/out")
 
 
 def q_stream_totals(spark, sf_dir):
     base = work_dir(spark, "totals")
     path = f"{base}/totals"
-    _run(spark, base, _halves(spark, sf_dir), plans.running_totals,
-         lambda w: w.outputMode("update").foreachBatch(
-             lambda df, bid: plans.append_totals(df, bid, path)))
+    _drain(spark, base, _halves(spark, sf_dir), lambda s, chk: jobs.totals_job(s, path, chk, DRAIN))
     return plans.read_totals(spark, path)
 
 
@@ -121,41 +116,27 @@ def q_pruned_region_read(spark, sf_dir):
 
 
 def q_zscore_refresh(spark, sf_dir):
+    """The periodic z-score job is a batch run over the store."""
     base = work_dir(spark, "zrefresh")
     path = _store_from_stream(spark, base, _halves(spark, sf_dir))
     return history.zscore_outliers(Analysis(plans.read_store(spark, path)).hits)
 
 
 def q_topk_refresh(spark, sf_dir):
-    """Every trigger lands its batch in the store and rewrites the top-k
-    table from the whole store (a processing-time trigger in production)."""
+    """Every trigger lands its batch and rewrites the top-k table."""
     base = work_dir(spark, "topk")
-    store, top = f"{base}/store", f"{base}/top"
-
-    def refresh(batch, bid):
-        plans.append_to_store(batch, bid, store)
-        Analysis(plans.read_store(spark, store)).top_k(DEFAULT.top_k).write.mode(
-            "overwrite").parquet(top)
-
-    _run(spark, base, _halves(spark, sf_dir), lambda s: s, lambda w: w.foreachBatch(refresh))
-    return spark.read.parquet(top)
+    _drain(spark, base, _halves(spark, sf_dir),
+           lambda s, chk: jobs.topk_job(s, f"{base}/store", f"{base}/top", chk, DRAIN))
+    return spark.read.parquet(f"{base}/top")
 
 
 def q_stream_verdicts(spark, sf_dir):
     """The re-sent copies arrive as submissions after the store is loaded."""
     base = work_dir(spark, "verdicts")
-    verdicts = f"{base}/verdicts"
     store = _store_from_stream(spark, f"{base}/load", [_matches(spark, sf_dir)])
-
-    def handle(batch, bid):
-        plans.append_to_store(batch, 1_000 + bid, store)
-        v = submission_verdicts(plans.read_store(spark, store), batch.drop("ingest_seq"))
-        v.withColumn("_batch", F.lit(int(bid))).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(verdicts)
-
-    _run(spark, base + "/subs", [_resent(spark, sf_dir)], lambda s: s,
-         lambda w: w.foreachBatch(handle))
-    return spark.read.parquet(verdicts).drop("_batch")
+    _drain(spark, f"{base}/subs", [_resent(spark, sf_dir)],
+           lambda s, chk: jobs.verdict_job(s, store, f"{base}/verdicts", chk, DRAIN, version_base=1000))
+    return spark.read.parquet(f"{base}/verdicts").drop("_batch")
 
 
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

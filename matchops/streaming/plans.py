@@ -127,13 +127,18 @@ def read_store(spark: SparkSession, path: str, region: str | None = None) -> Dat
     return latest.select("player_id", "match_id", *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def append_totals(batch: DataFrame, batch_id: int, path: str) -> None:
-    """J9 sink: updated players of this batch, tagged with the batch id."""
+def append_log(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Append a micro-batch's rows under ``_batch=<id>`` (idempotent)."""
     (batch.withColumn("_batch", F.lit(int(batch_id)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_batch").parquet(path))
 
 
+def append_totals(batch: DataFrame, batch_id: int, path: str) -> None:
+    """J9 sink: updated players of this batch, tagged with the batch id."""
+    append_log(batch, batch_id, path)
+
+
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
     log = spark.read.parquet(path)
     others = [c for c in log.columns if c not in ("player_id", "_batch")]
