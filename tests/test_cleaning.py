@@ -129,3 +129,13 @@ def test_float_text(spark):
     assert [r[0] for r in df.select(float_text("x")).collect()] == [str(v) for v in vals]
     inf = spark.createDataFrame([(math.inf,)], "x double").select(fixed2("x"), float_text("x")).first()
     assert tuple(inf) == ("inf", "inf")
+
+
+def test_ingest_order_across_files(spark, tmp_path):
+    d = tmp_path / "upload"
+    d.mkdir()
+    header = "player_id,match_id,region,device,ping,score,kills,deaths,match_duration_seconds"
+    (d / "b.csv").write_text(header + "\nP1,M1,India,Pc,40,222,1,1,300\nP2,M2,India,Pc,40,5,1,1,300\n")
+    (d / "a.csv").write_text(header + "\nP3,M3,India,Pc,40,7,1,1,300\nP1,M1,India,Pc,40,111,1,1,300\n")
+    got = {(r.player_id, r.match_id): r.score for r in clean_matches(read_raw(spark, str(d))).collect()}
+    assert got == {("P1", "M1"): 111.0, ("P2", "M2"): 5.0, ("P3", "M3"): 7.0}
