@@ -91,3 +91,8 @@ def test_matchmaking_lobbies(spark, matches_df):
     assert europe and india
     assert set().union(*[by_lobby[k] for k in europe]) == {"P004"}
     assert set().union(*[by_lobby[k] for k in india]) <= {"P001", "P002"}
+
+
+def test_missing_file_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        read_raw(spark, str(tmp_path / "nope.csv"))
