@@ -18,18 +18,27 @@ from matchops.operators import kpis
 from matchops.operators.cleaning import clean_matches
 from matchops.plans.batch import Analysis
 from matchops.sources import sinks
+from matchops.session import release_work, work_mark
 from matchops.sources.csv_source import read_raw
 
 REPORT_NAMES = ("leaderboard_global", "leaderboard_region", "suspicious_players", "matchmaking_groups")
 
 
 def run(spark: SparkSession, data: str, output_dir: str, cfg: Config = DEFAULT) -> DataFrame:
-    """Write the four reports; return the one-row run summary."""
+    """Write the four reports; return the one-row run summary.
+
+    The intermediate tables are deleted once the reports and the summary
+    are computed.
+    """
+    mark = work_mark()
     matches = clean_matches(read_raw(spark, data, cfg), cfg)
     a = Analysis(matches, cfg)
     for name in REPORT_NAMES:
         sinks.write_report(sinks.report(a, name), os.path.join(output_dir, name))
-    return kpis.run_summary(a.matches, a.flagged, a.lobbies())
+    summary = kpis.run_summary(a.matches, a.flagged, a.lobbies())
+    row = summary.collect()                      # one row
+    release_work(spark, mark)
+    return spark.createDataFrame(row, summary.schema)
 
 
 def main(argv=None) -> None:

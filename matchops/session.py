@@ -60,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_CREATED: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for staged inputs, sinks and stream checkpoints.
 
@@ -69,7 +72,29 @@ def work_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/matchops-work/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/matchops-work/{name}-{uuid.uuid4().hex[:12]}"
+    _CREATED.append(path)
+    return path
+
+
+def work_mark() -> int:
+    """A marker for ``release_work``: folders created after it."""
+    return len(_CREATED)
+
+
+def release_work(spark: SparkSession, since: int) -> int:
+    """Delete the work folders created after ``since`` (once their readers
+    are done); returns how many were removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while len(_CREATED) > since:
+        p = jvm.org.apache.hadoop.fs.Path(_CREATED.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            removed += 1
+    return removed
 
 
 def materialize(df, name: str):

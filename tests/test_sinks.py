@@ -14,8 +14,8 @@ from matchops.sources.csv_source import MissingColumnsError
 from test_golden import SAMPLE
 
 
-def test_run_writes_four_sorted_reports(spark, csv_file):
-    out = work_dir(spark, "t-reports")
+def test_run_writes_four_sorted_reports(spark, csv_file, tmp_path):
+    out = str(tmp_path / "reports")
     summary = run(spark, csv_file(SAMPLE), out).first()
     assert tuple(summary) == (18, 16, 1, 7)
     board = spark.read.option("header", True).csv(os.path.join(out, "leaderboard_global")).collect()
