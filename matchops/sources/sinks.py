@@ -91,3 +91,19 @@ def json_records(df: DataFrame) -> DataFrame:
     """One JSON object per row; NULLs (e.g. an unranked player) kept."""
     return df.select(
         F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def publish_board(board: DataFrame, path: str) -> None:
+    """Serve the regional board as parquet partitioned by primary_region."""
+    board.write.mode("overwrite").partitionBy("primary_region").parquet(path)
+
+
+def read_region_board(spark: SparkSession, path: str, region: str) -> DataFrame:
+    """V3 on a published board: the argument is trimmed and title-cased,
+    and the equality becomes a partition filter (only that folder is read)."""
+    from matchops.functions.text import strip_ws, title_case
+
+    # A foldable expression on a literal: the optimizer turns it into a
+    # constant, so the filter still prunes partitions.
+    wanted = title_case(strip_ws(F.lit(region)))
+    return spark.read.parquet(path).filter(F.col("primary_region") == wanted)

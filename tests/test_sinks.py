@@ -54,3 +54,13 @@ def test_empty_input_contract(spark):
     assert a.lobbies().columns[:7] == [
         "lobby_name", "region", "ping_band", "skill_tier", "player_count", "status", "player_ids"]
     assert a.lobbies().count() == 0
+
+
+def test_published_board_region_read_prunes(spark, matches_df, tmp_path):
+    a = Analysis(matches_df([row("A", "M1", region="India"), row("B", "M1", region="Sea")]))
+    path = str(tmp_path / "board")
+    sinks.publish_board(a.leaderboard_region(), path)
+    df = sinks.read_region_board(spark, path, "  india ")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(primary_region" in plan
+    assert [(r.player_id, r["rank"]) for r in df.collect()] == [("A", 1)]
