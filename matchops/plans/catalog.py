@@ -115,6 +115,17 @@ def q_regional_filtered(spark, sf_dir):
     return _analysis(spark, sf_dir).leaderboard_region(REGION_ARG)
 
 
+def q_published_region_board(spark, sf_dir):
+    """V3 as served: the regional board published partitioned by region,
+    read back for one (normalized) region with partition pruning."""
+    from matchops.session import work_dir
+    from matchops.sources import sinks
+
+    path = work_dir(spark, "board")
+    sinks.publish_board(_analysis(spark, sf_dir).leaderboard_region(), path)
+    return sinks.read_region_board(spark, path, REGION_ARG).select(*ranking.BOARD_COLUMNS)
+
+
 def q_player_search(spark, sf_dir):
     return ranking.player_search(_analysis(spark, sf_dir).leaderboard_global(), SEARCH_ARG)
 
@@ -223,6 +234,7 @@ QUERIES: dict[str, Query] = {
     "leaderboard_region": q_leaderboard_region,
     "top10_players": q_top10,
     "regional_board_filtered": q_regional_filtered,
+    "published_region_board": q_published_region_board,
     "player_search": q_player_search,
     "matching_pool": q_matching_pool,
     "isolated_pool": q_isolated_pool,

@@ -341,6 +341,8 @@ GROUP BY fl.player_id, fl.severity, fl.flagged_matches_count, fl.total_matches_c
     "top10_players": _with(*BASE, BOARD) + f"""
 SELECT * FROM ({_board("")}) ORDER BY CASE WHEN status = 'clean' THEN 0 ELSE 1 END, {_KEYS} LIMIT {C.top_k}""",
     "regional_board_filtered": _with(*BASE, BOARD) + _board(", primary_region", "WHERE primary_region = 'India'"),
+    "published_region_board": _with(*BASE, BOARD) + f"""
+SELECT * FROM ({_board(", primary_region")}) WHERE primary_region = 'India'""",
     "player_search": _with(*BASE, BOARD) + f"""
 SELECT * FROM ({_board("")}) WHERE contains(lower(player_id), '0001')""",
     "matching_pool": _lobby_q("""
