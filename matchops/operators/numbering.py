@@ -35,19 +35,56 @@ def range_partitions(df: DataFrame, num_partitions: int | None = None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Groups up to this many rows are numbered by a plain window: one task
+# holds at most this many rows, a fixed bound.
+SMALL_GROUP_ROWS = 200_000
+
+
 def ordered_row_number(
     df: DataFrame,
     order: Sequence[Column],
     group_cols: Sequence[str] = (),
     out: str = "rn",
     num_partitions: int | None = None,
+    small_group_rows: int = SMALL_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``out`` = 1-based position of each row inside its group.
 
     ``order`` must make the order total (end it with a unique key);
     then the result equals ``row_number() OVER (PARTITION BY group_cols
     ORDER BY order)`` row for row.
+
+    Size switch: groups with at most ``small_group_rows`` rows take the
+    window (bounded per task); larger groups take the range-partitioned
+    path, which is skipped when there are none.
     """
+    if small_group_rows <= 0:
+        return _range_row_number(df, order, group_cols, out, num_partitions)
+    w = Window.partitionBy(*group_cols).orderBy(*order)
+    if not group_cols:
+        if df.count() <= small_group_rows:       # the whole input is one group
+            return df.withColumn(out, F.row_number().over(w).cast("long"))
+        return _range_row_number(df, order, group_cols, out, num_partitions)
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
+    d, z = df.alias("_d"), sizes.alias("_z")
+    cond = reduce(lambda a, b: a & b, [F.col(f"_d.{g}").eqNullSafe(F.col(f"_z.{g}")) for g in group_cols])
+    tagged = d.join(z, cond).select(*[F.col(f"_d.{c}") for c in df.columns], F.col("_z._gn"))
+    small = tagged.filter(F.col("_gn") <= small_group_rows).drop("_gn")
+    small = small.withColumn(out, F.row_number().over(w).cast("long"))
+    big = tagged.filter(F.col("_gn") > small_group_rows).drop("_gn")
+    if big.isEmpty():
+        return small
+    return small.unionByName(_range_row_number(big, order, group_cols, out, num_partitions))
+
+
+def _range_row_number(
+    df: DataFrame,
+    order: Sequence[Column],
+    group_cols: Sequence[str],
+    out: str,
+    num_partitions: int | None,
+) -> DataFrame:
+    """The range-partitioned numbering (see the module docstring)."""
     n = range_partitions(df, num_partitions)
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order)
 
@@ -141,6 +178,7 @@ def ordered_text(
     big = tagged.filter(F.col("_n") > page_size).drop("_n")
     if big.isEmpty():
         return small
-    numbered = ordered_row_number(big, [F.col(c).asc() for c in order_cols], group_cols, out="_pos")
+    numbered = ordered_row_number(big, [F.col(c).asc() for c in order_cols], group_cols, out="_pos",
+                                  small_group_rows=0)
     return small.unionByName(
         text_pages(numbered, group_cols, "_pos", text_col, sep, page_size, out, page_col))

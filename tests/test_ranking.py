@@ -17,13 +17,15 @@ from matchops.plans.batch import Analysis
 def test_numbering_equals_row_number(spark, rows, parts):
     df = spark.createDataFrame(rows, "g int, score int, id int")
     order = [F.col("score").desc(), F.col("id").asc()]
+    key = lambda t: tuple((x is None, x) for x in t)
     for groups in ([], ["g"]):
-        got = ordered_row_number(df, order, groups, out="rn", num_partitions=parts)
         w = Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
-        want = df.withColumn("rn", F.row_number().over(w))
-        key = lambda t: tuple((x is None, x) for x in t)
-        assert sorted(map(tuple, got.collect()), key=key) == sorted(
-            map(tuple, want.select(*got.columns).collect()), key=key)
+        want = sorted(map(tuple, df.withColumn("rn", F.row_number().over(w)).collect()), key=key)
+        # 0: every group on the range path; 30: mixed; default: window path
+        for small in (0, 30, 10**6):
+            got = ordered_row_number(df, order, groups, out="rn", num_partitions=parts,
+                                     small_group_rows=small)
+            assert sorted(map(tuple, got.select(*df.columns, "rn").collect()), key=key) == want
 
 
 def test_hot_group_is_split_across_partitions(spark):
@@ -31,7 +33,8 @@ def test_hot_group_is_split_across_partitions(spark):
     df = spark.range(0, 5000).select(
         F.when(F.col("id") < 4900, F.lit("hot")).otherwise(F.lit("cold")).alias("g"),
         (F.col("id") % 7).alias("s"), F.col("id"))
-    got = ordered_row_number(df, [F.col("s").asc(), F.col("id").asc()], ["g"], num_partitions=8)
+    got = ordered_row_number(df, [F.col("s").asc(), F.col("id").asc()], ["g"], num_partitions=8,
+                             small_group_rows=1000)
     hot = sorted(r.rn for r in got.filter("g = 'hot'").collect())
     assert hot == list(range(1, 4901))
 
