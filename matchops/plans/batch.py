@@ -1,13 +1,14 @@
 """One batch analysis over a clean ``matches`` DataFrame.
 
-``Analysis`` wires the operators together.  Two small intermediates are
+``Analysis`` wires the operators together.  Three small intermediates are
 cut from their lineage the first time they are needed, written as parquet
 tables under the session's checkpoint folder (shared on a cluster):
 
 * ``profile`` — one row per player (totals, averages, moments, modes);
-* ``hits`` — only the matches that carry a flag (rule or z-score).
+* ``hits`` — only the matches that carry a flag (rule or z-score);
+* ``flagged`` — one row per flagged player (counts, severity, escalation).
 
-Every report then reads those two tables, so the match table is scanned
+Every report then reads those tables, so the match table is scanned
 exactly twice per analysis (the player aggregate, the flag join) however
 many reports are built, and a lost executor re-reads those tables
 instead of recomputing from the raw scan.
@@ -58,7 +59,8 @@ class Analysis:
 
     @property
     def flagged(self) -> DataFrame:
-        return severity.flagged_players(self.hits, self.profile, self.cfg)
+        """Per-player verdicts (written once; one row per flagged player)."""
+        return self._cut("flagged", lambda: severity.flagged_players(self.hits, self.profile, self.cfg))
 
     # reports ---------------------------------------------------------------
     def suspicious_report(self) -> DataFrame:

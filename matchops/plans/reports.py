@@ -1,7 +1,8 @@
 """One batch run: CSV in, four reports out, plus the run summary.
 
-The analysis checkpoints its two shared intermediates (player profile,
-flagged matches) once; the four reports and the summary read them.
+The analysis writes its shared intermediates (player profile, flagged
+matches, per-player verdicts) once; the four reports and the summary read
+them.
 
     python -m matchops.plans.reports --data players.csv --output-dir out/
 """
