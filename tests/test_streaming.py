@@ -76,3 +76,24 @@ def test_dedup_and_store_policies(spark):
     pruned = plans.read_store(spark, store, region="India")
     assert "PartitionFilters: [isnotnull(region" in pruned._jdf.queryExecution().executedPlan().toString() \
         or "region" in str(pruned.inputFiles())
+
+
+def test_submission_verdicts(spark):
+    from matchops.streaming.verdicts import submission_verdicts
+
+    store = spark.createDataFrame(_rows([
+        ("A", "M1", 0, 100, 1, 1, 300, 40),          # clean history
+        ("B", "M1", 0, 100, 1, 1, 300, 700),         # B already flagged (ping, Low)
+    ]), SCHEMA)
+    subs = spark.createDataFrame(_rows([
+        ("A", "M2", 1, 100, 1, 1, 300, 40),          # clean, clean player
+        ("C", "M1", 1, 9000, 1, 1, 100, 40),         # own rules fire (rate 90, short match)
+        ("B", "M2", 1, 100, 1, 1, 300, 40),          # clean row, flagged player
+    ]), SCHEMA)
+    updated = store.unionByName(subs)
+    got = {r.player_id: r for r in submission_verdicts(updated, subs).collect()}
+    assert (got["A"].status, got["A"].severity, got["A"].reasons) == ("clean", "None", "")
+    assert (got["C"].status, got["C"].severity) == ("flagged", "High")
+    assert got["C"].reasons.startswith("Score rate spike: 90.00 score/sec")
+    assert (got["B"].status, got["B"].severity) == ("flagged", "Low")
+    assert got["B"].reasons == "Ping anomaly: 700ms (Limits: 5-500ms)"
