@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token starts as a linked list of its bytes.  Every adjacent pair that
-the vocabulary knows waits in the bucket of its merge rank; a bitmap of
+Pre-tokens that are new to a worker lie, byte by byte, in one linked list in
+which no pair reaches over the end of a pre-token.  Every adjacent pair
+that the vocabulary knows waits in the bucket of its merge rank; a bitmap of
 two levels marks the buckets in use, so find-first-set twice gives the
-lowest rank.  A bucket hands out its leftmost position first.  Merging
-changes the ranks of the two neighbouring pairs; their old entries stay in
-the buckets and are skipped when met, because the list then holds another
-rank for that position.  The work is near-linear in the length of the
-pre-token, however long it is.
+lowest rank.  A bucket's positions are merged together, leftmost first where
+two of them overlap.  Merging changes the ranks of the neighbouring pairs;
+their old entries stay in the buckets and are skipped when met, because the
+list then holds another rank for that position.  The work is near-linear in
+the length of a pre-token, however long it is.
 
 Contract: null and empty texts give no ids; ids decode to exactly the
 bytes of the text; special strings are ordinary text.  Repeated rows and
@@ -16,9 +17,9 @@ texts give equal results; other columns of the input are not read.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,85 +30,125 @@ from matchops.llm.common import map_texts, texts
 from matchops.llm.tokens import ChunkCache, ranks_of_tiktoken
 
 SPAN = 256  # ranks per leaf bitmap
-
-
-def merge(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """ids of each pre-token.  All lie in one linked list, in which no pair
-    reaches over the end of a pre-token, so one queue serves them all."""
-    text = b"".join(pieces)
-    n = len(text)
-    rank_of = ranks.get
-    end = list(range(1, n + 1))  # of the symbol that begins here
-    before = list(range(-1, n))  # start of the symbol to the left; -1: none in this pre-token
-    waits: list[int | None] = [None] * (n + 1)  # rank of the pair that begins here, if any
-    last = bytearray(n + 1)  # a pre-token ends here
-    buckets: dict[int, list[int]] = {}
-    leaves: dict[int, int] = {}
-    top = lo = 0
-    for piece in pieces:
-        hi = lo + len(piece)
-        if lo < hi:
-            before[lo] = -1
-            last[hi] = 1
-        for i in range(lo, hi - 1):
-            rank = rank_of(text[i:i + 2])
-            if rank is not None:
-                waits[i] = rank
-                if rank in buckets:
-                    buckets[rank].append(i)  # positions rise, so the list is a heap
-                else:
-                    buckets[rank] = [i]
-        lo = hi
-    for rank in buckets:
-        leaves[rank // SPAN] = leaves.get(rank // SPAN, 0) | 1 << rank % SPAN
-    for word in leaves:
-        top |= 1 << word
-    while top:
-        word = (top & -top).bit_length() - 1
-        leaf = leaves[word]
+NONE = -1
+JOINT = 1 << 21  # bytes of short pre-tokens that share one queue
+
+
+class Pairs:
+    """Ranks of all pairs of vocabulary ids that make up another one."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = {}
+        for word, rank in ranks.items():
+            for cut in range(1, len(word)):
+                left, right = ranks.get(word[:cut]), ranks.get(word[cut:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = rank
+        self.keys = np.array(sorted(found), np.int64)
+        self.rank = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: Ids that may join a neighbour at a rank below their own; where one would, its pre-token merges one place at a time.
+        self.early = {x for k, r in found.items() for x in (k >> 32, k & 0xFFFFFFFF) if r < x}
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], NONE)
+
+
+    def below(self, rank: int, other: np.ndarray, on_right: bool) -> np.ndarray:
+        """Whether the id ``rank`` joins ``other`` at a rank below its own."""
+        own = np.full(len(other), rank, np.int64)
+        joined = self(own, other) if on_right else self(other, own)
+        return (joined != NONE) & (joined < rank)
+
+
+class RankQueue:
+    """Buckets of positions by rank, under a bitmap of two levels."""
+
+    def __init__(self):
+        self.buckets: dict[int, list[np.ndarray]] = {}
+        self.leaves: dict[int, int] = {}
+        self.top = 0
+
+    def push(self, at: np.ndarray, rank: np.ndarray) -> None:
+        order = np.argsort(rank, kind="stable")
+        order = order[np.searchsorted(rank[order], 0):]  # without NONE
+        if not len(order):
+            return
+        at, rank = at[order], rank[order]
+        cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        for r, lo, hi in zip(rank[starts].tolist(), starts, [*starts[1:], len(rank)], strict=True):
+            if r in self.buckets:
+                self.buckets[r].append(at[lo:hi])
+            else:
+                self.buckets[r] = [at[lo:hi]]
+                word = r // SPAN
+                self.leaves[word] = self.leaves.get(word, 0) | 1 << r % SPAN
+                self.top |= 1 << word
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        """The lowest rank and all its entries."""
+        word = (self.top & -self.top).bit_length() - 1
+        leaf = self.leaves[word]
         bit = leaf & -leaf
+        self.leaves[word] = leaf ^ bit
+        if leaf == bit:
+            self.top ^= 1 << word
         rank = word * SPAN + bit.bit_length() - 1
-        bucket = buckets[rank]
-        lowest = False  # whether a pair of lower rank has come to wait
-        while bucket and not lowest:
-            i = heappop(bucket)
-            if waits[i] != rank:
-                continue  # stale
-            j = end[i]
-            k = end[i] = end[j]
-            waits[i] = waits[j] = None
-            left = before[i]
-            if last[k]:
-                todo = ((left, k),) if left >= 0 else ()
-            else:
-                before[k] = i
-                todo = ((i, end[k]), (left, k)) if left >= 0 else ((i, end[k]),)
-            for at, stop in todo:
-                new = waits[at] = rank_of(text[at:stop])
-                if new is None:
-                    continue
-                if new in buckets:
-                    heappush(buckets[new], at)
-                else:
-                    buckets[new] = [at]
-                    hi = new // SPAN
-                    leaves[hi] = leaves.get(hi, 0) | 1 << new % SPAN
-                    top |= 1 << hi
-                lowest |= new < rank
-        if not bucket:
-            del buckets[rank]
-            leaves[word] &= ~bit
-            if not leaves[word]:
-                top &= ~(1 << word)
-    out, lo = [], 0
-    for piece in pieces:
-        ids, i, hi = [], lo, lo + len(piece)
-        while i < hi:
-            ids.append(ranks[text[i:end[i]]])
-            i = end[i]
-        out.append(ids)
-        lo = hi
-    return out
+        found = self.buckets.pop(rank)
+        return rank, found[0] if len(found) == 1 else np.concatenate(found)
+
+
+def merge(pieces: list[bytes], pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all the pre-tokens, none of them empty; how many each has)."""
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    ids = pairs.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    n, stops = len(ids), np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(pieces)), lengths)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[stops - 1] = NONE
+    before[stops - lengths] = NONE
+    alive = np.ones(n, bool)
+    waits = np.full(n, NONE)
+    at = np.flatnonzero(after != NONE)
+    waits[at] = pairs(ids[at], ids[after[at]])
+    queue = RankQueue()
+    queue.push(at, waits[at])
+    while queue.top:
+        rank, at = queue.pop()
+        at = at[waits[at] == rank]  # the others are stale
+        if len(at) > 1:
+            at = np.unique(at)
+            if rank in pairs.early:
+                right, left = after[after[at]], before[at]
+                lower = (right != NONE) & (pairs.below(rank, ids[right], True) | (ids[right] == ids[at]))
+                lower |= (left != NONE) & (pairs.below(rank, ids[left], False) | (ids[left] == ids[after[at]]))
+                first = np.r_[True, owner[at[1:]] != owner[at[:-1]]]
+                now = first | ~np.isin(owner[at], owner[at[lower]])
+                queue.push(at[~now], waits[at[~now]])
+                at = at[now]
+            overlaps = np.r_[False, after[at[:-1]] == at[1:]]
+            if overlaps.any():
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(overlaps, 0, place))) % 2 == 0]
+        if not len(at):
+            continue
+        gone = after[at]
+        then = after[gone]
+        ids[at] = rank
+        after[at] = then
+        alive[gone] = False
+        waits[gone] = waits[at] = NONE
+        inner = then != NONE
+        before[then[inner]] = at[inner]
+        left = before[at]
+        left = left[left != NONE]
+        at = np.concatenate([at[inner], left])
+        waits[at] = pairs(ids[at], ids[after[at]])
+        queue.push(at, waits[at])
+    return ids[alive], np.bincount(owner[alive], minlength=len(pieces))
 
 
 class Splitter:
@@ -150,16 +191,26 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.ranks = ranks_of_tiktoken(path)
         self.split = Splitter(pattern)
+        self.pairs = Pairs(self.ranks)
         self.words: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
         for word, i in self.ranks.items():
             self.words[i] = word
+        self.whole = {word: struct.pack("<I", i) for word, i in self.ranks.items()}
         self.cache = ChunkCache(self._encode)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         cut = [[p.encode() for p in self.split(c)] for c in chunks]
-        new = [p for p in set().union(*cut) if p not in self.ranks] if cut else []
-        ids = dict(zip(new, merge(new, self.ranks), strict=True))
-        return [np.array([i for p in ps for i in (ids[p] if p in ids else (self.ranks[p],))], "<u4").tobytes() for ps in cut]
+        new = [p for p in set().union(*cut) if p not in self.whole] if cut else []
+        known: dict[bytes, bytes] = {}
+        lo = size = 0
+        for hi, piece in enumerate(new, 1):
+            size += len(piece)
+            if size > JOINT or hi == len(new):
+                ids, counts = merge(new[lo:hi], self.pairs)
+                flat, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                known.update(zip(new[lo:hi], map(flat.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+                lo, size = hi, 0
+        return [b"".join([self.whole[p] if p in self.whole else known[p] for p in ps]) for ps in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4").astype(np.int32) for x in self.cache.ids(texts)]

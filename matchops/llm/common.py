@@ -30,7 +30,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 512, max_bytes: int = 8 << 20,
+def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 512, max_bytes: int = 2 << 20,
            text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that one slice holds few rows and few bytes
     (a single longer text is a slice of its own)."""

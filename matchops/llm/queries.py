@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchops.llm import bpe, packing
+from matchops.llm import bpe, near_dups, packing
 from matchops.llm.common import table
 
 
@@ -27,8 +27,43 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over shingles of four words."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op10_near_dups": op10_near_dups,
+}
+SQL: dict[str, str] = {
+    "op10_near_dups": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents),
+        s AS (
+          SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
+                              WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                              ELSE list_distinct(list_transform(range(1, len(ws) - 2),
+                                     lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh
+          FROM w),
+        n AS (SELECT doc_id, len(sh) AS n_shingles FROM s),
+        u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+        links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b
+          FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id
+          JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n_shingles, nb.n_shingles
+          HAVING 100 * count(*) >= 80 * (na.n_shingles + nb.n_shingles - count(*))),
+        reach AS (
+          SELECT doc_id AS node, doc_id AS root FROM n
+          UNION
+          SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node)
+        SELECT n.doc_id, CAST(n.n_shingles AS BIGINT) AS n_shingles, min(r.root) AS component_id,
+               n.doc_id = min(r.root) AS kept
+        FROM n JOIN reach r ON r.node = n.doc_id
+        GROUP BY n.doc_id, n.n_shingles""",
 }
-SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 500_000  # per worker and cache; it is emptied when full
+CACHE_ENTRIES = 250_000  # per worker and cache; it is emptied when full
 LONGEST_CACHED = 64  # characters; longer chunks are encoded anew each time
 
 _UNEVEN = re.compile(r" (?=\s|$)")  # a space that does not begin a chunk
