@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchops.llm import bpe, near_dups, packing
+from matchops.llm import bpe, near_dups, packing, sharding, topk
 from matchops.llm.common import table
 
 
@@ -27,6 +27,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes."""
+    return sharding.shard_bytes(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every hundredth vector, against all others."""
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over shingles of four words."""
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
@@ -35,9 +46,23 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op4_sharding": op4_sharding,
+    "op9_topk": op9_topk,
     "op10_near_dups": op10_near_dups,
 }
 SQL: dict[str, str] = {
+    "op9_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id,
+                 CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_near_dups": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(regexp_split_to_array(
