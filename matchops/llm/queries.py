@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchops.llm import bpe, near_dups, packing, sharding, topk
+from matchops.llm import bpe, language, near_dups, packing, sharding, topk, toxicity
 from matchops.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed pieces of all documents."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -32,6 +37,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_bytes(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every hundredth vector, against all others."""
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
@@ -44,9 +54,11 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
+    "op5_language": op5_language,
     "op9_topk": op9_topk,
     "op10_near_dups": op10_near_dups,
 }
