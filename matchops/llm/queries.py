@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchops.llm import bpe, language, near_dups, packing, sharding, topk, toxicity
+from matchops.llm import bpe, language, near_dups, packing, sharding, token_counts, topk, toxicity
 from matchops.llm.common import table
 
 
@@ -42,6 +42,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document."""
+    counted = token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every hundredth vector, against all others."""
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
     "op5_language": op5_language,
+    "op6_token_counts": op6_token_counts,
     "op9_topk": op9_topk,
     "op10_near_dups": op10_near_dups,
 }

@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,11 @@ from matchops.session import materialize
 LABELLED = 4000  # labelled rows of each class that the lexicon is mined from, at most
 POSTERIOR = 6000  # documents of each posterior class that the classifier learns from, at most
 LEXICON = 58  # voters; with the patterns they fit a 64-bit mask
-ROUNDS = 8
+ROUNDS = 6
+ANCHOR = 4.0  # weight of the labelled sample against all documents in the label model
+FORM = 4000  # characters at a text's start that the pattern voters look at
 BUCKETS = 1 << 20
+DENSE = 0.005  # share of a text's words
 _WORD = re.compile(r"\w+")
 _PATTERNS = (
     lambda t, words: sum(map(str.isupper, words)) > 0.3 * len(words) > 3,
@@ -48,7 +53,34 @@ _PATTERNS = (
 
 def stems(word: str) -> set[str]:
     """The word and its beginnings, the latter marked."""
-    return {word} | {word[:n] + "-" for n in (4, 5, 6) if len(word) >= n}
+    return {word} | {word[:n] + "-" for n in range(4, 9) if len(word) >= n}
+
+
+class Marker:
+    """Values of the marks that a text carries.  A stem is a mark; the stem
+    with "!" is the mark that at least DENSE of the text's words carry it.
+    ``value`` gives a mark's value, 0 for a mark of no interest."""
+
+    def __init__(self, value: Callable[[str], float]):
+        self.value, self.memo = value, {}
+
+    def _of(self, word: str) -> tuple:
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            values = ((s, self.value(s), self.value(s + "!")) for s in sorted(stems(word)))
+            found = self.memo[word] = tuple(v for v in values if v[1] or v[2])
+        return found
+
+    def __call__(self, text: str) -> list:
+        words = _WORD.findall(text.lower())
+        counts: dict[tuple, int] = {}
+        for word, n in Counter(words).items():
+            for v in self._of(word):
+                counts[v] = counts.get(v, 0) + n
+        dense = DENSE * len(words)
+        return [x for (_, some, many), n in counts.items() for x in ((some, many) if n >= dense else (some,)) if x]
 
 
 def _sample(rows: DataFrame, limit: int) -> DataFrame:
@@ -56,54 +88,60 @@ def _sample(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def mine_lexicon(docs: DataFrame, labels: DataFrame) -> list[str]:
+class Lexicon:
+    """Stems that vote, and how often each voter (patterns last) fired in
+    either class of the labelled sample, with the sizes of the classes."""
+
+    def __init__(self, stems: list[str], fired: np.ndarray, rows: np.ndarray):
+        self.stems, self.fired, self.rows = stems, fired, rows
+
+
+def mine_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Stems that mark toxic rows among the sampled labelled rows."""
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     rows = texts(docs).where(~held_out()).join(known.where(~held_out()), "doc_id").select("doc_id", "text", "toxic")
     both = _sample(rows.where("toxic = 1"), LABELLED).union(_sample(rows.where("toxic = 0"), LABELLED))
-    schema = pa.schema([("stem", pa.string()), ("pos", pa.int64()), ("neg", pa.int64()), ("n_pos", pa.int64()), ("n_neg", pa.int64())])
+    schema = pa.schema([("stem", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches):
-        hits, n = (Counter(), Counter()), [0, 0]
+        hits, met, marks = (Counter(), Counter()), set(), Marker(str)
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                n[toxic] += 1
-                hits[toxic].update(set().union(*map(stems, set(_WORD.findall(text.lower())))))
-        yield pa.RecordBatch.from_pylist([{"stem": s, "pos": k, "neg": hits[0][s], "n_pos": n[1], "n_neg": n[0]}
-                                          for s, k in hits[1].items() if k >= max(2, 0.005 * n[1])], schema=schema)
-
-    found = both.coalesce(1).mapInArrow(count, "stem string, pos long, neg long, n_pos long, n_neg long")
-    rate = (F.col("neg") + 0.5) / (F.col("n_neg") + 1.0)
-    gain = F.sqrt("pos") * F.log((F.col("pos") + 0.5) / (F.col("n_pos") + 1.0) / rate)
-    best = found.where((F.col("pos") + 0.5) / (F.col("n_pos") + 1.0) > 8 * rate).orderBy(F.desc(gain), "stem").limit(8 * LEXICON)
-    chosen: list[str] = []
-    for stem, in best.select("stem").collect():
-        bare = stem.rstrip("-")
-        if len(chosen) < LEXICON and not any(c.endswith("-") and bare.startswith(c[:-1]) for c in chosen):
-            chosen.append(stem)
-    return chosen
+                if text in met:
+                    continue
+                met.add(text)
+                words = text[:FORM].split()
+                hits[toxic].update([" rows", *marks(text)])
+                hits[toxic].update(f" {j}" for j, fires in enumerate(_PATTERNS) if fires(text, words))
+        least = max(3, 0.02 * hits[1][" rows"])
+        yield pa.RecordBatch.from_pylist([{"stem": s, "pos": k, "neg": hits[0][s]} for s, k in (hits[0] + hits[1]).items()
+                                          for k in [hits[1][s]] if k >= least or s[0] == " "], schema=schema)
+
+    found = materialize(both.coalesce(1).mapInArrow(count, "stem string, pos long, neg long"), "lexicon")
+    form = {r[0]: r[1:] for r in found.where("stem like ' %'").collect()}
+    n_pos, n_neg = form.pop(" rows", (0, 0))
+    rate, base = F.col("pos") / max(n_pos, 1), (F.col("neg") + 1) / (n_neg + 2)
+    best = (found.where("stem not like ' %'").where(rate > 10 * base)
+            .orderBy(F.desc(F.sqrt("pos") * F.log(rate / base)), "stem").limit(8 * LEXICON))
+    chosen: dict[str, tuple[int, int]] = {}
+    for stem, pos, neg in best.collect():
+        bare = stem.rstrip("!-")
+        if len(chosen) < LEXICON and not any(bare.startswith(c.rstrip("!-")) or c.startswith(bare) for c in chosen):
+            chosen[stem] = pos, neg
+    counts = [*chosen.values(), *(form.get(f" {j}", (0, 0)) for j in range(len(_PATTERNS)))]
+    return Lexicon(list(chosen), np.array([[neg for _, neg in counts], [pos for pos, _ in counts]], float), np.array([n_neg, n_pos], float))
 
 
 class Voters:
     """Votes of a text as a bitmask; bit j: voter j fires."""
 
     def __init__(self, lexicon: list[str]):
-        self.bit = {s: 1 << j for j, s in enumerate(lexicon)}
-        self.count = len(lexicon) + len(_PATTERNS)
-        self.first_pattern = len(lexicon)
-        self.masks: dict[str, int] = {}
-
-    def _mask(self, word: str) -> int:
-        mask = self.masks.get(word)
-        if mask is None:
-            if len(self.masks) > 300_000:
-                self.masks.clear()
-            mask = self.masks[word] = reduce(or_, (self.bit.get(s, 0) for s in stems(word)))
-        return mask
+        bit = {s: 1 << j for j, s in enumerate(lexicon)}
+        self.marks, self.first_pattern = Marker(lambda mark: bit.get(mark, 0)), len(lexicon)
 
     def __call__(self, text: str) -> int:
-        out = reduce(or_, map(self._mask, set(_WORD.findall(text.lower()))), 0)
-        words = text[:4000].split()  # the form of a text shows in its beginning
+        out = reduce(or_, self.marks(text), 0)
+        words = text[:FORM].split()
         for j, fires in enumerate(_PATTERNS):
             if fires(text, words):
                 out |= 1 << (self.first_pattern + j)
@@ -121,11 +159,11 @@ def vote(docs: DataFrame, lexicon: list[str]) -> DataFrame:
 class LabelModel:
     """P(voter fires | class), prior, and how much of its say each voter keeps."""
 
-    def __init__(self, count: int, prior: float, lexicon: int):
-        self.prior = prior
-        self.fires = np.full((2, count), 0.05)
-        self.fires[0, :lexicon], self.fires[1, :lexicon] = 0.001, 0.25
-        self.say = np.ones(count)
+    def __init__(self, lexicon: Lexicon):
+        n_neg, n_pos = lexicon.rows
+        self.prior = float(np.clip(n_pos / max(n_neg + n_pos, 1), 1e-4, 0.5))
+        self.fires = (lexicon.fired + 0.5) / (lexicon.rows[:, None] + 1)
+        self.say = np.ones(self.fires.shape[1])
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
         """Of the rows of a 0/1 matrix."""
@@ -138,11 +176,13 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -30, 30)))
 
 
-def fit_label_model(votes: DataFrame, lexicon: int, prior: float) -> LabelModel:
+def fit_label_model(votes: DataFrame, lexicon: Lexicon) -> LabelModel:
     """EM over all documents; each round sums class weights, fires and joint
-    fires of the voters inside the tasks and adds the few sums up."""
-    count = lexicon + len(_PATTERNS)
-    model = LabelModel(count, prior, lexicon)
+    fires of the voters inside the tasks and adds the few sums up.  The
+    labelled sample stays in as pseudo-rows, which keeps the hidden class
+    the toxic one."""
+    model = LabelModel(lexicon)
+    count = len(model.say)
     patterns = materialize(votes.groupBy("votes").count(), "votes")
     width = 1 + count + count * count
     for _ in range(ROUNDS):
@@ -167,21 +207,20 @@ def fit_label_model(votes: DataFrame, lexicon: int, prior: float) -> LabelModel:
         if not sums[1, 0] > 0 or not sums[0, 0] > 0:
             break
         model.prior = float(np.clip(sums[1, 0] / sums[:, 0].sum(), 1e-4, 0.5))
-        model.fires = (sums[:, 1:1 + count] + [[0.01], [0.5]]) / (sums[:, :1] + 1)
+        anchor = ANCHOR * np.maximum(sums[:, :1], 1) / np.maximum(lexicon.rows[:, None], 1)
+        model.fires = (sums[:, 1:1 + count] + anchor * lexicon.fired + 0.5) / (sums[:, :1] + anchor * lexicon.rows[:, None] + 1)
         joint = sums[:, 1 + count:].reshape(2, count, count) / np.maximum(sums[:, :1, None], 1)
-        f = model.fires
+        f = sums[:, 1:1 + count] / np.maximum(sums[:, :1], 1)
         spread = np.sqrt(np.maximum(f * (1 - f), 1e-9))
         tied = np.abs((joint - f[:, :, None] * f[:, None, :]) / (spread[:, :, None] * spread[:, None, :])).max(axis=0)
         np.fill_diagonal(tied, 0)
-        model.say = 1 / (1 + np.where(tied > 0.3, np.minimum(tied, 1), 0).sum(axis=1))
+        worth = model.fires[1] * np.maximum(np.log(model.fires[1] / model.fires[0]), 1e-3) + 1e-9
+        model.say = worth / (worth + np.where(tied > 0.3, np.minimum(tied, 1), 0) @ worth)
     return model
 
 
-def _features(text: str) -> list[int]:
-    """Buckets of the text's stems (crc32, so that all workers agree)."""
-    from zlib import crc32
-
-    return [crc32(s.encode()) % BUCKETS for s in set().union(*map(stems, set(_WORD.findall(text.lower()))))]
+def bucket(mark: str) -> int:
+    return crc32(mark.encode()) % BUCKETS
 
 
 def train(rows: DataFrame) -> tuple[dict[int, float], float]:
@@ -189,7 +228,8 @@ def train(rows: DataFrame) -> tuple[dict[int, float], float]:
     schema = pa.schema([("bucket", pa.int64()), ("weight", pa.float64())])
 
     def fit(batches):
-        data = [(np.array(_features(t), np.int64), p) for b in batches
+        marks = Marker(lambda mark: 1 + bucket(mark))
+        data = [(np.array(marks(t), np.int64) - 1, p) for b in batches
                 for t, p in zip(b.column("text").to_pylist(), b.column("p").to_pylist(), strict=True)]
         order = np.random.default_rng(1).permutation(len(data))
         w, seen, bias, rate, l1 = np.zeros(BUCKETS, np.float32), np.full(BUCKETS, 1e-3, np.float32), 0.0, 0.3, 0.01
@@ -227,12 +267,11 @@ def train(rows: DataFrame) -> tuple[dict[int, float], float]:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, posterior) of every row of ``docs``."""
     lexicon = mine_lexicon(docs, labels)
-    votes = materialize(vote(docs, lexicon), "voted")
-    known = labels.where("toxic is not null").where(~held_out()).agg(F.avg("toxic")).first()[0]
-    model = fit_label_model(votes, len(lexicon), float(np.clip(known or 0.05, 0.001, 0.5)))
+    votes = materialize(vote(docs, lexicon.stems), "voted")
+    model = fit_label_model(votes, lexicon)
     sc = docs.sparkSession.sparkContext
     weights, bias = {}, -3.0
-    if lexicon:
+    if lexicon.stems:
         def judge(batches):
             for b in batches:
                 p = model.posterior(b.column("votes").to_numpy())
@@ -243,21 +282,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         weights, bias = train(texts(docs).join(F.broadcast(sample), "doc_id"))
     shared = sc.broadcast((weights, bias))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    memo: dict[str, float] = {}
-
-    def of(word: str) -> float:
-        value = memo.get(word)
-        if value is None:
-            from zlib import crc32
-
-            if len(memo) > 300_000:
-                memo.clear()
-            w = shared.value[0]
-            value = memo[word] = sum(w.get(crc32(s.encode()) % BUCKETS, 0.0) for s in stems(word))
-        return value
+    marks = Marker(lambda mark: shared.value[0].get(bucket(mark), 0.0))
 
     def run(part: pa.RecordBatch) -> dict:
-        z = [sum(map(of, set(_WORD.findall(t.lower())))) + shared.value[1] for t in part.column("text").to_pylist()]
+        z = [sum(marks(t)) + shared.value[1] for t in part.column("text").to_pylist()]
         return {"doc_id": part.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))}
 
     scored = map_texts(texts(docs), run, schema, "doc_id long, score double")
