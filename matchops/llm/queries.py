@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchops.llm import bpe, language, near_dups, packing, sharding, token_counts, topk, toxicity
+from matchops.llm import bpe, fingerprints, language, licenses, near_dups, packing, sharding, token_counts, topk, toxicity
 from matchops.llm.common import table
 
 
@@ -48,6 +48,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every hundredth vector, against all others."""
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
@@ -66,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_language": op5_language,
     "op6_token_counts": op6_token_counts,
+    "op7_licenses": op7_licenses,
+    "op8_fingerprints": op8_fingerprints,
     "op9_topk": op9_topk,
     "op10_near_dups": op10_near_dups,
 }

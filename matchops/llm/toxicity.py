@@ -38,6 +38,7 @@ LABELLED = 4000  # labelled rows of each class that the lexicon is mined from, a
 POSTERIOR = 6000  # documents of each posterior class that the classifier learns from, at most
 LEXICON = 58  # voters; with the patterns they fit a 64-bit mask
 ROUNDS = 6
+LIKELIHOOD = 30  # a stem votes if toxic rows carry it this many times as often as clean ones
 ANCHOR = 4.0  # weight of the labelled sample against all documents in the label model
 FORM = 4000  # characters at a text's start that the pattern voters look at
 BUCKETS = 1 << 20
@@ -121,7 +122,7 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     form = {r[0]: r[1:] for r in found.where("stem like ' %'").collect()}
     n_pos, n_neg = form.pop(" rows", (0, 0))
     rate, base = F.col("pos") / max(n_pos, 1), (F.col("neg") + 1) / (n_neg + 2)
-    best = (found.where("stem not like ' %'").where(rate > 10 * base)
+    best = (found.where("stem not like ' %'").where(rate > LIKELIHOOD * base)
             .orderBy(F.desc(F.sqrt("pos") * F.log(rate / base)), "stem").limit(8 * LEXICON))
     chosen: dict[str, tuple[int, int]] = {}
     for stem, pos, neg in best.collect():
