@@ -1,4 +1,8 @@
-"""The corpus pipeline: the stages that turn ``documents`` into packed sequences."""
+"""The corpus pipeline: from ``documents`` to packed sequences.
+
+Toxic documents go, then documents whose language cannot be told, then all
+but one of each group of near-duplicates; the rest is packed.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,51 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchops.llm import packing
-from matchops.llm.common import table
+from matchops.llm import language, near_dups, packing, toxicity
+from matchops.llm.common import importable, table
 from matchops.session import materialize
 
+LEAST_SURE = 0.3  # of a language; four equally likely ones have 0.25 each
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.5."""
+    importable(spark)
+    of = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.where(of(F.col("text")) < 0.5)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is told better than by chance."""
+    importable(spark)
+    of = language.predictor(spark, language.fit(docs))
+    found = docs.select("*", of("text").alias("_found"))
+    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SURE)).drop("_found")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every near-duplicate group."""
+    importable(spark)
+    gone = near_dups.near_duplicates(docs, words=5, threshold=0.8).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids."""
+    importable(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_dedup", drop_near_duplicates),
     ("packing", pack),
 ]
 
-#: No stage but the dedup can be written in SQL (two train a model, one runs a tokenizer).
+#: Two stages train a model and the last runs a tokenizer: not for SQL.
 ORACLE_SQL: str | None = None
 
 

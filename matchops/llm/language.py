@@ -15,11 +15,12 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchops.llm.common import held_out, map_texts
+from matchops.llm.common import held_out
 
 BITS = 15
 SAMPLE = 8000  # teaching rows that the weights are fitted on, at most
@@ -124,29 +125,39 @@ def train(rows: DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray, floa
     return [r[0] for r in found], np.stack([np.frombuffer(r[1], "<f4") for r in found]), found[0][2]
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row of ``docs``."""
+def fit(docs: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, float]:
+    """(idf, languages, weights, temperature), learned without held-out rows."""
     teaching = _docs(docs, "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     df, n = document_frequencies(teaching)
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = teaching.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    shared = docs.sparkSession.sparkContext.broadcast((idf, *train(sample, idf)))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    return idf, *train(teaching.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), idf)
+
+
+def predictor(spark: SparkSession, model: tuple):
+    """A column function: text -> struct(lang_pred, score)."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(part: pa.RecordBatch) -> dict:
+    @F.pandas_udf("lang_pred string, score double")
+    def of(text: pd.Series) -> pd.DataFrame:
         idf, langs, w, temperature = shared.value
         preds, scores = [], []
-        for text in part.column("text").to_pylist():
-            if not langs or not has_letter(text):
+        for t in text:
+            if not langs or not has_letter(t):
                 preds.append("und")
                 scores.append(0.0)
                 continue
-            at, x = weighted(text, idf)
+            at, x = weighted(t, idf)
             s = w[:, at] @ x / temperature
             p = np.exp(s - s.max())
             preds.append(langs[int(np.argmax(p))])
             scores.append(float(p.max() / p.sum()))
-        return {"doc_id": part.column("doc_id"), "lang_pred": preds, "score": scores}
+        return pd.DataFrame({"lang_pred": pd.Series(preds, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    out = map_texts(_docs(docs), run, schema, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return of
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row of ``docs``."""
+    of = predictor(docs.sparkSession, fit(docs))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of("text").alias("p"))
+    return found.select("doc_id", held_out().alias("held_out"), "p.lang_pred", "p.score")

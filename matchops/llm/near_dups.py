@@ -113,11 +113,13 @@ class _Region:
     def __init__(self, threshold: float):
         self.sure, self.possible, self.threshold = threshold + SURE, threshold + POSSIBLE, threshold
 
-    def pairs(self, sizes: np.ndarray, labels: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+    def pairs(self, reps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
         nibbles = np.concatenate([sketches >> 4, sketches & 15], axis=1)
         todo = [(0, len(sizes), MIN_DEPTH)]
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
+        # in a crowded region most rows meet the one with the least id, the same in many trees
+        every = np.arange(len(sizes) if len(sizes) > REGION else 0)
+        left: list[np.ndarray] = [np.full(len(every), np.argmin(reps))]
+        right: list[np.ndarray] = [every]
         while todo:
             lo, hi, depth = todo.pop()
             n = hi - lo
@@ -136,14 +138,16 @@ class _Region:
             right.append(j + lo)
         i, j = np.concatenate(left), np.concatenate(right)
         small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        keep = small >= self.threshold * large - 1e-9
+        keep = (small >= self.threshold * large - 1e-9) & (i != j)
         i, j = i[keep], j[keep]
         alike = np.concatenate([(nibbles[i[k:k + 4096]] == nibbles[j[k:k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
         alike = (alike - 1 / 16) * 16 / 15
         parent = list(range(len(sizes)))
-        for k in np.argsort(-alike, kind="stable"):
+        hub = len(sizes) > REGION
+        central = (i == np.argmin(reps)) & (alike >= self.sure) if hub else np.zeros(len(i), bool)
+        for k in np.lexsort((-alike, ~central)):
             if alike[k] < self.possible:
-                return
+                break
             p, q = _find(parent, i[k]), _find(parent, j[k])
             if p != q:
                 yield int(i[k]), int(j[k])
@@ -157,7 +161,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     order = ["tree", *(f"l{i}" for i in range(DEPTH)), "spread"]
     rows = rows.select("rep", "n_shingles", "sketch", "tree", *(F.col("label")[i].alias(f"l{i}") for i in range(DEPTH)),
                        F.xxhash64("rep", "tree").alias("spread"))
-    rows = rows.repartitionByRange(4 * shuffle_width(classes.sparkSession), *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(shuffle_width(classes.sparkSession), *order).sortWithinPartitions(*order)
 
     def walk(batches):
         held: list[np.ndarray] = []
@@ -170,7 +174,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
                 if hi - lo > 1:
                     own = reps[lo:hi]
                     out += [(min(own[i], own[j]), max(own[i], own[j])) for i, j in
-                            region.pairs(sizes[lo:hi], labels[lo:hi, 1:], sketches[lo:hi])]
+                            region.pairs(own, sizes[lo:hi], labels[lo:hi, 1:], sketches[lo:hi])]
             a, b = zip(*set(out), strict=True) if out else ((), ())
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

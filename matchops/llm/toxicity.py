@@ -27,21 +27,24 @@ from operator import or_
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchops.llm.common import held_out, map_texts, texts
 from matchops.session import materialize
 
-LABELLED = 4000  # labelled rows of each class that the lexicon is mined from, at most
-POSTERIOR = 6000  # documents of each posterior class that the classifier learns from, at most
+LABELLED = 2500  # labelled rows of each class that the lexicon is mined from, at most
+POSTERIOR = 3000  # documents of each posterior class that the classifier learns from, at most
 LEXICON = 58  # voters; with the patterns they fit a 64-bit mask
 ROUNDS = 6
 LIKELIHOOD = 30  # a stem votes if toxic rows carry it this many times as often as clean ones
 ANCHOR = 4.0  # weight of the labelled sample against all documents in the label model
 FORM = 4000  # characters at a text's start that the pattern voters look at
 BUCKETS = 1 << 20
+FEATURES = 2000
+RATE, L1 = 0.3, 0.02
 DENSE = 0.005  # share of a text's words
 _WORD = re.compile(r"\w+")
 _PATTERNS = (
@@ -99,9 +102,10 @@ class Lexicon:
 
 def mine_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Stems that mark toxic rows among the sampled labelled rows."""
-    known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    rows = texts(docs).where(~held_out()).join(known.where(~held_out()), "doc_id").select("doc_id", "text", "toxic")
-    both = _sample(rows.where("toxic = 1"), LABELLED).union(_sample(rows.where("toxic = 0"), LABELLED))
+    known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where(~held_out()).dropDuplicates(["doc_id"])
+    chosen_rows = materialize(_sample(known.where("toxic = 1"), LABELLED).union(_sample(known.where("toxic = 0"), LABELLED)), "labelled")
+    both = texts(docs).join(F.broadcast(chosen_rows), "doc_id").select("text", "toxic")  # the sample is bounded
     schema = pa.schema([("stem", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches):
@@ -213,7 +217,7 @@ def fit_label_model(votes: DataFrame, lexicon: Lexicon) -> LabelModel:
         joint = sums[:, 1 + count:].reshape(2, count, count) / np.maximum(sums[:, :1, None], 1)
         f = sums[:, 1:1 + count] / np.maximum(sums[:, :1], 1)
         spread = np.sqrt(np.maximum(f * (1 - f), 1e-9))
-        tied = np.abs((joint - f[:, :, None] * f[:, None, :]) / (spread[:, :, None] * spread[:, None, :])).max(axis=0)
+        tied = np.abs((joint - f[:, :, None] * f[:, None, :]) / (spread[:, :, None] * spread[:, None, :])).min(axis=0)  # in both classes
         np.fill_diagonal(tied, 0)
         worth = model.fires[1] * np.maximum(np.log(model.fires[1] / model.fires[0]), 1e-3) + 1e-9
         model.say = worth / (worth + np.where(tied > 0.3, np.minimum(tied, 1), 0) @ worth)
@@ -224,70 +228,79 @@ def bucket(mark: str) -> int:
     return crc32(mark.encode()) % BUCKETS
 
 
-def train(rows: DataFrame) -> tuple[dict[int, float], float]:
-    """Weights of the sparse linear classifier on (doc_id, text, p), and its bias."""
+def train(rows: DataFrame, prior: float) -> tuple[dict[int, float], float]:
+    """Weights of the sparse linear classifier on (doc_id, text, p), and its
+    bias for a corpus in which toxic documents have the share ``prior``."""
     schema = pa.schema([("bucket", pa.int64()), ("weight", pa.float64())])
 
     def fit(batches):
         marks = Marker(lambda mark: 1 + bucket(mark))
-        data = [(np.array(marks(t), np.int64) - 1, p) for b in batches
+        data = [(np.unique(np.array(marks(t), np.int64)) - 1, p) for b in batches
                 for t, p in zip(b.column("text").to_pylist(), b.column("p").to_pylist(), strict=True)]
+        shown = np.zeros((2, BUCKETS))
+        for x, p in data:
+            shown[0, x] += 1 - p
+            shown[1, x] += p
+        mass = np.array([sum(1 - p for _, p in data), sum(p for _, p in data)])
+        rate = shown[1] / max(mass[1], 1e-9)
+        odds = rate / ((shown[0] + 1) / (mass[0] + 2))
+        gain = np.where((odds > 8) & (shown[1] >= max(3, 0.005 * mass[1])), np.sqrt(shown[1]) * np.log(np.maximum(odds, 1e-9)), 0)
+        kept = np.argsort(-gain, kind="stable")[:FEATURES]
+        kept = np.sort(kept[gain[kept] > 0])
+        data = [(np.searchsorted(kept, np.intersect1d(x, kept)), p) for x, p in data]
         order = np.random.default_rng(1).permutation(len(data))
-        w, seen, bias, rate, l1 = np.zeros(BUCKETS, np.float32), np.full(BUCKETS, 1e-3, np.float32), 0.0, 0.3, 0.01
-        for _ in range(3):
+        w, seen, bias = np.zeros(len(kept)), np.full(len(kept), 1e-3), 0.0
+        for _ in range(5):
             for i in order:
                 x, p = data[i]
                 g = 1 / (1 + np.exp(-np.clip(w[x].sum() + bias, -30, 30))) - p
                 bias -= 0.02 * g
                 seen[x] += g * g
-                step = rate / np.sqrt(seen[x])
+                step = RATE / np.sqrt(seen[x])
                 moved = w[x] - step * g
-                w[x] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1 * abs(g), 0)
-        # noise: a weight that the sample does not show often enough goes
-        shown = np.zeros(BUCKETS, np.int32)
-        for x, p in data:
-            if p > 0.5:
-                shown[x] += 1
-        w[(shown < 3) & (w > 0)] = 0
-        at = np.flatnonzero(np.abs(w) > 0.02)
-        # the cut: a bias that puts the sampled documents' scores on their side
-        score = np.array([w[x][np.abs(w[x]) > 0.02].sum() for x, _ in data])
-        label = np.array([p > 0.5 for _, p in data])
-        if label.any() and not label.all():
-            cuts = np.unique(np.quantile(score, np.linspace(0, 1, 401)))
-            mids = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-            wrong = [(score[label] < c).mean() + 2 * (score[~label] >= c).mean() for c in mids]
-            bias = -float(mids[int(np.argmin(wrong))])
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[bias, w[at].astype(float)])], schema=schema)
-
-    found = rows.coalesce(1).mapInArrow(fit, "bucket long, weight double").collect()  # at most the sample's features
-    weights = {b: w for b, w in found}
+                w[x] = np.sign(moved) * np.maximum(np.abs(moved) - step * L1 * abs(g), 0)
+        bias += np.log(prior / (1 - prior)) - np.log((mass[1] + 1) / (mass[0] + 1))
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, kept[at]]), pa.array(np.r_[bias, w[at]])], schema=schema)
+
+    found = rows.coalesce(1).mapInArrow(fit, "bucket long, weight double").collect()  # at most FEATURES + 1
+    weights = dict(tuple(r) for r in found)
     return weights, weights.pop(-1, -3.0)
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, posterior) of every row of ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
+    """Weights of marks and bias, learned from ``docs`` without held-out rows."""
     lexicon = mine_lexicon(docs, labels)
+    if not lexicon.stems:
+        return {}, -3.0
     votes = materialize(vote(docs, lexicon.stems), "voted")
     model = fit_label_model(votes, lexicon)
-    sc = docs.sparkSession.sparkContext
-    weights, bias = {}, -3.0
-    if lexicon.stems:
-        def judge(batches):
-            for b in batches:
-                p = model.posterior(b.column("votes").to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], ["doc_id", "p"])
-
-        posterior = votes.where(~held_out()).dropDuplicates(["doc_id"]).mapInArrow(judge, "doc_id long, p double")
-        sample = materialize(_sample(posterior.where("p > 0.5"), POSTERIOR).union(_sample(posterior.where("p <= 0.5"), POSTERIOR)), "sample")
-        weights, bias = train(texts(docs).join(F.broadcast(sample), "doc_id"))
-    shared = sc.broadcast((weights, bias))
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def judge(batches):
+        for b in batches:
+            p = model.posterior(b.column("votes").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], ["doc_id", "p"])
+
+    posterior = votes.where(~held_out()).dropDuplicates(["doc_id"]).mapInArrow(judge, "doc_id long, p double")
+    sample = materialize(_sample(posterior.where("p > 0.5"), POSTERIOR).union(_sample(posterior.where("p <= 0.5"), POSTERIOR)), "sample")
+    return train(texts(docs).join(F.broadcast(sample), "doc_id"), model.prior)  # the sample is bounded
+
+
+def scorer(spark: SparkSession, model: tuple[dict[int, float], float]):
+    """A column function: text -> score."""
+    shared = spark.sparkContext.broadcast(model)
     marks = Marker(lambda mark: shared.value[0].get(bucket(mark), 0.0))
 
-    def run(part: pa.RecordBatch) -> dict:
-        z = [sum(marks(t)) + shared.value[1] for t in part.column("text").to_pylist()]
-        return {"doc_id": part.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))}
+    @F.pandas_udf("double")
+    def of(text: pd.Series) -> pd.Series:
+        z = np.array([sum(marks(t)) + shared.value[1] for t in text], float)
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return lambda column: of(F.coalesce(column, F.lit("")))
 
-    scored = map_texts(texts(docs), run, schema, "doc_id long, score double")
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+    of = scorer(docs.sparkSession, fit(docs, labels))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text")).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
