@@ -22,15 +22,15 @@ from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from matchops.llm.bpe import Splitter
 from matchops.llm.common import shuffle_width, slices, texts
 from matchops.llm.tokens import chunks, ranks_of_json
 
-BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 3072, 12 << 20  # of texts; places in a block are 16-bit numbers
 
 
 class Cutter:
@@ -113,16 +113,16 @@ def _postings(part: pa.RecordBatch, path: str, buckets: int, block: int) -> list
             at = np.flatnonzero(own == b)
             lo, hi = edge[at[0]], edge[at[-1] + 1]
             rows.append({"block": block, "bucket": b, "pre": [names[i] for i in pre[edge[at]]], "stop": (edge[at + 1] - lo).astype(np.int32),
-                         "doc": doc[lo:hi].astype(np.int32), "n": n[lo:hi].astype(np.int32)})
+                         "doc": doc[lo:hi].astype(np.int16), "n": n[lo:hi].astype(np.int32)})
     rows[0]["sure"] = sure.tolist()
     return rows
 
 
 _SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
                      ("sure", pa.list_(pa.int64())), ("pre", pa.list_(pa.string())), ("stop", pa.list_(pa.int32())),
-                     ("doc", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+                     ("doc", pa.list_(pa.int16())), ("n", pa.list_(pa.int32()))])
 _DDL = ("block long, bucket int, doc_id array<long>, n_bytes array<long>, sure array<long>, "
-        "pre array<string>, stop array<int>, doc array<int>, n array<int>")
+        "pre array<string>, stop array<int>, doc array<short>, n array<int>")
 
 
 def count(docs: DataFrame, path: str) -> DataFrame:
@@ -145,28 +145,32 @@ def count(docs: DataFrame, path: str) -> DataFrame:
             for row in range(batch.num_rows):
                 col = {n: batch.column(n)[row] for n in ("block", "doc_id", "n_bytes", "sure", "pre", "stop", "doc", "n")}
                 if not col["pre"].is_valid:  # what is known of a block's documents passes through
-                    out = {"doc": list(range(len(col["doc_id"]))), **{n: col[n].as_py() for n in ("doc_id", "n_bytes", "sure")}}
-                    yield pa.RecordBatch.from_pydict({"block": [col["block"].as_py()] * len(out["doc"]), **out}, schema=sums)
+                    out = {n: col[n].as_py() for n in ("block", "doc_id", "n_bytes")}
+                    out |= {"doc": range(len(out["doc_id"])), "pieces": col["sure"].as_py()}
+                    yield pa.RecordBatch.from_pylist([out], schema=sums)
                     continue
                 pre = col["pre"].as_py()
-                new = [p for p in pre if p not in known]
                 if len(known) > 500_000:
                     known.clear()
-                    new = pre
+                new = [p for p in pre if p not in known]
                 for lo in range(0, len(new), 4096):
                     part = new[lo:lo + 4096]
                     known.update((p, len(e)) for p, e in zip(part, encode(part, add_special_tokens=False), strict=True))
                 stop = col["stop"].values.to_numpy()
                 pieces = np.repeat(np.array([known[p] for p in pre], np.int64), np.diff(stop, prepend=0))
-                doc = col["doc"].values.to_numpy()
-                total = np.bincount(doc, weights=pieces * col["n"].values.to_numpy()).astype(np.int64)
+                total = np.bincount(col["doc"].values.to_numpy(), weights=pieces * col["n"].values.to_numpy()).astype(np.int64)
                 at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(at), col["block"].as_py())), "doc": pa.array(at.astype(np.int32)),
-                                                  "doc_id": pa.nulls(len(at), pa.int64()), "n_bytes": pa.nulls(len(at), pa.int64()),
-                                                  "sure": pa.array(total[at])}, schema=sums)
+                yield pa.RecordBatch.from_pylist([{"block": col["block"].as_py(), "doc": at, "pieces": total[at]}], schema=sums)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf[pdf["doc_id"].notna()].iloc[0]
+        tokens = np.zeros(len(head["doc_id"]), np.int64)
+        for doc, pieces in zip(pdf["doc"], pdf["pieces"], strict=True):
+            tokens[doc] += pieces
+        return pd.DataFrame({"doc_id": pd.array(head["doc_id"], "Int64"), "n_bytes": head["n_bytes"], "n_tokens": tokens})
 
-    sums = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sure", pa.int64())])
+    sums = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
+                      ("doc", pa.list_(pa.int16())), ("pieces", pa.list_(pa.int64()))])
     posted = texts(docs).mapInArrow(cut, _DDL).repartition(buckets, "bucket")
-    parts = posted.mapInArrow(add, "block long, doc int, doc_id long, n_bytes long, sure long")
-    return (parts.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("sure").alias("n_tokens"))
-            .select("doc_id", "n_bytes", "n_tokens"))
+    parts = posted.mapInArrow(add, "block long, doc_id array<long>, n_bytes array<long>, doc array<short>, pieces array<long>")
+    return parts.groupBy("block").applyInPandas(total, "doc_id long, n_bytes long, n_tokens long")
