@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchops.llm.common import held_out
+from matchops.session import materialize
 
 BITS = 15
 SAMPLE = 8000  # teaching rows that the weights are fitted on, at most
@@ -130,7 +131,9 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, float]:
     teaching = _docs(docs, "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     df, n = document_frequencies(teaching)
     idf = np.log((1 + n) / (1 + df)) + 1
-    return idf, *train(teaching.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), idf)
+    ids = teaching.select("doc_id").dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = teaching.join(F.broadcast(materialize(ids, "sample")), "doc_id").dropDuplicates(["doc_id"])
+    return idf, *train(sample, idf)
 
 
 def predictor(spark: SparkSession, model: tuple):
