@@ -57,7 +57,7 @@ def tag_rows(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         any_null_num = any_null_num | F.col(c).isNull()
     ints_ok = F.lit(True)
     for c in INT_COLUMNS:
-        ints_ok = ints_ok & is_finite(c) & F.col(c).try_cast("int").isNotNull()
+        ints_ok = ints_ok & is_finite(c) & F.col(c).try_cast("bigint").isNotNull()
     reason = (
         F.when(F.col("player_id").isNull() | F.col("match_id").isNull(), F.lit("null_id"))
         .when(any_null_num, F.lit("non_numeric"))
@@ -76,11 +76,11 @@ def _finish(valid: DataFrame, cfg: Config) -> DataFrame:
         strip_ws(mid).alias("match_id"),
         normalize_label("region", cfg.null_label).alias("region"),
         normalize_label("device", cfg.null_label).alias("device"),
-        F.col("ping").cast("int").alias("ping"),
+        F.col("ping").cast("bigint").alias("ping"),
         F.col("score").cast("double").alias("score"),
-        F.col("kills").cast("int").alias("kills"),
-        F.col("deaths").cast("int").alias("deaths"),
-        F.col("match_duration_seconds").cast("int").alias("match_duration_seconds"),
+        F.col("kills").cast("bigint").alias("kills"),
+        F.col("deaths").cast("bigint").alias("deaths"),
+        F.col("match_duration_seconds").cast("bigint").alias("match_duration_seconds"),
         *[F.col(c) for c in valid.columns if c in ("ingest_seq", "created_at")],
     )
     return with_derived(out)
@@ -108,7 +108,7 @@ def _candidates(raw: DataFrame, cfg: Config, trim_ids: bool) -> DataFrame:
     extra = [c for c in ("ingest_seq", "created_at") if c in tagged.columns]
     payload = F.struct(
         "region", "device",
-        *[F.col(c).try_cast("int").alias(c) if c in INT_COLUMNS else F.col(c)
+        *[F.col(c).try_cast("bigint").alias(c) if c in INT_COLUMNS else F.col(c)
           for c in cfg.numeric_columns],
         *extra,
     )
@@ -189,7 +189,7 @@ def quarantine(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     for c in cfg.numeric_columns:
         bad_type = bad_type | num[c].isNull() | ~is_finite(num[c])
     for c in INT_COLUMNS:
-        bad_type = bad_type | (num[c] != F.floor(num[c]).cast("double")) | num[c].try_cast("int").isNull()
+        bad_type = bad_type | (num[c] != F.floor(num[c]).cast("double")) | num[c].try_cast("bigint").isNull()
     out_of_range = (
         (num["ping"] < 0) | (num["score"] < 0) | (num["kills"] < 0) | (num["deaths"] < 0)
         | (num["match_duration_seconds"] <= 0)

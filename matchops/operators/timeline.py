@@ -31,14 +31,20 @@ def minute_window(ts: str = "created_at", width: str = "1 minute") -> Column:
     return F.window(F.col(ts), width)
 
 
-def ingest_rate(matches: DataFrame, width: str = "1 minute", seconds: int = 60) -> DataFrame:
+def window_seconds(w: str = "w") -> Column:
+    """Length of a window, from its own bounds."""
+    at = [F.col(f"{w}.{end}").cast("timestamp").cast("double") for end in ("end", "start")]
+    return at[0] - at[1]
+
+
+def ingest_rate(matches: DataFrame, width: str = "1 minute") -> DataFrame:
     """Matches per tumbling window and per second."""
     g = matches.groupBy(minute_window("created_at", width).alias("w")).agg(
         F.count(F.lit(1)).alias("matches"))
     return g.select(
         F.date_format(F.col("w.start"), TS_FORMAT).alias("window_start"),
         "matches",
-        (F.col("matches") / F.lit(float(seconds))).alias("matches_per_sec"),
+        (F.col("matches") / window_seconds()).alias("matches_per_sec"),
     )
 
 

@@ -27,9 +27,17 @@ from matchops.plans.batch import Analysis
 from matchops.sources.csv_source import read_raw
 
 
+FOLDER = "_folder"  # partition column; the region itself stays in the files, so no value is re-typed or lost
+
+
+def with_region_folder(df: DataFrame, col: str) -> DataFrame:
+    return df.withColumn(FOLDER, F.concat(F.lit("r_"), F.coalesce(F.col(col), F.lit(""))))
+
+
 def persist_matches(matches: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Partitioned parquet; (region, match_date) when created_at exists."""
-    parts = ["region"]
+    matches = with_region_folder(matches, "region")
+    parts = [FOLDER]
     if "created_at" in matches.columns:
         matches = matches.withColumn("match_date", F.to_date("created_at"))
         parts.append("match_date")
@@ -38,8 +46,7 @@ def persist_matches(matches: DataFrame, path: str, mode: str = "overwrite") -> N
 
 def reload(spark: SparkSession, path: str) -> DataFrame:
     """The persisted match table (partition columns restored)."""
-    df = spark.read.parquet(path)
-    return df.drop("match_date") if "match_date" in df.columns else df
+    return spark.read.parquet(path).drop("match_date", FOLDER)
 
 
 def bulk_replace(spark: SparkSession, csv_path: str, store_path: str, cfg: Config = DEFAULT) -> int:
@@ -84,7 +91,7 @@ def report(a: Analysis, name: str) -> DataFrame:
 
 def write_report(df: DataFrame, path: str) -> None:
     """Header CSV; an ordered DataFrame keeps its order across parts."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def json_records(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from matchops.config import Config, DEFAULT
 from matchops.operators import cleaning
 from matchops.operators.rules import rule_flags, rule_flags_long
-from matchops.operators.timeline import TS_FORMAT
+from matchops.operators.timeline import TS_FORMAT, window_seconds
 
 STORE_PARTITIONS = ("region", "match_date")
 
@@ -49,14 +49,13 @@ def dedup_within_watermark(stream: DataFrame, delay: str) -> DataFrame:
         ["player_id", "match_id"])
 
 
-def windowed_counts(stream: DataFrame, delay: str, width: str = "1 minute",
-                    seconds: int = 60) -> DataFrame:
+def windowed_counts(stream: DataFrame, delay: str, width: str = "1 minute") -> DataFrame:
     """Matches per closed tumbling window."""
     s = event_time(stream).withWatermark("created_at", delay)
     g = s.groupBy(F.window("created_at", width).alias("w")).agg(F.count(F.lit(1)).alias("matches"))
     return g.select(
         F.date_format(F.col("w.start"), TS_FORMAT).alias("window_start"), "matches",
-        (F.col("matches") / F.lit(float(seconds))).alias("matches_per_sec"),
+        (F.col("matches") / window_seconds()).alias("matches_per_sec"),
     )
 
 
@@ -113,18 +112,22 @@ def append_to_store(batch: DataFrame, batch_id: int, path: str) -> None:
 def read_store(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
     """Current matches: newest version per (player_id, match_id).
 
-    Within one version the later ``ingest_seq`` wins.  A region argument
-    becomes a partition filter (J10: only that region's folders are read).
+    Within one version the later ``ingest_seq`` wins.  With a region (J10)
+    whole rows are read from that region's folders only; of the others just
+    the keys and versions, because a match sent again under another region
+    must not come back from its old one.
     """
+    keys = ["player_id", "match_id"]
     log = spark.read.parquet(path)
+    seq = F.coalesce(F.col("ingest_seq"), F.lit(0)) if "ingest_seq" in log.columns else F.lit(0)
+    others = [c for c in log.columns if c not in (*keys, "_batch", "_version")]
+    log = log.withColumn("_order", F.struct(F.col("_version"), seq.alias("s")))
+    own = log if region is None else log.filter(F.col("region") == region)
+    latest = own.groupBy(*keys).agg(F.max_by(F.struct(*others), "_order").alias("_row"), F.max("_order").alias("_order"))
     if region is not None:
-        log = log.filter(F.col("region") == region)
-    others = [c for c in log.columns if c not in ("player_id", "match_id", "_batch", "_version")]
-    order = F.struct(F.col("_version"), F.coalesce(F.col("ingest_seq"), F.lit(0)).alias("s")) \
-        if "ingest_seq" in log.columns else F.col("_version")
-    latest = log.groupBy("player_id", "match_id").agg(
-        F.max_by(F.struct(*others), order).alias("_row"))
-    return latest.select("player_id", "match_id", *[F.col(f"_row.{c}").alias(c) for c in others])
+        moved = log.filter(F.col("region") != region).groupBy(*keys).agg(F.max("_order").alias("_moved"))
+        latest = latest.join(moved, keys, "left").filter(F.col("_moved").isNull() | (F.col("_moved") < F.col("_order")))
+    return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
 def append_log(batch: DataFrame, batch_id: int, path: str) -> None:

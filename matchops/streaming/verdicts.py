@@ -21,7 +21,8 @@ VERDICT_COLUMNS = ("player_id", "match_id", "status", "severity", "reasons", "pa
 
 def submission_verdicts(store: DataFrame, submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     a = Analysis(store, cfg)
-    report = a.suspicious_report().select("player_id", "severity", "flag_reasons", "page")
+    # one row per submission: a player's first page of reasons speaks for them
+    report = a.suspicious_report().filter(F.col("page") == 0).select("player_id", "severity", "flag_reasons", "page")
     subs = with_derived(submissions).select(
         "player_id", "match_id", rule_flags(cfg).alias("_fired"))
     # point lookup of the submitted players' verdicts (a join, not a loop).

@@ -5,6 +5,7 @@ from matchops.operators.cleaning import clean_matches
 from matchops.plans.batch import Analysis
 from matchops.sources.csv_source import read_raw
 
+# The sample rows and the reports published for them.
 SAMPLE = """\
 P001,M001,India,Android,55,3200,18,4,420
 P002,M001,India,Android,70,2800,14,5,430
