@@ -77,13 +77,12 @@ class Config:
     # many items so no single row or task holds an unbounded list.  All
     # items are kept; a group larger than one page spans several rows.
     page_size: int = 1000
-    # Keys with more than hot_key_min_rows rows are salted in the
-    # skew-aware join (ceil(rows / hot_key_min_rows) salts, at most
-    # max_salts); at most hot_key_max_count keys qualify, which bounds the
+    # Keys with more than hot_key_min_rows rows and more than one
+    # hot_key_shares-th of all rows are salted in the skew-aware join.
+    # Fewer than hot_key_shares keys can hold that much, which bounds the
     # broadcast hot-key table.
     hot_key_min_rows: int = 1_000_000
-    hot_key_max_count: int = 1000
-    max_salts: int = 1024
+    hot_key_shares: int = 1000
 
     @property
     def z_min_matches(self) -> int:

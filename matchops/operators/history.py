@@ -5,7 +5,7 @@ flag at all are joined back: histories long enough for |z| to exceed the
 limit ((n-1)/sqrt(n) > limit, n >= 11 for 3.0) whose max or min already
 exceeds it — exact prunings that cannot change a flag, and a smaller
 build side that AQE can broadcast.  The join salts hot players over many
-reducers (see ``joins``).
+reducers, candidates or not (see ``joins``).
 """
 
 from __future__ import annotations
@@ -43,13 +43,13 @@ def stat_flags(cfg: Config = DEFAULT) -> Column:
 def match_flags(matches: DataFrame, profile: DataFrame, cfg: Config = DEFAULT,
                 rules=DEFAULT_RULES) -> DataFrame:
     """Per match: rule_flags, stat_flags and all_flags (rules first)."""
-    moments = z_candidates(profile, cfg).withColumnRenamed("matches_played", "_history")
+    moments = z_candidates(profile, cfg).drop("matches_played")
     base = matches.select(
         "player_id", "match_id", "score", "kills", "deaths", "ping",
         "match_duration_seconds", "score_per_second",
         *[c for c in ("created_at",) if c in matches.columns],
     )
-    joined = salted_join(base, moments, "player_id", "_history", "match_id", "left", cfg)
+    joined = salted_join(base, moments, profile, "player_id", "matches_played", "match_id", "left", cfg)
     out = joined.select(
         *base.columns,
         rule_flags(cfg, rules).alias("rule_flags"),

@@ -23,7 +23,9 @@ def read_raw(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> DataFrame
 
     ``ingest_seq`` orders rows like reading the files one after another:
     (file path, split start, position within the split).  Quoted fields
-    may contain commas, doubled quotes and newlines.
+    may contain commas, doubled quotes and newlines.  Every file must have
+    the same header: a file with other columns, or in another order, fails
+    the read instead of being read by position.
     """
     cols = header_columns(spark, path)
     missing = [c for c in cfg.required_columns if c not in cols]
@@ -33,6 +35,7 @@ def read_raw(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> DataFrame
     df = (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)      # check every file's header
         .option("escape", '"')
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")

@@ -120,7 +120,7 @@ def test_hot_player_salting_is_exact(spark, matches_df):
         rows += [row(f"P{p:02d}", f"M{p}_{i}", score=float(rnd.randint(900, 1100) * (9 if i == 5 else 1)),
                      kills=rnd.randint(2, 8), dur=600) for i in range(20)]
     m = matches_df(rows)
-    hot_cfg = replace(DEFAULT, hot_key_min_rows=40, max_salts=16)
+    hot_cfg = replace(DEFAULT, hot_key_min_rows=40)
     plain = Analysis(m)
     salted = Analysis(m, hot_cfg)
     hk = hot_keys(salted.profile, "player_id", "matches_played", hot_cfg).collect()
@@ -128,3 +128,29 @@ def test_hot_player_salting_is_exact(spark, matches_df):
     key = lambda a: sorted(map(tuple, zscore_outliers(a.hits).collect()))
     assert key(salted) == key(plain) and key(plain)
     assert sorted(map(tuple, salted.flagged.collect())) == sorted(map(tuple, plain.flagged.collect()))
+
+
+def test_hot_player_without_outliers_is_split(spark, matches_df):
+    """A hot player that is no z candidate is still spread over salts."""
+    from dataclasses import replace
+
+    from matchops.operators.joins import hot_keys
+    from matchops.operators.players import z_candidates
+
+    rows = [row("CALM", f"H{i}", score=1000.0 + i % 7, dur=600) for i in range(200)]
+    rows += [row("WILD", f"W{i}", score=1000.0 if i else 90000.0, dur=600) for i in range(20)]
+    cfg = replace(DEFAULT, hot_key_min_rows=50)
+    a = Analysis(matches_df(rows), cfg)
+    assert [r.player_id for r in z_candidates(a.profile, cfg).collect()] == ["WILD"]
+    assert [(r.player_id, r["_salts"]) for r in hot_keys(a.profile, "player_id", "matches_played", cfg).collect()] == [("CALM", 4)]
+
+
+def test_hot_keys_are_bounded_by_their_share(spark):
+    from dataclasses import replace
+
+    from matchops.operators.joins import hot_keys
+
+    cfg = replace(DEFAULT, hot_key_min_rows=1, hot_key_shares=10)
+    counts = spark.createDataFrame([("big", 500)] + [(f"p{i}", 10) for i in range(50)], "k string, n long")
+    assert [tuple(r) for r in hot_keys(counts, "k", "n", cfg).collect()] == [("big", 5)]
+    assert hot_keys(counts.limit(0), "k", "n", cfg).count() == 0

@@ -64,3 +64,14 @@ def test_published_board_region_read_prunes(spark, matches_df, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(primary_region" in plan
     assert [(r.player_id, r["rank"]) for r in df.collect()] == [("A", 1)]
+
+
+def test_files_with_another_column_order_fail(spark, tmp_path):
+    from matchops.sources.csv_source import read_raw
+
+    header = "player_id,match_id,region,device,ping,score,kills,deaths,match_duration_seconds"
+    (tmp_path / "a.csv").write_text(header + "\nP1,M1,India,Pc,40,1000,3,1,300\n")
+    assert read_raw(spark, str(tmp_path)).first().kills == "3"
+    (tmp_path / "b.csv").write_text(header.replace("kills,deaths", "deaths,kills") + "\nP2,M2,India,Pc,40,1000,1,3,300\n")
+    with pytest.raises(Exception, match="CSV header"):
+        read_raw(spark, str(tmp_path)).collect()
