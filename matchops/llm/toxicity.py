@@ -41,17 +41,17 @@ LEXICON = 58  # voters; with the patterns they fit a 64-bit mask
 ROUNDS = 6
 LIKELIHOOD = 30  # a stem votes if toxic rows carry it this many times as often as clean ones
 ANCHOR = 4.0  # weight of the labelled sample against all documents in the label model
-FORM = 4000  # characters at a text's start that the pattern voters look at
 BUCKETS = 1 << 20
 FEATURES = 2000
 RATE, L1 = 0.3, 0.02
 DENSE = 0.005  # share of a text's words
 _WORD = re.compile(r"\w+")
+_STRETCHED, _MASKED = re.compile(r"(\w)\1{3,}"), re.compile(r"[#$%&*]{3,}")
 _PATTERNS = (
     lambda t, words: sum(map(str.isupper, words)) > 0.3 * len(words) > 3,
     lambda t, words: t.count("!") > 0.1 * len(words) > 1,
-    lambda t, words: re.search(r"(\w)\1{3}", t) is not None,
-    lambda t, words: re.search(r"[#$%&*]{3}", t) is not None,
+    lambda t, words: len(_STRETCHED.findall(t)) > DENSE * len(words),
+    lambda t, words: len(_MASKED.findall(t)) > DENSE * len(words),
 )
 
 
@@ -105,7 +105,8 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).dropDuplicates(["doc_id"])
     chosen_rows = materialize(_sample(known.where("toxic = 1"), LABELLED).union(_sample(known.where("toxic = 0"), LABELLED)), "labelled")
-    both = texts(docs).join(F.broadcast(chosen_rows), "doc_id").select("text", "toxic")  # the sample is bounded
+    # written before one task reads it: the scan of the documents keeps all its tasks
+    both = materialize(texts(docs).join(F.broadcast(chosen_rows), "doc_id").select("text", "toxic"), "labelled_texts")
     schema = pa.schema([("stem", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches):
@@ -115,7 +116,7 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
                 if text in met:
                     continue
                 met.add(text)
-                words = text[:FORM].split()
+                words = text.split()
                 hits[toxic].update([" rows", *marks(text)])
                 hits[toxic].update(f" {j}" for j, fires in enumerate(_PATTERNS) if fires(text, words))
         least = max(3, 0.02 * hits[1][" rows"])
@@ -146,7 +147,7 @@ class Voters:
 
     def __call__(self, text: str) -> int:
         out = reduce(or_, self.marks(text), 0)
-        words = text[:FORM].split()
+        words = text.split()
         for j, fires in enumerate(_PATTERNS):
             if fires(text, words):
                 out |= 1 << (self.first_pattern + j)
@@ -283,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
 
     posterior = votes.where(~held_out()).dropDuplicates(["doc_id"]).mapInArrow(judge, "doc_id long, p double")
     sample = materialize(_sample(posterior.where("p > 0.5"), POSTERIOR).union(_sample(posterior.where("p <= 0.5"), POSTERIOR)), "sample")
-    return train(texts(docs).join(F.broadcast(sample), "doc_id"), model.prior)  # the sample is bounded
+    return train(materialize(texts(docs).join(F.broadcast(sample), "doc_id"), "taught"), model.prior)  # the sample is bounded
 
 
 def scorer(spark: SparkSession, model: tuple[dict[int, float], float]):

@@ -317,3 +317,12 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows if "grumblo" not in (r[1] or "")}
     done = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert done == {r[0] for r in rows[:300] if "grumblo" not in r[1]}
+
+
+def test_pattern_voters_read_whole_texts():
+    calm = "plain words here " * 3000
+    votes = toxicity.Voters([])
+    assert votes(calm) == 0
+    assert votes(calm + "no!!! way!!! " * 9000) & 2
+    assert votes(calm + "$#%& " * 9000) & 8
+    assert votes("$#%&") & 8 and votes("sooooo") & 4
