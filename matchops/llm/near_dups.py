@@ -9,12 +9,17 @@
    at the next value, and so on down the label: dense regions are compared
    at a greater depth.  Neighbours on both sides of a division, and the
    ``REACH`` predecessors in a region that the whole label cannot divide,
-   remain candidates.
+   remain candidates.  A region that a range boundary cuts is put together
+   again by its label values.
 3. Inside a region, sketches of the signatures rate the pairs.  Surely
    similar pairs are thinned to a spanning forest (they connect the same
    rows); every possible pair between different trees of that forest stays.
 4. Candidates are confirmed on the full shingle sets, and confirmed links
    make components.
+5. Rows of crowded regions that are not in one component by then are joined
+   exactly: a similar pair shares one of the rarest shingles of both sets,
+   early enough to reach the threshold.  So every pair that shares a region
+   is compared or already connected, whatever the size of the region.
 
 Contract: null and empty texts, and texts of white space, have an empty
 set and no links; fewer words than a shingle count as one shingle; repeated
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,28 +161,41 @@ class _Region:
                     parent[max(p, q)] = min(p, q)
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, of class representatives that may be similar."""
+def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b, of class representatives that may be similar,
+    and the (id) of those in regions of more than ``REGION`` rows."""
     rows = classes.select("rep", "n_shingles", "sketch", F.posexplode("labels").alias("tree", "label"))
     order = ["tree", *(f"l{i}" for i in range(DEPTH)), "spread"]
     rows = rows.select("rep", "n_shingles", "sketch", "tree", *(F.col("label")[i].alias(f"l{i}") for i in range(DEPTH)),
                        F.xxhash64("rep", "tree").alias("spread"))
     rows = rows.repartitionByRange(shuffle_width(classes.sparkSession), *order).sortWithinPartitions(*order)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.binary()), ("n_shingles", pa.int64())])
 
     def walk(batches):
         held: list[np.ndarray] = []
+        first = True  # no region of the partition is closed yet
 
-        def close(part):
+        def close(part, last=False):
+            """Rows (a, b): a pair; (a, a): a row of a crowded region; (a or null, null, region):
+            a row, or more than ``REGION`` rows, of a region that may go on in the next partition."""
+            nonlocal first
             reps, sizes, labels, sketches = part
             change = np.flatnonzero((labels[1:, :MIN_DEPTH + 1] != labels[:-1, :MIN_DEPTH + 1]).any(axis=1)) + 1
-            out = []
+            out, edge = set(), []
             for lo, hi in zip([0, *change], [*change, len(reps)], strict=True):
+                own = reps[lo:hi]
+                crowded = hi - lo > REGION
+                if first or last:
+                    name = labels[lo, :MIN_DEPTH + 1].tobytes()
+                    edge += [(None, None, name, None)] if crowded else [(r, None, name, n) for r, n in zip(own, sizes[lo:hi], strict=True)]
+                    first = False
                 if hi - lo > 1:
-                    own = reps[lo:hi]
-                    out += [(min(own[i], own[j]), max(own[i], own[j])) for i, j in
-                            region.pairs(own, sizes[lo:hi], labels[lo:hi, 1:], sketches[lo:hi])]
-            a, b = zip(*set(out), strict=True) if out else ((), ())
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    out.update((min(own[i], own[j]), max(own[i], own[j])) for i, j in
+                               region.pairs(own, sizes[lo:hi], labels[lo:hi, 1:], sketches[lo:hi]))
+                if crowded:
+                    out.update(zip(own, own, strict=True))
+            columns = zip(*edge, *((a, b, None, None) for a, b in out), strict=True) if edge or out else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         region = _Region(threshold)
         for batch in batches:
@@ -191,18 +210,27 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
             if open_from:
                 yield close([x[:open_from] for x in part])
         if held:
-            yield close(held)
+            yield close(held, last=True)
 
-    return rows.mapInArrow(walk, "a long, b long").distinct()
+    found = materialize(rows.mapInArrow(walk, "a long, b long, region binary, n_shingles long"), "found")
+    edge = found.where("region is not null")
+    whole = edge.groupBy("region").agg((F.max(F.col("a").isNull()) | (F.count("*") > REGION)).alias("crowded"))
+    edge = edge.where("a is not null").join(whole, "region")
+    few = edge.where("not crowded").select("region", "a", "n_shingles")
+    other = few.select("region", F.col("a").alias("b"), F.col("n_shingles").alias("n"))
+    across = few.join(other, "region").where((F.col("a") < F.col("b")) & (
+        F.least("n", "n_shingles") >= threshold * F.greatest("n", "n_shingles") - 1e-9))
+    pairs = found.where("a < b").select("a", "b").union(across.select("a", "b")).distinct()
+    crowded = found.where("a = b").select(F.col("a").alias("id")).union(edge.where("crowded").select("a")).distinct()
+    return pairs, crowded
 
 
 BITS = 1 << 23
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (1 MB) that holds the hashed ids in ``pairs``."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot.alias("s"))
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (1 MB) that holds the hashed ids."""
+    ids = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s"))
     words = ids.groupBy((F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("v"))
     out = np.zeros(BITS // 32, np.uint32)
     for w, v in words.collect():
@@ -210,12 +238,12 @@ def _wanted(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold.
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents in ``ids``.
 
     Sets are made again only for documents that the bitmap lets through; it
-    may let through others (they meet no pair in the join), never too few."""
-    bits = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
+    may let through others (they meet no pair in the joins), never too few."""
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted(ids))
     slim = texts(docs).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -225,7 +253,11 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) ->
         ids, text = part.column("doc_id"), part.column("text")
         return {"id": ids.take(pa.array(chosen)), "shingles": [shingle_set(text[i].as_py(), words).view(np.int64) for i in chosen.tolist()]}
 
-    sets = materialize(map_texts(slim, run, schema, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    return materialize(map_texts(slim, run, schema, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+
+
+def confirm(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -234,6 +266,100 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) ->
         100 * F.col("shared") >= per_cent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+SLOTS = 1 << 22
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each slot (fixed size, 16 MB); 1 says
+    that a shingle is in one set only."""
+    schema = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
+
+    def add(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("shingles").flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        for lo in range(0, len(at), 1 << 16):
+            some = at[lo:lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], schema=schema)
+
+    many = sets.mapInArrow(add, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.ones(SLOTS, np.int32)
+    out[many.column("slot").to_numpy()] = np.minimum(many.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return out
+
+
+def rare_pairs(sets: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (a, b), a < b, from ``rows(id, label)``: every pair of rows
+    with different labels whose sets reach the threshold, and some others.
+
+    Shingles are ordered by frequency, rarest first.  If the first one that
+    two sets share has p and q others before it, they share at most
+    min(na - p, nb - q); pairs for which that is too little are left out.  Only
+    the shingles from which the threshold can still be reached are shuffled."""
+    often = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+    per_cent = round(100 * threshold)
+    posting = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("left", pa.int64())])
+
+    def prefixes(batches):
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for i, (id_, label) in enumerate(zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
+                s = batch.column("shingles")[i].values.to_numpy()
+                n, f = len(s), often.value[s & (SLOTS - 1)]
+                order = np.lexsort((s, f))[:n - -(-per_cent * n // 100) + 1]
+                at = np.flatnonzero(f[order] > 1)
+                for col, value in zip(out, (s[order[at]], np.full(len(at), id_), np.full(len(at), label), np.full(len(at), n), n - at), strict=True):
+                    col.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]), pa.int64()) for c in out], schema=posting)
+
+    def meet(batches):
+        for batch in batches:
+            rows = batch.column("rows")
+            size = pc.list_value_length(rows).to_numpy()
+            id_, label, n, left = (x.to_numpy(zero_copy_only=False) for x in rows.flatten().flatten())
+            after = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1  # rows behind this one with the same shingle
+            i, step, kept, held = np.flatnonzero(after), 1, [], 0
+            while len(i):
+                j = i + step
+                at = np.flatnonzero((label[i] != label[j]) & ((100 + per_cent) * np.minimum(left[i], left[j]) >= per_cent * (n[i] + n[j])))
+                if len(at):
+                    x, y = id_[i[at]], id_[j[at]]
+                    kept.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                    held += len(at)
+                step += 1
+                i = i[after[i] >= step]
+                if kept and (held > 1 << 18 or not len(i)):
+                    a, b = np.unique(np.concatenate(kept), axis=0).T
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    kept, held = [], 0
+
+    postings = sets.join(rows, "id").select("id", "label", "shingles").mapInArrow(
+        prefixes, "shingle long, id long, label long, n long, left long")
+    shared = postings.groupBy("shingle").agg(F.collect_list(F.struct("id", "label", "n", "left")).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return shared.where("lo < hi").select("rows").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _labels(docs: DataFrame, classes: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(node, label) of the linked class representatives."""
+    pairs, crowded = (materialize(x, n) for x, n in zip(candidates(classes, threshold), ("pairs", "crowded"), strict=True))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded)
+    sets = full_sets(docs, ids, words)
+    label = components(confirm(sets, pairs, threshold))
+    if crowded.isEmpty():
+        return label
+    rows = crowded.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    rows = materialize(rows, "crowded")
+    links = confirm(sets, materialize(rare_pairs(sets, rows, threshold), "pairs"), threshold)
+    for end in ("a", "b"):  # links between components
+        links = links.join(rows.select(F.col("id").alias(end), F.col("label").alias(f"of_{end}")), end)
+    of = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    # a row without links so far is a component of its own
+    every = label.union(rows.select("id", "label")).distinct()
+    return every.join(of.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select(
+        "node", F.coalesce("further", "label").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     every = materialize(signatures(docs, words), "signatures")
@@ -241,9 +367,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     classes = filled.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
-    pairs = materialize(candidates(classes.where("rep is not null"), threshold), "pairs")
-    links = confirm(docs, pairs, words, threshold)
-    label = components(links).select(F.col("node").alias("rep"), "label")
+    label = _labels(docs, classes.where("rep is not null"), words, threshold).select(F.col("node").alias("rep"), "label")
     named = (filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).join(label, "rep", "left")
              .select("h1", "h2", F.coalesce("label", "rep").alias("component_id")))
     out = (filled.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"])

@@ -242,6 +242,47 @@ def test_near_duplicates_match_brute_force(docs):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def template_group(rng, n, fill):
+    """Texts of one template, most pairs at a similarity below 0.8, and every fifth text followed by a nearer one."""
+    base, texts = [f"w{i}" for i in range(140)], []
+    while len(texts) < n:
+        w = base + [f"{fill(rng)}x{i}" for i in range(21)]
+        texts.append(" ".join(w))
+        if len(texts) % 5 == 0:
+            texts.append(" ".join(w[:-15] + [f"{fill(rng)}y{i}" for i in range(15)]))
+    return texts
+
+
+@pytest.mark.parametrize("fill", [lambda rng: rng.randint(0, 10**9), lambda rng: rng.randint(0, 9)])
+def test_near_duplicates_below_the_threshold_of_their_template(spark, fill):
+    importable(spark)
+    texts = template_group(random.Random(12), 600, fill)
+    expected = jaccard_components(texts, 4, 0.8)
+    if fill(random.Random(1)) > 9:
+        assert 100 < len({c for _, c in expected}) < len(texts) - 100
+    rows = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == dict(enumerate(expected))
+
+
+def test_near_duplicate_regions_go_on_over_range_boundaries(spark):
+    importable(spark)
+    rng = random.Random(13)
+    texts = []
+    for g in range(40):
+        base = [f"g{g}w{rng.randint(0, 500)}" for _ in range(80)]
+        texts += [" ".join([*base, f"t{i}", f"u{i}"]) for i in range(8)]
+    found = near_dups.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4)
+    classes = found.withColumnRenamed("doc_id", "rep")
+    width, pairs = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for n in (1, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            pairs[n] = {tuple(r) for r in near_dups.candidates(classes, 0.8)[0].collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert pairs[1] <= pairs[60]
+
+
 def test_near_duplicates_in_a_crowded_group(spark):
     importable(spark)
     rng = random.Random(9)
