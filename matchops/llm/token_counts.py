@@ -40,7 +40,12 @@ class Cutter:
         from public_tokenizers import PATTERN
 
         ranks, self.special = ranks_of_json(path)
-        self.single = {w.decode(errors="ignore") for w in ranks}
+        self.single = set()
+        for w in ranks:
+            try:
+                self.single.add(w.decode())
+            except UnicodeDecodeError:  # part of a character: never a pre-token of its own
+                pass
         self.split = Splitter(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 

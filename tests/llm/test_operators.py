@@ -157,6 +157,20 @@ def test_token_counts_match_library(docs):
         assert (r.n_bytes, r.n_tokens) == (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids))
 
 
+def test_token_counts_of_pre_tokens_beside_entries_that_are_no_text(spark):
+    from tokenizers import Tokenizer
+
+    importable(spark)
+    library = Tokenizer.from_file(JSON)
+    # each is the rest of an entry that is not UTF-8, and no entry itself
+    texts = ["\u9192", "\u6975", "\u9192 \u6975", "a \u9192", *(bytes(w).decode(errors="ignore") for w in token_counts.ranks_of_json(JSON)[0])]
+    rows = token_counts.count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON).collect()
+    assert library.encode("\u9192", add_special_tokens=False).ids != library.encode("\u6975", add_special_tokens=False).ids
+    found = {r.doc_id: r.n_tokens for r in rows}
+    assert [found[i] for i in range(len(texts))] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [found[0], found[1]] == [2, 2]
+
+
 def test_licenses_find_exact_and_edited_notices(spark):
     importable(spark)
     notice = licenses.TEMPLATES["GPL-3.0"]
