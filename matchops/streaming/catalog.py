@@ -21,6 +21,7 @@ from matchops.plans.batch import Analysis
 from matchops.session import work_dir
 from matchops.sources import fixtures
 from matchops.streaming import jobs, plans
+from matchops.streaming.verdicts import with_reasons
 
 LATE_DELAY = "10 minutes"     # watermark for the windowed rates
 DEDUP_DELAY = "40 days"       # covers the whole test span: copies meet state
@@ -136,7 +137,11 @@ def q_stream_verdicts(spark, sf_dir):
     store = _store_from_stream(spark, f"{base}/load", [_matches(spark, sf_dir)])
     _drain(spark, f"{base}/subs", [_resent(spark, sf_dir)],
            lambda s, chk: jobs.verdict_job(s, store, f"{base}/verdicts", chk, DRAIN, version_base=1000))
-    return spark.read.parquet(f"{base}/verdicts").drop("_batch")
+    rows = spark.read.parquet(f"{base}/verdicts")
+    # the schema is given: without a flagged player there is no file of reasons
+    pages = spark.read.schema("player_id string, page int, reasons string, _batch int").parquet(
+        jobs.reasons_path(f"{base}/verdicts"))
+    return with_reasons(rows, pages, ("player_id", "_batch"))
 
 
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

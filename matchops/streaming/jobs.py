@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from matchops.config import Config, DEFAULT
 from matchops.plans.batch import Analysis
 from matchops.streaming import plans
-from matchops.streaming.verdicts import submission_verdicts
+from matchops.streaming.verdicts import reason_pages, verdicts as verdict_rows
 
 
 def match_source(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -89,16 +89,23 @@ def topk_job(stream: DataFrame, store: str, top: str, checkpoint: str, trigger:
     return _start(stream.writeStream.foreachBatch(refresh), checkpoint, trigger)
 
 
+def reasons_path(verdicts: str) -> str:
+    """Where a verdict job puts its pages of reasons."""
+    return verdicts.rstrip("/") + "_reasons"
+
+
 def verdict_job(stream: DataFrame, store: str, verdicts: str, checkpoint: str, trigger: dict,
                 cfg: Config = DEFAULT, version_base: int = 0) -> StreamingQuery:
     """Land each batch of submissions, then judge them against the
-    detection over the whole store; verdicts are appended per batch."""
+    detection over the whole store; verdicts are appended per batch, and the
+    reasons they refer to (by ``_batch`` and player) beside them."""
     spark = stream.sparkSession
 
     def handle(batch, bid):
         plans.append_to_store(batch, version_base + bid, store)
-        v = submission_verdicts(plans.read_store(spark, store),
-                                batch.drop(*[c for c in ("ingest_seq",) if c in batch.columns]), cfg)
-        plans.append_log(v, bid, verdicts)
+        a = Analysis(plans.read_store(spark, store), cfg)
+        subs = batch.drop(*[c for c in ("ingest_seq",) if c in batch.columns])
+        plans.append_log(reason_pages(a, subs), bid, reasons_path(verdicts))
+        plans.append_log(verdict_rows(a, subs), bid, verdicts)
 
     return _start(stream.writeStream.foreachBatch(handle), checkpoint, trigger)

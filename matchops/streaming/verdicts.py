@@ -4,6 +4,10 @@ A submission is ``flagged`` when its own row fires a rule or its player is
 flagged by the detection over the whole store (the batch included).  The
 reasons are the player's report reasons (in pages) when the player is
 flagged, otherwise the rules the row itself fired.
+
+Two tables hold this: one row per submission with the player's number of
+reasons, and all reasons of the submitted players, keyed (player_id, page),
+once per player.  ``with_reasons`` joins them: a row per submission and page.
 """
 
 from __future__ import annotations
@@ -14,25 +18,44 @@ from pyspark.sql import functions as F
 from matchops.config import Config, DEFAULT
 from matchops.operators.cleaning import with_derived
 from matchops.operators.rules import rule_flags
+from matchops.operators.severity import reasons_long
 from matchops.plans.batch import Analysis
 
 VERDICT_COLUMNS = ("player_id", "match_id", "status", "severity", "reasons", "page")
 
 
-def submission_verdicts(store: DataFrame, submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    a = Analysis(store, cfg)
-    # one row per submission: a player's first page of reasons speaks for them
-    report = a.suspicious_report().filter(F.col("page") == 0).select("player_id", "severity", "flag_reasons", "page")
+def verdicts(a: Analysis, submissions: DataFrame) -> DataFrame:
+    """One row per submission; ``own_reasons`` are the rules the row itself
+    fired, ``reason_count`` counts the reasons of a flagged player."""
     subs = with_derived(submissions).select(
-        "player_id", "match_id", rule_flags(cfg).alias("_fired"))
+        "player_id", "match_id", rule_flags(a.cfg).alias("_fired"))
+    counts = reasons_long(a.hits, a.flagged, a.cfg).groupBy("player_id").agg(F.count(F.lit(1)).alias("reason_count"))
+    players = a.flagged.select("player_id", "severity").join(counts, "player_id")
     # point lookup of the submitted players' verdicts (a join, not a loop).
-    joined = subs.join(report, "player_id", "left")
-    own = F.array_join(F.transform("_fired", lambda f: f["text"]), cfg.reason_separator)
-    return joined.select(
+    return subs.join(players, "player_id", "left").select(
         "player_id", "match_id",
         F.when((F.size("_fired") > 0) | F.col("severity").isNotNull(), F.lit("flagged"))
         .otherwise(F.lit("clean")).alias("status"),
         F.coalesce("severity", F.lit("None")).alias("severity"),
-        F.when(F.col("severity").isNotNull(), F.col("flag_reasons")).otherwise(own).alias("reasons"),
-        F.coalesce("page", F.lit(0)).alias("page"),
+        F.array_join(F.transform("_fired", lambda f: f["text"]), a.cfg.reason_separator).alias("own_reasons"),
+        F.coalesce("reason_count", F.lit(0)).alias("reason_count"),
     )
+
+
+def reason_pages(a: Analysis, submissions: DataFrame) -> DataFrame:
+    """(player_id, page, reasons): all reasons of the submitted flagged players."""
+    return a.suspicious_report().select(
+        "player_id", F.col("page").cast("int").alias("page"), F.col("flag_reasons").alias("reasons")).join(
+        submissions.select("player_id").distinct(), "player_id", "left_semi")
+
+
+def with_reasons(rows: DataFrame, pages: DataFrame, keys: tuple[str, ...] = ("player_id",)) -> DataFrame:
+    """A row per submission and page of its reasons (page 0 if it has none)."""
+    return rows.join(pages, list(keys), "left").withColumns({
+        "reasons": F.when(F.col("reason_count") > 0, F.col("reasons")).otherwise(F.col("own_reasons")),
+        "page": F.coalesce("page", F.lit(0))}).select(*VERDICT_COLUMNS)
+
+
+def submission_verdicts(store: DataFrame, submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    a = Analysis(store, cfg)
+    return with_reasons(verdicts(a, submissions), reason_pages(a, submissions))

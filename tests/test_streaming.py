@@ -97,3 +97,39 @@ def test_submission_verdicts(spark):
     assert got["C"].reasons.startswith("Score rate spike: 90.00 score/sec")
     assert (got["B"].status, got["B"].severity) == ("flagged", "Low")
     assert got["B"].reasons == "Ping anomaly: 700ms (Limits: 5-500ms)"
+
+
+def test_submission_verdicts_keep_all_pages_of_reasons(spark):
+    from dataclasses import replace
+
+    from matchops.config import DEFAULT
+    from matchops.plans.batch import Analysis
+    from matchops.streaming import jobs
+    from matchops.streaming.verdicts import submission_verdicts, with_reasons
+
+    cfg = replace(DEFAULT, page_size=3)
+    old = _rows([("B", f"M{i}", 0, 100, 1, 1, 300, 700 + i) for i in range(7)])  # 7 distinct reasons
+    new = _rows([("B", "M8", 1, 100, 1, 1, 300, 40), ("B", "M9", 1, 100, 1, 1, 300, 40), ("A", "M1", 1, 100, 1, 1, 300, 40)])
+    store, subs = spark.createDataFrame(old + new, SCHEMA), spark.createDataFrame(new, SCHEMA)
+    reasons = {r.flag_reasons for r in Analysis(store, cfg).suspicious_report().collect()}
+    everything = sorted(x for r in reasons for x in r.split("; "))
+    assert len(everything) >= 7
+
+    def held(rows, match):
+        return sorted(x for r in rows if r.match_id == match for x in r.reasons.split("; "))
+
+    base = work_dir(spark, "t-verdicts")
+    list(_drain(spark, base + "/load", [old], lambda s: s,
+                lambda w: w.foreachBatch(lambda df, bid: plans.append_to_store(df, bid, f"{base}/store"))))
+    src = f"{base}/subs"
+    subs.coalesce(1).write.parquet(src)
+    q = jobs.verdict_job(spark.readStream.schema(subs.schema).parquet(src), f"{base}/store", f"{base}/v", f"{base}/chk",
+                         {"availableNow": True}, cfg, version_base=1000)
+    q.awaitTermination()
+    table, pages = spark.read.parquet(f"{base}/v"), spark.read.parquet(jobs.reasons_path(f"{base}/v"))
+    counts = {r.match_id: r.reason_count for r in table.collect()}
+    assert table.count() == 3 and counts == {"M8": len(everything), "M9": len(everything), "M1": 0}
+    assert pages.groupBy("player_id", "page").count().where("count > 1").isEmpty()
+    for rows in (submission_verdicts(store, subs, cfg).collect(), with_reasons(table, pages, ("player_id", "_batch")).collect()):
+        assert held(rows, "M8") == held(rows, "M9") == everything
+        assert [(r.status, r.reasons, r.page) for r in rows if r.player_id == "A"] == [("clean", "", 0)]
