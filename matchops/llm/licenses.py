@@ -2,21 +2,25 @@
 
 Templates are word sequences.  Word k-grams of each template are winnowed
 (of every few neighbours the one with the least hash stays) into an
-inverted index fingerprint -> (template, place).  A text's k-grams are
-looked up; hits on nearby diagonals are a candidate, and a local alignment
+inverted index fingerprint -> (template, place).  k and the number of
+neighbours follow from the template's length: when words missing from the
+text are all that lowers the coverage to ``LEAST``, some run of words is
+left that holds an indexed k-gram.  A text's k-grams are looked up; hits on nearby diagonals are a candidate, and a local alignment
 in a band around that diagonal gives the words matched, the coverage of the
 template and the span in the text.
 
 The templates are the caller's (a bounded dictionary; it travels with the
 tasks).  Contract: null, empty and wordless texts have no row; a notice
-that occurs twice has two rows; overlapping finds of one template keep the
-better one (ties: the earlier); repeated rows are scanned alike; an empty
+that occurs twice has two rows, also without a word between; of overlapping
+finds of one template the better one stays (ties: the earlier) and the rest
+is aligned to the words it leaves; repeated rows are scanned alike; an empty
 table or no templates give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from matchops.llm.common import map_texts, texts
 
-GRAM, WINNOW = 3, 2
+GRAM, WINNOW = 3, 2  # at most
 BAND = 8
 LEAST = 0.8  # coverage of a template that is reported
 _WORD = re.compile(r"\w+")
@@ -46,6 +50,14 @@ TEMPLATES = {
 }
 
 
+def gram_of(words: int) -> tuple[int, int]:
+    """k and winnowing width for a template of so many words."""
+    lost = words - int(np.ceil(LEAST * words - 1e-9))  # at most, by a find that is reported
+    run = -(-(words - lost) // (lost + 1))  # words left in one piece, at least
+    k = max(1, min(GRAM, run))
+    return k, max(1, min(WINNOW, run - k + 1))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
@@ -53,24 +65,25 @@ class Scanner:
         self.code = {w: i for i, w in enumerate(sorted(set().union(*words)), 1)} if words else {}
         self.base = len(self.code) + 1
         self.templates = [np.array([self.code[w] for w in ws], np.int64) for ws in words]
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        self.index: dict[int, dict[int, list[tuple[int, int]]]] = {}  # by k
         for t, codes in enumerate(self.templates):
-            grams = self._grams(codes)
+            k, winnow = gram_of(len(codes))
+            grams = self._grams(codes, k)
             order = [crc32(str(g).encode()) for g in grams.tolist()]
-            for lo in range(max(1, len(grams) - WINNOW + 1) if len(grams) else 0):
-                at = min(range(lo, min(lo + WINNOW, len(grams))), key=lambda i: (order[i], i))
-                places = self.index.setdefault(int(grams[at]), [])
+            for lo in range(max(1, len(grams) - winnow + 1) if len(grams) else 0):
+                at = min(range(lo, min(lo + winnow, len(grams))), key=lambda i: (order[i], i))
+                places = self.index.setdefault(k, {}).setdefault(int(grams[at]), [])
                 if (t, at) not in places:
                     places.append((t, at))
-        self.known = np.array(sorted(self.index), np.int64)
+        self.known = {k: np.array(sorted(index), np.int64) for k, index in self.index.items()}
 
-    def _grams(self, codes: np.ndarray) -> np.ndarray:
+    def _grams(self, codes: np.ndarray, k: int) -> np.ndarray:
         """k-gram numbers; -1 where a word is in no template."""
-        n = len(codes) - GRAM + 1
+        n = len(codes) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         out, foreign = np.zeros(n, np.int64), np.zeros(n, bool)
-        for i in range(GRAM):
+        for i in range(k):
             out = out * self.base + codes[i:i + n]
             foreign |= codes[i:i + n] == 0
         return np.where(foreign, -1, out)
@@ -82,7 +95,8 @@ class Scanner:
     def align(self, t: int, codes: np.ndarray, diagonal: int) -> tuple[int, int, int]:
         """(words matched, first, behind last word of the text): best local
         alignment with text place - template place within BAND of diagonal;
-        a match scores 2, a word passed over on either side costs 1."""
+        a match scores 2, a word passed over on either side costs 1, and
+        words that are taken (-1) end every alignment."""
         none = (0, 0, 0, 0)  # score, matched, first, behind last
         best, row = none, [none] * (2 * BAND + 1)
         for j, word in enumerate(self.templates[t].tolist()):
@@ -90,7 +104,7 @@ class Scanner:
             for b in range(2 * BAND + 1):
                 i = j + diagonal + b - BAND
                 cell = none
-                if 0 <= i < len(codes):
+                if 0 <= i < len(codes) and codes[i] >= 0:
                     if codes[i] == word:  # the same offset one template word earlier
                         s = row[b]
                         cell = (s[0] + 2, s[1] + 1, s[2] if s[1] else i, i + 1)
@@ -105,29 +119,36 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, float, int, int]]:
         """(template, words matched, coverage, first character, behind last)."""
-        if not len(self.known) or not np.isin(self._grams(self._codes(_WORD.findall(text.lower()))), self.known).any():
+        first = self._codes(_WORD.findall(text.lower()))
+        if not any(np.isin(self._grams(first, k), known).any() for k, known in self.known.items()):
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
         codes = self._codes(text[a:b].lower() for a, b in spans)
-        grams = self._grams(codes)
         seen: dict[int, list[int]] = {}
-        for at in np.flatnonzero(np.isin(grams, self.known)).tolist():
-            for t, place in self.index[int(grams[at])]:
-                seen.setdefault(t, []).append(at - place)
+        for k, known in self.known.items():
+            grams = self._grams(codes, k)
+            for at in np.flatnonzero(np.isin(grams, known)).tolist():
+                for t, place in self.index[k][int(grams[at])]:
+                    seen.setdefault(t, []).append(at - place)
         found = []
         for t, diagonals in sorted(seen.items()):
+            words, least = codes.copy(), LEAST * len(self.templates[t])
             last, own = None, []
             for d in sorted(set(diagonals)):
                 if last is None or d - last > BAND // 2:
                     last = d
-                    n, lo, hi = self.align(t, codes, d)
-                    if n >= LEAST * len(self.templates[t]):
-                        own.append((-n, lo, hi))
-            taken: list[tuple[int, int]] = []
-            for n, lo, hi in sorted(own):
-                if all(hi <= a or lo >= b for a, b in taken):
-                    taken.append((lo, hi))
+                    n, lo, hi = self.align(t, words, d)
+                    if n >= least:
+                        own.append((-n, lo, hi, d))
+            heapify(own)
+            while own:
+                n, lo, hi, d = heappop(own)
+                if (words[lo:hi] >= 0).all():
+                    words[lo:hi] = -1
                     found.append((self.names[t], -n, -n / len(self.templates[t]), spans[lo][0], spans[hi - 1][1]))
+                n, lo, hi = self.align(t, words, d)  # to the words not taken
+                if n >= least:
+                    heappush(own, (-n, lo, hi, d))
         return sorted(found, key=lambda f: (f[3], f[0]))
 
 

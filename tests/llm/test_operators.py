@@ -332,6 +332,25 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_licenses_back_to_back_and_with_lost_words(spark):
+    importable(spark)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, notice in licenses.TEMPLATES.items():
+        for copies in (2, 3, 5):
+            text = " ".join([notice] * copies)
+            assert [(f[0], f[2], text[f[3]:f[4]] in notice) for f in scanner.scan(text) if f[0] == name] == [(name, 1.0, True)] * copies
+        words = licenses._WORD.findall(notice)
+        lost = len(words) // 5
+        step = -(-len(words) // (lost + 1))
+        cut = ["other" if i % step == step - 1 and i // step < lost else w for i, w in enumerate(words)]
+        assert name in {f[0] for f in scanner.scan(" ".join(cut))}
+    rows = [(1, "Released under an MIT License."), (2, "Released under the MIT License. " * 2)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.matched_words) for r in got) == [(1, "MIT", 4), (2, "MIT", 5), (2, "MIT", 5)]
+    short = licenses.Scanner({"one": "Unlicense", "two": "Public domain"})
+    assert [f[0] for f in short.scan("the unlicense, or public domain")] == ["one", "two"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     importable(spark)
     rng = random.Random(8)
