@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchops.llm.common import shuffle_width, texts
+from matchops.session import materialize
 
 CHARS, STEPS = 1024, 2304  # of a block, and of the walk over it
 SAMPLES = 256
@@ -205,17 +206,19 @@ def parse(text: str) -> Print:
 
 
 def near_pairs(printed: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness): each distinct fingerprint against the smallest id of
-    every band it shares; copies stand behind one id, no group is paired out."""
-    one = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    banded = one.select("doc_id", "fingerprint", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min_by(F.struct("doc_id", "fingerprint"), "doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = (banded.join(heads.select("band", "head"), "band").where("head.doc_id < doc_id")
-             .select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct())
+    """(a, b, likeness) of all distinct fingerprints that share a band and
+    reach ``least``; copies stand behind one id.  Only ids are paired in the
+    bands; the fingerprints come in once per pair."""
+    one = materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "prints")
+    banded = one.select(F.col("doc_id").alias("a"), F.explode("bands").alias("band"))
+    pairs = banded.join(banded.select(F.col("a").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
+    of = one.select("doc_id", "fingerprint")
+    pairs = pairs.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b")
 
     def verify(batches):
+        known = lru_cache(maxsize=20_000)(parse)
         for batch in batches:
-            like = [parse(x).likeness(parse(y)) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)]
+            like = [known(x).likeness(known(y)) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like, pa.float64())], ["a", "b", "likeness"])
 
-    return pairs.mapInArrow(verify, "a long, b long, likeness double").where(F.col("likeness") >= least)
+    return pairs.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long, likeness double").where(F.col("likeness") >= least)

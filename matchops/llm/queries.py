@@ -58,6 +58,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with like fingerprints."""
+    return fingerprints.near_pairs(fingerprints.fingerprint_edits(table(spark, sf_dir, "documents")))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every hundredth vector, against all others."""
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_licenses": op7_licenses,
     "op8_fingerprints": op8_fingerprints,
+    "op8_near_pairs": op8_near_pairs,
     "op9_topk": op9_topk,
     "op10_near_dups": op10_near_dups,
 }

@@ -210,6 +210,20 @@ def test_fingerprint_likeness_follows_edits_and_bands_find_pairs(spark):
     assert {(r.a, r.b) for r in fingerprints.near_pairs(rows, 0.6).collect()} == {(1, 2)}
 
 
+def test_near_pairs_compare_all_members_of_a_band(spark):
+    from matchops.llm.queries import QUERIES
+
+    importable(spark)
+    rng = random.Random(21)
+    text = "".join(rng.choice("abcdefghij klmno") for _ in range(900))
+    other = "".join(rng.choice("abcdefghij klmno") for _ in range(900))
+    found = fingerprints.prints([other, *(text + "z" * i for i in range(3))])
+    rows = [(i, str(p), [7, 8]) for i, p in enumerate(found)]  # the least id of each band is unlike the rest
+    got = fingerprints.near_pairs(spark.createDataFrame(rows, "doc_id long, fingerprint string, bands array<long>")).collect()
+    assert sorted((r.a, r.b) for r in got) == [(1, 2), (1, 3), (2, 3)]
+    assert "op8_near_pairs" in QUERIES
+
+
 def test_top_k_matches_brute_force(spark):
     importable(spark)
     rng = np.random.default_rng(0)
