@@ -35,10 +35,20 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group."""
+    """One row of every near-duplicate group: that with the smallest id, of
+    several such rows (or of rows that all have a null id) any one.
+
+    Rows are told apart by a generated key that is written with them, so ids
+    may be null or occur more than once."""
     importable(spark)
-    gone = near_dups.near_duplicates(docs, words=5, threshold=0.8).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = near_dups.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), words=5, threshold=0.8)
+    rows = found.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", "doc_id"), "_row")
+    rows = materialize(rows, "grouped")
+    first = rows.groupBy("component_id").agg(
+        F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = rows.join(first, "component_id").where("_row <> first").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

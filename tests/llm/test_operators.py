@@ -414,3 +414,16 @@ def test_pattern_voters_read_whole_texts():
     assert votes(calm + "no!!! way!!! " * 9000) & 2
     assert votes(calm + "$#%& " * 9000) & 8
     assert votes("$#%&") & 8 and votes("sooooo") & 4
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_its_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    a, b, c, d = (" ".join(rng.choice(WORDS[:10]) + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (5, a), (3, a + " more"), (None, b), (None, b), (7, c), (7, c), (7, d), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(got, key=str) == sorted([(3, a + " more"), (None, b), (7, c), (7, d), (8, ""), (None, None)], key=str)
