@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchops.llm import bpe, fingerprints, language, licenses, near_dups, packing, sharding, token_counts, topk, toxicity
+from matchops.llm import bpe, divergence, fingerprints, language, licenses, near_dups, packing, sharding, token_counts, topk, toxicity
 from matchops.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of each language, by pair and by term."""
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, most_terms=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_pairs": op8_near_pairs,
     "op9_topk": op9_topk,
     "op10_near_dups": op10_near_dups,
+    "op13_divergence": op13_divergence,
 }
 SQL: dict[str, str] = {
     "op9_topk": """
@@ -128,4 +134,39 @@ SQL: dict[str, str] = {
                n.doc_id = min(r.root) AS kept
         FROM n JOIN reach r ON r.node = n.doc_id
         GROUP BY n.doc_id, n.n_shingles""",
+    "op13_divergence": r"""
+        WITH d AS (
+          SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+          FROM documents),
+        kept AS (
+          SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) AS term FROM d)
+          GROUP BY lang, term HAVING count(*) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        dense AS (
+          SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n
+          FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+        s AS (
+          SELECT *, sum(n) OVER (PARTITION BY lang, source) AS gn, count(*) OVER (PARTITION BY lang, source) AS v,
+                 sum(n) OVER (PARTITION BY lang, term) AS ln, sum(n) OVER (PARTITION BY lang) AS lt
+          FROM dense),
+        p AS (
+          SELECT lang, source, term, n,
+                 CAST(1 + CAST(1000000000 AS HUGEINT) * (CAST(n AS HUGEINT) + 5) // (gn + 5 * v) AS BIGINT) AS p,
+                 CAST(1 + CAST(1000000000 AS HUGEINT) * (CAST(ln AS HUGEINT) + 5) // (lt + 5 * v) AS BIGINT) AS q
+          FROM s),
+        pair AS (
+          SELECT a.lang, a.source, b.source AS item, sum(abs(pa.p - pb.p)) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN p pa ON pa.lang = a.lang AND pa.source = a.source
+          LEFT JOIN p pb ON pb.lang = b.lang AND pb.source = b.source AND pb.term = pa.term
+          GROUP BY ALL),
+        rows AS (
+          SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM pair
+          UNION ALL
+          SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+        FROM rows QUALIFY part = 'pair' OR rank <= 50""",
 }
