@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchops.llm import bpe, divergence, fingerprints, language, licenses, near_dups, packing, sharding, token_counts, topk, toxicity
+from matchops.llm import (bpe, divergence, fingerprints, hard_negatives, language, licenses, near_dups, packing, sharding, token_counts,
+                          topk, toxicity)
 from matchops.llm.common import table
 
 
@@ -74,6 +75,13 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives for the five best positives of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, 256)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of all sources of each language, by pair and by term."""
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, most_terms=50)
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_pairs": op8_near_pairs,
     "op9_topk": op9_topk,
     "op10_near_dups": op10_near_dups,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_divergence": op13_divergence,
 }
 SQL: dict[str, str] = {
@@ -134,6 +143,27 @@ SQL: dict[str, str] = {
                n.doc_id = min(r.root) AS kept
         FROM n JOIN reach r ON r.node = n.doc_id
         GROUP BY n.doc_id, n.n_shingles""",
+    "op11_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                 CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+          FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        r AS (
+          SELECT p.anchor_id, p.positive_id,
+                 CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+                 s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+          FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+            AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score)
+        SELECT * FROM r WHERE rank <= 10""",
     "op13_divergence": r"""
         WITH d AS (
           SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
