@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchops.llm import (bpe, divergence, fingerprints, hard_negatives, language, licenses, near_dups, packing, sharding, token_counts,
-                          topk, toxicity)
+                          topk, toxicity, warc)
 from matchops.llm.common import table
+from matchops.session import work_dir
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as ARC files of both versions, converted to WARC files and read back."""
+    pages, folder = table(spark, sf_dir, "pages"), work_dir(spark, "archives")
+    for version in (1, 2):
+        half = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(2)) == version - 1)
+        warc.write_arc(half, f"{folder}/arc/v{version}", version)
+    warc.write_warc(warc.with_revisits(warc.convert(spark, f"{folder}/arc/v*"), least=1000), f"{folder}/warc")
+    return warc.resolved(warc.read_warc(spark, f"{folder}/warc")).withColumnRenamed("item", "page_id")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of all sources of each language, by pair and by term."""
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, most_terms=50)
@@ -100,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_near_dups": op10_near_dups,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_warc": op12_warc,
     "op13_divergence": op13_divergence,
 }
 SQL: dict[str, str] = {
@@ -164,6 +176,16 @@ SQL: dict[str, str] = {
           FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
             AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score)
         SELECT * FROM r WHERE rank <= 10""",
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        r AS (
+          SELECT *, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS nth,
+                 max(page_id) OVER (PARTITION BY payload) AS first
+          FROM p)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN strlen(payload) >= 1000 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(payload) >= 1000 AND nth > 1 THEN first END AS refers_to
+        FROM r""",
     "op13_divergence": r"""
         WITH d AS (
           SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
