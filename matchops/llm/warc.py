@@ -51,6 +51,7 @@ ARC_FIELDS = {
 CAPTURED = "19991231235959"  # for pages without a date
 ID_FIELD = b"X-Page-Id"
 HELD_BYTES, HELD_ROWS = 4 << 20, 4096
+GZIP = {"compression": "gzip", "zlib.compress.level": "FOUR"}  # on HTML a third of the time of level 6, 4 % larger
 #: A payload is hot from so few copies on: its rows carry whole blocks.
 HOT = replace(DEFAULT, hot_key_min_rows=500)
 
@@ -121,7 +122,7 @@ def _write(rows: DataFrame, make: Callable[[Iterable[dict]], Iterator[bytes]], p
         return _sent(((x,) for x in make(row for b in batches for row in b.to_pylist())), schema, 0)
 
     records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
-    records.write.mode("overwrite").option("compression", "gzip").option("lineSep", end).text(path)
+    records.write.mode("overwrite").options(**GZIP).option("lineSep", end).text(path)
 
 
 # --- ARC --------------------------------------------------------------------
