@@ -1,7 +1,7 @@
 """Sinks and the report registry.
 
-* ``bulk_replace`` (A6): CSV upload -> clean -> partitioned parquet
-  store, validated before anything is overwritten.
+* ``bulk_replace`` (A6): CSV upload -> clean -> the versioned match store,
+  validated first and switched to as a whole.
 * ``persist_matches`` / ``reload`` (A7, A9): the match table as parquet
   partitioned by (region, match_date) when an event time exists.
 * ``write_report`` (A8): header CSV, globally sorted by a range-
@@ -24,9 +24,11 @@ from matchops.config import Config, DEFAULT
 from matchops.operators import lobbies, ranking, severity
 from matchops.operators.cleaning import clean_matches
 from matchops.plans.batch import Analysis
+from matchops.sources import store
 from matchops.sources.csv_source import read_raw
 
 
+BOARD_FOLDER = "primary_region_folder"
 FOLDER = "_folder"  # partition column; the region itself stays in the files, so no value is re-typed or lost
 
 
@@ -45,18 +47,21 @@ def persist_matches(matches: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def reload(spark: SparkSession, path: str) -> DataFrame:
-    """The persisted match table (partition columns restored)."""
+    """The persisted match table, of a plain or a versioned store."""
+    if store.exists(spark, path):
+        return store.read(spark, path, store.MATCHES).drop("match_date")
     return spark.read.parquet(path).drop("match_date", FOLDER)
 
 
 def bulk_replace(spark: SparkSession, csv_path: str, store_path: str, cfg: Config = DEFAULT) -> int:
-    """Replace the store with a cleaned CSV upload.
+    """Replace the match store with a cleaned CSV upload.
 
     The header is checked first (``MissingColumnsError`` leaves the store
-    untouched); the cleaned rows are written as a whole, then counted.
-    """
+    untouched); readers see the old store until the whole upload is
+    published.  A plain parquet folder at that place is an error."""
     raw = read_raw(spark, csv_path, cfg)          # raises before any write
-    persist_matches(clean_matches(raw, cfg).drop("ingest_seq"), store_path)
+    rows = clean_matches(raw, cfg).drop("ingest_seq").withColumn("match_date", F.lit(None).cast("date"))
+    store.replace(rows, store_path, store.MATCHES)
     return reload(spark, store_path).count()
 
 
@@ -101,8 +106,8 @@ def json_records(df: DataFrame) -> DataFrame:
 
 
 def publish_board(board: DataFrame, path: str) -> None:
-    """Serve the regional board as parquet partitioned by primary_region."""
-    board.write.mode("overwrite").partitionBy("primary_region").parquet(path)
+    """Serve the regional board as parquet partitioned by its region."""
+    board.withColumn(BOARD_FOLDER, F.concat(F.lit("r_"), "primary_region")).write.mode("overwrite").partitionBy(BOARD_FOLDER).parquet(path)
 
 
 def read_region_board(spark: SparkSession, path: str, region: str) -> DataFrame:
@@ -112,5 +117,5 @@ def read_region_board(spark: SparkSession, path: str, region: str) -> DataFrame:
 
     # A foldable expression on a literal: the optimizer turns it into a
     # constant, so the filter still prunes partitions.
-    wanted = title_case(strip_ws(F.lit(region)))
-    return spark.read.parquet(path).filter(F.col("primary_region") == wanted)
+    wanted = F.concat(F.lit("r_"), title_case(strip_ws(F.lit(region))))
+    return spark.read.parquet(path).filter(F.col(BOARD_FOLDER) == wanted).drop(BOARD_FOLDER)

@@ -136,7 +136,7 @@ def q_stream_verdicts(spark, sf_dir):
     base = work_dir(spark, "verdicts")
     store = _store_from_stream(spark, f"{base}/load", [_matches(spark, sf_dir)])
     _drain(spark, f"{base}/subs", [_resent(spark, sf_dir)],
-           lambda s, chk: jobs.verdict_job(s, store, f"{base}/verdicts", chk, DRAIN, version_base=1000))
+           lambda s, chk: jobs.verdict_job(s, store, f"{base}/verdicts", chk, DRAIN))
     rows = spark.read.parquet(f"{base}/verdicts")
     # the schema is given: without a flagged player there is no file of reasons
     pages = spark.read.schema("player_id string, page int, reasons string, _batch int").parquet(

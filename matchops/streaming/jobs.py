@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from matchops.config import Config, DEFAULT
 from matchops.plans.batch import Analysis
+from matchops.sources.store import writer_of
 from matchops.streaming import plans
 from matchops.streaming.verdicts import reason_pages, verdicts as verdict_rows
 
@@ -49,10 +50,21 @@ def dedup_job(stream: DataFrame, out: str, checkpoint: str, trigger: dict,
     return _start(w, checkpoint, trigger)
 
 
-def store_job(stream: DataFrame, store: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """J4 + J10: upsert into the partitioned match store (newest wins)."""
-    w = stream.writeStream.foreachBatch(lambda df, bid: plans.append_to_store(df, bid, store))
-    return _start(w, checkpoint, trigger)
+def store_job(stream: DataFrame, store: str, checkpoint: str, trigger: dict, writer: str | None = None,
+              merge_above: int | None = None) -> StreamingQuery:
+    """J4 + J10: upsert into the partitioned match store (newest wins).
+
+    Jobs share a store: each writes under its own name, by default one made
+    from its checkpoint.  One of them may merge the store whenever more than
+    ``merge_above`` batches are live."""
+    spark, name = stream.sparkSession, writer or writer_of(checkpoint)
+
+    def publish(df, bid):
+        plans.append_to_store(df, bid, store, name)
+        if merge_above is not None:
+            plans.merge_store(spark, store, merge_above)
+
+    return _start(stream.writeStream.foreachBatch(publish), checkpoint, trigger)
 
 
 def rate_job(stream: DataFrame, out: str, checkpoint: str, trigger: dict, delay: str,
@@ -72,7 +84,7 @@ def alert_rate_job(stream: DataFrame, out: str, checkpoint: str, trigger: dict,
 def totals_job(stream: DataFrame, totals: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     """Running player totals (update mode, changed players per batch)."""
     w = plans.running_totals(stream).writeStream.outputMode("update").foreachBatch(
-        lambda df, bid: plans.append_totals(df, bid, totals))
+        lambda df, bid: plans.append_totals(df, bid, totals, writer_of(checkpoint)))
     return _start(w, checkpoint, trigger)
 
 
@@ -82,7 +94,7 @@ def topk_job(stream: DataFrame, store: str, top: str, checkpoint: str, trigger:
     spark = stream.sparkSession
 
     def refresh(batch, bid):
-        plans.append_to_store(batch, bid, store)
+        plans.append_to_store(batch, bid, store, writer_of(checkpoint))
         Analysis(plans.read_store(spark, store), cfg).top_k(cfg.top_k).write.mode(
             "overwrite").parquet(top)
 
@@ -95,14 +107,14 @@ def reasons_path(verdicts: str) -> str:
 
 
 def verdict_job(stream: DataFrame, store: str, verdicts: str, checkpoint: str, trigger: dict,
-                cfg: Config = DEFAULT, version_base: int = 0) -> StreamingQuery:
+                cfg: Config = DEFAULT, writer: str | None = None) -> StreamingQuery:
     """Land each batch of submissions, then judge them against the
     detection over the whole store; verdicts are appended per batch, and the
     reasons they refer to (by ``_batch`` and player) beside them."""
-    spark = stream.sparkSession
+    spark, name = stream.sparkSession, writer or writer_of(checkpoint)
 
     def handle(batch, bid):
-        plans.append_to_store(batch, version_base + bid, store)
+        plans.append_to_store(batch, bid, store, name)
         a = Analysis(plans.read_store(spark, store), cfg)
         subs = batch.drop(*[c for c in ("ingest_seq",) if c in batch.columns])
         plans.append_log(reason_pages(a, subs), bid, reasons_path(verdicts))

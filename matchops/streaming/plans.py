@@ -5,15 +5,15 @@ operators applied to a stream:
 
 * stateless alerts (J2) — the same rule list, append mode;
 * duplicate suppression (J3) — ``dropDuplicatesWithinWatermark``;
-* the match store (J4, J10) — an append-only log partitioned by
-  (region, match_date); each micro-batch is appended with its batch id,
-  and readers resolve a key to its newest version (merge on read), so an
-  upsert costs the size of the batch, not of the store;
+* the match store (J4, J10) — a versioned table (``sources.store``)
+  partitioned by (region, match_date); each micro-batch is published under
+  its writer and batch id, and readers resolve a key to its newest version,
+  so an upsert costs the size of the batch, not of the store;
 * windowed rates (J7, J8) — watermark + tumbling windows, append mode
   (a window is emitted once the watermark passes its end; later rows are
   dropped and counted by the state metrics, J13);
 * running totals (J9) — streaming aggregate in update mode, each batch's
-  changed players appended to a log and resolved the same way;
+  changed players published to such a table too;
 * periodic refreshes (J5, J6) and submission verdicts (M10) — batch plans
   re-run per trigger over the store.
 """
@@ -27,9 +27,7 @@ from matchops.config import Config, DEFAULT
 from matchops.operators import cleaning
 from matchops.operators.rules import rule_flags, rule_flags_long
 from matchops.operators.timeline import TS_FORMAT, window_seconds
-
-STORE_PARTITIONS = ("region", "match_date")
-
+from matchops.sources import store
 
 def event_time(df: DataFrame, col: str = "created_at") -> DataFrame:
     """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ)."""
@@ -88,46 +86,40 @@ def running_totals(stream: DataFrame) -> DataFrame:
     )
 
 
-# --- match store: append-only log, newest version wins ------------------
+# --- match store: a versioned table, newest row per key -------------------
+
+MAIN = "main"  # the writer where a caller names none
+
 
-def store_rows(batch: DataFrame, batch_id: int) -> DataFrame:
-    """A micro-batch as store rows: partition columns + version."""
+def store_rows(batch: DataFrame) -> DataFrame:
+    """A micro-batch as store rows: with the date it is partitioned by."""
     b = event_time(batch)
-    return b.withColumn("match_date", F.to_date("created_at")).withColumn(
-        "_version", F.lit(int(batch_id)).cast("long"))
+    at = F.to_date("created_at") if "created_at" in b.columns else F.lit(None).cast("date")
+    return b.withColumn("match_date", at)
 
 
-def append_to_store(batch: DataFrame, batch_id: int, path: str) -> None:
-    """J4 sink (foreachBatch): append the batch as a new version.
+def append_to_store(batch: DataFrame, batch_id: int, path: str, writer: str = MAIN) -> bool:
+    """J4 sink (foreachBatch): publish the batch under (writer, batch id).
 
-    Writes are idempotent per batch id: a retried batch rewrites only its
-    own ``_batch=<id>`` files, so a lost executor or a restarted query
-    never duplicates a version.
-    """
-    rows = store_rows(batch, batch_id).withColumn("_batch", F.lit(int(batch_id)))
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("_batch", *STORE_PARTITIONS).parquet(path))
+    A retried batch changes nothing, and jobs with different writer names
+    share a store without touching each other's files."""
+    return store.append(store_rows(batch), path, store.MATCHES, writer, batch_id)
 
 
-def read_store(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
+def read_store(spark: SparkSession, path: str, region: str | None = None, dates=None) -> DataFrame:
     """Current matches: newest version per (player_id, match_id).
 
-    Within one version the later ``ingest_seq`` wins.  With a region (J10)
-    whole rows are read from that region's folders only; of the others just
-    the keys and versions, because a match sent again under another region
-    must not come back from its old one.
-    """
-    keys = ["player_id", "match_id"]
-    log = spark.read.parquet(path)
-    seq = F.coalesce(F.col("ingest_seq"), F.lit(0)) if "ingest_seq" in log.columns else F.lit(0)
-    others = [c for c in log.columns if c not in (*keys, "_batch", "_version")]
-    log = log.withColumn("_order", F.struct(F.col("_version"), seq.alias("s")))
-    own = log if region is None else log.filter(F.col("region") == region)
-    latest = own.groupBy(*keys).agg(F.max_by(F.struct(*others), "_order").alias("_row"), F.max("_order").alias("_order"))
-    if region is not None:
-        moved = log.filter(F.col("region") != region).groupBy(*keys).agg(F.max("_order").alias("_moved"))
-        latest = latest.join(moved, keys, "left").filter(F.col("_moved").isNull() | (F.col("_moved") < F.col("_order")))
-    return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
+    With a region or dates (J10; one date or a list of them) only folders of
+    batches that have such rows are read, and of other partitions just the
+    keys of later batches, because a match sent again elsewhere must not come
+    back from its old place."""
+    where = ({} if region is None else {"region": region}) | ({} if dates is None else {"match_date": dates})
+    return store.read(spark, path, store.MATCHES, where)
+
+
+def merge_store(spark: SparkSession, path: str, most: int = 1) -> bool:
+    """Compact the match store when more than ``most`` batches are live."""
+    return store.merge(spark, path, store.MATCHES, most)
 
 
 def append_log(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -137,13 +129,11 @@ def append_log(batch: DataFrame, batch_id: int, path: str) -> None:
      .partitionBy("_batch").parquet(path))
 
 
-def append_totals(batch: DataFrame, batch_id: int, path: str) -> None:
-    """J9 sink: updated players of this batch, tagged with the batch id."""
-    append_log(batch, batch_id, path)
+def append_totals(batch: DataFrame, batch_id: int, path: str, writer: str = MAIN, most: int = 32) -> None:
+    """J9 sink: the batch's players; merged when more than ``most`` batches are live."""
+    store.append(batch, path, store.PLAYERS, writer, batch_id)
+    store.merge(batch.sparkSession, path, store.PLAYERS, most)
 
 
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    log = spark.read.parquet(path)
-    others = [c for c in log.columns if c not in ("player_id", "_batch")]
-    latest = log.groupBy("player_id").agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r"))
-    return latest.select("player_id", *[F.col(f"_r.{c}").alias(c) for c in others])
+    return store.read(spark, path, store.PLAYERS)

@@ -124,7 +124,7 @@ def test_submission_verdicts_keep_all_pages_of_reasons(spark):
     src = f"{base}/subs"
     subs.coalesce(1).write.parquet(src)
     q = jobs.verdict_job(spark.readStream.schema(subs.schema).parquet(src), f"{base}/store", f"{base}/v", f"{base}/chk",
-                         {"availableNow": True}, cfg, version_base=1000)
+                         {"availableNow": True}, cfg)
     q.awaitTermination()
     table, pages = spark.read.parquet(f"{base}/v"), spark.read.parquet(jobs.reasons_path(f"{base}/v"))
     counts = {r.match_id: r.reason_count for r in table.collect()}
