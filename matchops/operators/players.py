@@ -8,7 +8,7 @@ need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
@@ -20,6 +20,28 @@ STATS_COLUMNS = (
 )
 
 
+#: |x| from which a value is summed as a whole number, and from which as a double.
+_WHOLE, _HUGE = 1e15, 1e27
+
+
+def exact_parts(col: str, prefix: str) -> dict[str, Column]:
+    """Aggregates whose sum is the same in any order: decimals with 12 places
+    below 1e15 (a double counts as it prints), whole numbers below 1e27.  Only
+    values beyond that, infinities and NaN are added up as doubles."""
+    x = F.col(col).cast("double")
+    size = F.abs(x)
+    return {
+        f"{prefix}_fine": F.coalesce(F.sum(F.when(size < _WHOLE, x.cast("decimal(28,12)"))), F.lit(0).cast("decimal(38,12)")),
+        f"{prefix}_whole": F.coalesce(F.sum(F.when((size >= _WHOLE) & (size < _HUGE), x.cast("decimal(28,0)"))), F.lit(0).cast("decimal(38,0)")),
+        f"{prefix}_huge": F.coalesce(F.sum(F.when(size >= _HUGE, x)), F.lit(0.0)),
+    }
+
+
+def exact_value(prefix: str) -> Column:
+    """The sum of ``exact_parts`` as a double."""
+    return F.col(f"{prefix}_fine").cast("double") + F.col(f"{prefix}_whole").cast("double") + F.col(f"{prefix}_huge")
+
+
 def player_profile(matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per player with every aggregate the reports use.
 
@@ -28,10 +50,9 @@ def player_profile(matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """
     agg = matches.groupBy("player_id").agg(
         F.count(F.lit(1)).alias("matches_played"),
-        F.sum("score").alias("total_score"),
+        *[v.alias(k) for k, v in exact_parts("score", "_score").items()],
         F.sum("kills").cast("long").alias("total_kills"),
         F.sum("deaths").cast("long").alias("total_deaths"),
-        F.avg("score").alias("avg_score"),
         F.avg("kills").alias("avg_kills"),
         F.avg("deaths").alias("avg_deaths"),
         F.avg("ping").alias("avg_ping"),
@@ -42,6 +63,7 @@ def player_profile(matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.mode("region", True).alias("_region_mode"),
         F.mode("device", True).alias("_device_mode"),
     )
+    agg = agg.withColumn("total_score", exact_value("_score")).withColumn("avg_score", F.col("total_score") / F.col("matches_played"))
     return agg.select(
         "player_id", "matches_played", "total_score", "total_kills", "total_deaths",
         (F.col("total_score") / F.col("matches_played")).alias("avg_score_per_match"),
@@ -88,6 +110,12 @@ def _extreme_fires(mx: str, mn: str, mean: str, std: str, limit: float):
     )
 
 
+def extremes_fire(cfg: Config = DEFAULT) -> Column:
+    """Does a player's largest or smallest score or kill count pass the limit?"""
+    return (_extreme_fires("max_score", "min_score", "mean_score", "std_score", cfg.z_limit)
+            | _extreme_fires("max_kills", "min_kills", "mean_kills", "std_kills", cfg.z_limit))
+
+
 def z_candidates(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Players that can have a z-flagged match at all.
 
@@ -97,7 +125,4 @@ def z_candidates(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     back to the matches.
     """
     m = player_moments(profile, cfg).filter(F.col("matches_played") >= cfg.z_min_matches)
-    return m.filter(
-        _extreme_fires("max_score", "min_score", "mean_score", "std_score", cfg.z_limit)
-        | _extreme_fires("max_kills", "min_kills", "mean_kills", "std_kills", cfg.z_limit)
-    ).select("player_id", "matches_played", "mean_score", "std_score", "mean_kills", "std_kills")
+    return m.filter(extremes_fire(cfg)).select("player_id", "matches_played", "mean_score", "std_score", "mean_kills", "std_kills")

@@ -203,6 +203,14 @@ def _newest(rows: DataFrame, spec: Spec) -> DataFrame:
     return best.select(*spec.keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
+def batch_rows(spark: SparkSession, path: str, spec: Spec, writer: str, batch: int) -> DataFrame:
+    """The rows of one live batch as they were published."""
+    own = [e for e in entries(spark, path) if (e.writer, e.batch) == (writer, batch)]
+    if not own:
+        raise FileNotFoundError(f"{writer}/{batch} is not live in {path}")
+    return _read(spark, path, spec, own).drop(*_folders(spec), _VERSION)
+
+
 def _moved(spark: SparkSession, path: str, spec: Spec, live: Sequence, hit: Column) -> DataFrame | None:
     """(keys, newest version) of rows outside the wanted partitions that may
     be newer than one inside; None if there can be none."""

@@ -15,18 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchops.config import DEFAULT
-from matchops.operators import history
 from matchops.plans import oracle
-from matchops.plans.batch import Analysis
 from matchops.session import work_dir
 from matchops.sources import fixtures
-from matchops.streaming import jobs, plans
+from matchops.streaming import jobs, plans, refresh
 from matchops.streaming.verdicts import with_reasons
 
 LATE_DELAY = "10 minutes"     # watermark for the windowed rates
 DEDUP_DELAY = "40 days"       # covers the whole test span: copies meet state
 SPLIT_AT = "2024-01-16"       # arrival stages: first half of the month, then the rest
 DRAIN = {"availableNow": True}
+STORE_DAYS = ("2024-01-10", "2024-01-20")
 
 
 def _matches(spark, sf_dir) -> DataFrame:
@@ -116,19 +115,67 @@ def q_pruned_region_read(spark, sf_dir):
         "score")
 
 
+def _refreshed(spark, sf_dir, k: int) -> str:
+    """J5 + J6 over both halves of the matches and copies of some; returns the folder."""
+    base = work_dir(spark, "refresh")
+    first, second = _halves(spark, sf_dir)
+    _drain(spark, base, [first, second.unionByName(first.filter(F.col("ingest_seq") % 109 == 0))],
+           lambda s, chk: jobs.zscore_job(s, f"{base}/state", chk, DRAIN, DEDUP_DELAY, k=k))
+    return f"{base}/state"
+
+
 def q_zscore_refresh(spark, sf_dir):
-    """The periodic z-score job is a batch run over the store."""
-    base = work_dir(spark, "zrefresh")
-    path = _store_from_stream(spark, base, _halves(spark, sf_dir))
-    return history.zscore_outliers(Analysis(plans.read_store(spark, path)).hits)
+    """Z flags kept batch by batch, from mergeable moments."""
+    return refresh.read_outliers(spark, _refreshed(spark, sf_dir, DEFAULT.top_k))
 
 
 def q_topk_refresh(spark, sf_dir):
-    """Every trigger lands its batch and rewrites the top-k table."""
-    base = work_dir(spark, "topk")
-    _drain(spark, base, _halves(spark, sf_dir),
-           lambda s, chk: jobs.topk_job(s, f"{base}/store", f"{base}/top", chk, DRAIN))
-    return spark.read.parquet(f"{base}/top")
+    """The board's first ten after the last batch."""
+    return refresh.read_top(spark, _refreshed(spark, sf_dir, DEFAULT.top_k))
+
+
+def q_top100_refresh(spark, sf_dir):
+    """The board's first hundred after the last batch."""
+    return refresh.read_top(spark, _refreshed(spark, sf_dir, 100))
+
+
+def _odd_regions(df: DataFrame) -> DataFrame:
+    """Regions that text must keep apart: '01', '1', blank and null."""
+    k = F.col("ingest_seq")
+    return df.withColumn("region", F.when(k % 7 == 0, F.lit("01")).when(k % 7 == 1, F.lit("1")).when(k % 7 == 2, F.lit(""))
+                         .when(k % 7 == 3, F.lit(None).cast("string")).otherwise(F.col("region")))
+
+
+def _two_writers(spark, sf_dir) -> str:
+    """Two jobs write one store, half of the matches each; then copies of some
+    matches move to no region, from the first job, and the store is merged
+    before the second job's last batch."""
+    base = work_dir(spark, "writers")
+    path, m = f"{base}/store", _odd_regions(_matches(spark, sf_dir))
+    mine = F.col("ingest_seq") % 2 == 0
+    moved = _resent(spark, sf_dir).withColumn("region", F.lit(None).cast("string"))
+    early = F.col("created_at") < F.lit(SPLIT_AT).cast("timestamp_ntz")
+    start = {w: (lambda s, chk: jobs.store_job(s, path, chk, DRAIN)) for w in "ab"}
+    _drain(spark, f"{base}/a", [m.filter(mine), moved.filter(mine)], start["a"])
+    _drain(spark, f"{base}/b", [m.filter(~mine & early)], start["b"])
+    plans.merge_store(spark, path)
+    late = m.filter(~mine & ~early).unionByName(moved.filter(~mine))
+    late.write.mode("overwrite").parquet(f"{base}/b/in/s001")
+    stream = jobs.match_source(spark, f"{base}/b/in/*", spark.read.parquet(f"{base}/b/in/s001").schema)
+    start["b"](stream, f"{base}/b/chk").awaitTermination()
+    return path
+
+
+def q_store_two_writers(spark, sf_dir):
+    """The current matches of a store with two writers and a merge."""
+    return plans.read_store(spark, _two_writers(spark, sf_dir)).select(
+        "player_id", "match_id", "region", "score", F.date_format("match_date", "yyyy-MM-dd").alias("match_date"))
+
+
+def q_store_dates_read(spark, sf_dir):
+    """One region and two days of that store; matches that moved stay out."""
+    rows = plans.read_store(spark, _two_writers(spark, sf_dir), region="01", dates=list(STORE_DAYS))
+    return rows.select("player_id", "match_id", "region", "score", F.date_format("match_date", "yyyy-MM-dd").alias("match_date"))
 
 
 def q_stream_verdicts(spark, sf_dir):
@@ -154,6 +201,9 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pruned_region_read": q_pruned_region_read,
     "zscore_refresh": q_zscore_refresh,
     "topk_refresh": q_topk_refresh,
+    "top100_refresh": q_top100_refresh,
+    "store_two_writers": q_store_two_writers,
+    "store_dates_read": q_store_dates_read,
     "stream_verdicts": q_stream_verdicts,
 }
 
@@ -167,6 +217,12 @@ _UPSERTED = ("matches AS (SELECT player_id, match_id, region, device, ping, "
              "CASE WHEN CAST(substr(match_id, 2) AS BIGINT) % 109 = 0 THEN score + 1 ELSE score END score, "
              "kills, deaths, match_duration_seconds, created_at FROM base)")
 _BASE = "base AS (" + fixtures.duck_matches_cte() + ")"
+_MOVED = """stored AS (
+  SELECT player_id, match_id, strftime(CAST(created_at AS DATE), '%Y-%m-%d') match_date,
+    CASE WHEN k % 109 = 0 THEN score + 1 ELSE score END score,
+    CASE WHEN k % 109 = 0 OR k % 7 = 3 THEN NULL WHEN k % 7 = 0 THEN '01' WHEN k % 7 = 1 THEN '1' WHEN k % 7 = 2 THEN '' ELSE region END region
+  FROM (SELECT *, CAST(substr(match_id, 2) AS BIGINT) k FROM base))"""
+_STORED = "SELECT player_id, match_id, region, score, match_date FROM stored"
 
 STREAM_ORACLE: dict[str, str] = {
     "stream_rule_alerts": oracle.SQL["rule_flags_long"],
@@ -190,6 +246,10 @@ SELECT player_id, match_id, region, strftime(CAST(created_at AS DATE), '%Y-%m-%d
 FROM matches WHERE region = 'India'""",
     "zscore_refresh": oracle.SQL["zscore_outliers"],
     "topk_refresh": oracle.SQL["top10_players"],
+    "top100_refresh": oracle.SQL["top10_players"].replace("LIMIT 10", "LIMIT 100"),
+    "store_two_writers": oracle._with(_BASE, _MOVED) + _STORED,
+    "store_dates_read": oracle._with(_BASE, _MOVED) + _STORED + f"""
+WHERE region = '01' AND match_date IN {STORE_DAYS}""",
     "stream_verdicts": oracle._with(_BASE, _UPSERTED, *oracle.BASE[1:], oracle.REASONS, """pages AS (
   SELECT fl.player_id, fl.severity, string_agg(rs.reason, '; ' ORDER BY rs.pos) flag_reasons,
     CAST((rs.pos - 1) // 1000 AS INTEGER) page

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from matchops.config import Config, DEFAULT
 from matchops.plans.batch import Analysis
 from matchops.sources.store import writer_of
-from matchops.streaming import plans
+from matchops.streaming import plans, refresh
 from matchops.streaming.verdicts import reason_pages, verdicts as verdict_rows
 
 
@@ -88,17 +88,12 @@ def totals_job(stream: DataFrame, totals: str, checkpoint: str, trigger: dict) -
     return _start(w, checkpoint, trigger)
 
 
-def topk_job(stream: DataFrame, store: str, top: str, checkpoint: str, trigger: dict,
-             cfg: Config = DEFAULT) -> StreamingQuery:
-    """Land each batch in the store, then rewrite the top-k table."""
-    spark = stream.sparkSession
-
-    def refresh(batch, bid):
-        plans.append_to_store(batch, bid, store, writer_of(checkpoint))
-        Analysis(plans.read_store(spark, store), cfg).top_k(cfg.top_k).write.mode(
-            "overwrite").parquet(top)
-
-    return _start(stream.writeStream.foreachBatch(refresh), checkpoint, trigger)
+def zscore_job(stream: DataFrame, base: str, checkpoint: str, trigger: dict, delay: str,
+               cfg: Config = DEFAULT, k: int = 100) -> StreamingQuery:
+    """J5 + J6: moments, z flags and the first ``k`` of the board, kept batch
+    by batch under ``base`` (``refresh.read_moments``, ``read_outliers``,
+    ``read_top``); copies within the watermark delay are dropped as in J3."""
+    return refresh.refresh_job(stream, base, checkpoint, trigger, delay, cfg, k)
 
 
 def reasons_path(verdicts: str) -> str:

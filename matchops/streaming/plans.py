@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
 from matchops.operators import cleaning
+from matchops.operators.players import exact_parts, exact_value
 from matchops.operators.rules import rule_flags, rule_flags_long
 from matchops.operators.timeline import TS_FORMAT, window_seconds
 from matchops.sources import store
@@ -78,12 +79,13 @@ def windowed_alerts(stream: DataFrame, delay: str, cfg: Config = DEFAULT,
 
 def running_totals(stream: DataFrame) -> DataFrame:
     """Per-player running totals (update mode)."""
-    return stream.groupBy("player_id").agg(
-        F.sum("score").alias("total_score"),
+    sums = stream.groupBy("player_id").agg(
+        *[v.alias(k) for k, v in exact_parts("score", "_score").items()],
         F.sum("kills").cast("long").alias("total_kills"),
         F.sum("deaths").cast("long").alias("total_deaths"),
         F.count(F.lit(1)).alias("matches_played"),
     )
+    return sums.select("player_id", exact_value("_score").alias("total_score"), "total_kills", "total_deaths", "matches_played")
 
 
 # --- match store: a versioned table, newest row per key -------------------
