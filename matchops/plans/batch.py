@@ -7,10 +7,11 @@ tables under the session's checkpoint folder (shared on a cluster):
 * ``profile`` — one row per player (totals, averages, moments, modes);
 * ``hits`` — only the matches that carry a flag (rule or z-score).
 
-Every report then reads those two tables, so the match table is scanned
-exactly twice per analysis (the player aggregate, the flag join) however
-many reports are built, and a lost executor re-reads those tables
-instead of recomputing from the raw scan.
+Every report then reads those two tables, so the match table is scanned for
+the player aggregate and for the flags (by the rules, and for the matches of
+z-score candidates) however many reports are built; the run summary and the
+season board scan it again.  A lost executor re-reads those tables instead of
+recomputing from the raw scan.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
 from matchops.operators import history, lobbies, players, ranking, severity
@@ -54,7 +54,7 @@ class Analysis:
     @property
     def hits(self) -> DataFrame:
         """Flagged matches only (checkpointed; a small fraction of rows)."""
-        return self._cut("hits", lambda: self.flags.filter(F.size("all_flags") > 0))
+        return self._cut("hits", lambda: history.flagged_matches(self.matches, self.profile, self.cfg))
 
     @property
     def flagged(self) -> DataFrame:

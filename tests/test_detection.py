@@ -1,10 +1,13 @@
 """Rule boundaries, z-score edges, severity and escalation."""
 
+from dataclasses import replace
+
 import pytest
 
 from conftest import row
 from matchops.config import DEFAULT
 from matchops.operators.cleaning import with_derived
+from matchops.operators.players import player_profile
 from matchops.operators.rules import rule_flags_long
 from matchops.plans.batch import Analysis
 
@@ -154,3 +157,45 @@ def test_hot_keys_are_bounded_by_their_share(spark):
     counts = spark.createDataFrame([("big", 500)] + [(f"p{i}", 10) for i in range(50)], "k string, n long")
     assert [tuple(r) for r in hot_keys(counts, "k", "n", cfg).collect()] == [("big", 5)]
     assert hot_keys(counts.limit(0), "k", "n", cfg).count() == 0
+
+
+def _history(n, player="A", spike=True):
+    from conftest import row
+
+    return [row(player, f"M{i}", score=9000.0 if spike and i == 0 else 100.0 + i % 3, ping=700 if i % 7 == 3 else 40) for i in range(n)]
+
+
+@pytest.mark.parametrize("cfg", [DEFAULT, replace(DEFAULT, hot_key_min_rows=20, hot_key_shares=4)])
+def test_flagged_matches_are_the_flagged_rows_of_all(spark, matches_df, cfg):
+    from matchops.operators import history
+
+    m = with_derived(matches_df(_history(30) + _history(60, "B") + _history(40, "C", False) + _history(4, "D")))
+    profile = player_profile(m, cfg)
+    want = history.match_flags(m, profile, cfg).filter("size(all_flags) > 0")
+    got = history.flagged_matches(m, profile, cfg)
+    assert got.columns == want.columns
+    shown = [sorted((r.player_id, r.match_id, tuple(f.code for f in r.all_flags), len(r.stat_flags)) for r in df.collect()) for df in (got, want)]
+    assert shown[0] == shown[1] and {c for r in shown[0] for c in r[2]} >= {"Z_SCORE", "PING"}
+
+
+def test_flags_do_not_shuffle_all_matches(spark, tmp_path, matches_df):
+    """Past the broadcast limit, matches reach the exchange of the candidates'
+    join only through a runtime filter, and otherwise only where a rule fires."""
+    from matchops.operators import history
+
+    with_derived(matches_df(_history(200))).write.parquet(f"{tmp_path}/m")
+    m = spark.read.parquet(f"{tmp_path}/m")
+    player_profile(m).write.parquet(f"{tmp_path}/p")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.maxPlanStringLength": "10000000",
+            "spark.sql.exchange.reuse": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        flags = history.flagged_matches(m, spark.read.parquet(f"{tmp_path}/p"))
+        plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert "might_contain" in plan
+    assert flags.count() > 0
