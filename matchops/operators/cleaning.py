@@ -67,7 +67,7 @@ def tag_rows(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return parsed.withColumn("drop_reason", reason)
 
 
-def _finish(valid: DataFrame, cfg: Config) -> DataFrame:
+def finish(valid: DataFrame, cfg: Config) -> DataFrame:
     """B5, B8–B12 on rows that passed the filters."""
     pid = F.col("player_id")
     mid = F.col("match_id")
@@ -134,7 +134,7 @@ def dedup(cands: DataFrame, keep: str = "first") -> DataFrame:
 def clean_matches(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Raw all-string records (+ ingest_seq) -> clean matches."""
     kept = dedup(_candidates(raw, cfg, cfg.dedup_after_trim), keep="first")
-    return _finish(kept, cfg)
+    return finish(kept, cfg)
 
 
 def drop_accounting(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -171,15 +171,20 @@ def latest_submission_wins(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     Submissions are normalized on arrival, so the key is the trimmed id.
     """
     kept = dedup(_candidates(raw, cfg, True), keep="last")
-    return _finish(kept, cfg)
+    return finish(kept, cfg)
 
 
-def quarantine(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Validate submitted records the way the typed API record does.
+def parsed_numbers(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The numeric columns read from their text, NULL where that fails."""
+    return df.withColumns({c: parse_number(c) for c in cfg.numeric_columns})
+
 
-    Text fields are required; ping/kills/deaths/duration must be whole
-    numbers, score a number; ping, score, kills, deaths >= 0 and
-    duration > 0.  Returns every input row with ``status`` and ``reason``.
+def reject_reason(cfg: Config = DEFAULT) -> Column:
+    """Why a submitted text record is rejected (NULL: it is accepted).
+
+    Text fields are required (blank ones count as given); ping, kills, deaths
+    and duration must be whole numbers, the score any number; ping, score,
+    kills, deaths >= 0 and duration > 0.
     """
     num = {c: parse_number(c) for c in cfg.numeric_columns}
     missing = F.lit(False)
@@ -187,18 +192,23 @@ def quarantine(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         missing = missing | F.col(c).isNull()
     bad_type = F.lit(False)
     for c in cfg.numeric_columns:
-        bad_type = bad_type | num[c].isNull() | ~is_finite(num[c])
+        bad_type = bad_type | num[c].isNull()
     for c in INT_COLUMNS:
-        bad_type = bad_type | (num[c] != F.floor(num[c]).cast("double")) | num[c].try_cast("bigint").isNull()
+        bad_type = bad_type | ~is_finite(num[c]) | (num[c] != F.floor(num[c]).cast("double")) | num[c].try_cast("bigint").isNull()
     out_of_range = (
         (num["ping"] < 0) | (num["score"] < 0) | (num["kills"] < 0) | (num["deaths"] < 0)
         | (num["match_duration_seconds"] <= 0)
     )
-    reason = (
+    return (
         F.when(missing, F.lit("missing_field"))
         .when(bad_type, F.lit("bad_type"))
         .when(out_of_range, F.lit("out_of_range"))
     )
+
+
+def quarantine(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Every submitted record with ``status`` and ``reason``."""
+    reason = reject_reason(cfg)
     return raw.select(
         "player_id", "match_id", "ingest_seq",
         F.when(reason.isNull(), F.lit("accepted")).otherwise(F.lit("rejected")).alias("status"),

@@ -39,7 +39,7 @@ def _num(x: str) -> str:
 
 
 def _fin(x: str) -> str:
-    return f"({x} IS NOT NULL AND NOT isinf({x}) AND try_cast(trunc({x}) AS INTEGER) IS NOT NULL)"
+    return f"({x} IS NOT NULL AND NOT isinf({x}) AND try_cast(trunc({x}) AS BIGINT) IS NOT NULL)"
 
 
 MATCHES = "matches AS (" + duck_matches_cte() + ")"
@@ -82,9 +82,9 @@ tagged AS (
 def _finish(src: str) -> str:
     return f"""SELECT {_strip('player_id')} AS player_id, {_strip('match_id')} AS match_id,
     {_label('region')} AS region, {_label('device')} AS device,
-    CAST(trunc(ping) AS INTEGER) ping, CAST(score AS DOUBLE) score,
-    CAST(trunc(kills) AS INTEGER) kills, CAST(trunc(deaths) AS INTEGER) deaths,
-    CAST(trunc(match_duration_seconds) AS INTEGER) match_duration_seconds,
+    CAST(trunc(ping) AS BIGINT) ping, CAST(score AS DOUBLE) score,
+    CAST(trunc(kills) AS BIGINT) kills, CAST(trunc(deaths) AS BIGINT) deaths,
+    CAST(trunc(match_duration_seconds) AS BIGINT) match_duration_seconds,
     CASE WHEN trunc(match_duration_seconds) > 0 THEN score / trunc(match_duration_seconds)
          WHEN score > 0 THEN CAST('inf' AS DOUBLE) END score_per_second,
     trunc(kills) / greatest(trunc(deaths), 1) kd_ratio,
@@ -279,27 +279,42 @@ UNION ALL
 SELECT 'input', (SELECT count(*) FROM tagged)"""
 
 
-def _q_quarantine() -> str:
+def _judged() -> str:
     def bad(c, integral):
         v = _num(c)
-        s = f"({v} IS NULL OR isinf({v})"
-        if integral:
-            s += f" OR {v} <> floor({v}) OR try_cast({v} AS INTEGER) IS NULL"
-        return s + ")"
+        if not integral:
+            return f"({v} IS NULL)"
+        return f"({v} IS NULL OR isinf({v}) OR {v} <> floor({v}) OR try_cast({v} AS BIGINT) IS NULL)"
     ints = ("ping", "kills", "deaths", "match_duration_seconds")
     bad_type = " OR ".join(bad(c, c in ints) for c in C.numeric_columns)
     rng = (f"({_num('ping')} < 0 OR {_num('score')} < 0 OR {_num('kills')} < 0 "
            f"OR {_num('deaths')} < 0 OR {_num('match_duration_seconds')} <= 0)")
-    return _with(MATCHES, RAW) + f"""
-SELECT player_id, match_id, ingest_seq,
-  CASE WHEN r IS NULL THEN 'accepted' ELSE 'rejected' END status, r reason
-FROM (SELECT *, CASE
+    return f"""judged AS (
+  SELECT *, CASE
     WHEN player_id IS NULL OR match_id IS NULL OR region IS NULL OR device IS NULL THEN 'missing_field'
     WHEN {bad_type} THEN 'bad_type'
     WHEN {rng} THEN 'out_of_range' END r
   FROM raw)"""
 
 
+def _q_quarantine() -> str:
+    return _with(MATCHES, RAW, _judged()) + """
+SELECT player_id, match_id, ingest_seq, CASE WHEN r IS NULL THEN 'accepted' ELSE 'rejected' END status, r reason
+FROM judged"""
+
+
+def q_ingested() -> str:
+    """Accepted records, the newest of a key, and all rejected ones."""
+    return _with(MATCHES, RAW, _judged()) + f"""
+SELECT {_strip('player_id')} player_id, {_strip('match_id')} match_id, 'accepted' status, NULL reason, {_label('region')} region,
+  {_num('score')} score
+FROM (SELECT *, row_number() OVER (PARTITION BY {_strip('player_id')}, {_strip('match_id')} ORDER BY ingest_seq DESC) k
+      FROM judged WHERE r IS NULL)
+WHERE k = 1
+UNION ALL
+SELECT player_id, match_id, 'rejected', r, region, NULL FROM judged WHERE r IS NOT NULL"""
+
+
 def _board(partition: str, where: str = "") -> str:
     return f"""SELECT CASE WHEN status = 'clean' THEN
     row_number() OVER (PARTITION BY status{partition} ORDER BY {_KEYS}) END AS rank, {_BOARD_COLS}

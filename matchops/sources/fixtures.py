@@ -41,7 +41,7 @@ select case when k%97=0 then null else player_id end player_id, match_id,
   case when k%2=0 then concat(' ', upper(device), chr(10)) else device end device,
   case when k%107=0 then '-5' else cast(ping as string) end ping,
   case when k%127=0 then '5d' else cast(score as string) end score,
-  case when k%101=0 then 'abc' else cast(kills as string) end kills,
+  case when k%101=0 then 'abc' when k%131=0 then '3000000000' else cast(kills as string) end kills,
   cast(deaths as string) deaths,
   case when k%103=0 then '0' else cast(match_duration_seconds as string) end match_duration_seconds,
   k ingest_seq

@@ -248,6 +248,14 @@ def read(spark: SparkSession, path: str, spec: Spec, where: Mapping[str, object]
     return rows.drop(*_folders(spec), *([] if versions else [_VERSION]))
 
 
+def newest(spark: SparkSession, path: str, spec: Spec, without: tuple[str, int] | None = None) -> DataFrame | None:
+    """``read``, or None where nothing (else) is published."""
+    try:
+        return read(spark, path, spec, without=without)
+    except FileNotFoundError:
+        return None
+
+
 def merge(spark: SparkSession, path: str, spec: Spec, most: int = 1) -> bool:
     """Write the current rows as one entry if more than ``most`` are live."""
     live = entries(spark, path)

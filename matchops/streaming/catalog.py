@@ -18,7 +18,7 @@ from matchops.config import DEFAULT
 from matchops.plans import oracle
 from matchops.session import work_dir
 from matchops.sources import fixtures
-from matchops.streaming import jobs, plans, refresh
+from matchops.streaming import ingest, jobs, plans, refresh
 from matchops.streaming.verdicts import with_reasons
 
 LATE_DELAY = "10 minutes"     # watermark for the windowed rates
@@ -191,6 +191,29 @@ def q_stream_verdicts(spark, sf_dir):
     return with_reasons(rows, pages, ("player_id", "_batch"))
 
 
+def q_stream_quarantine(spark, sf_dir):
+    """B13 + J1: topic rows with JSON values, validated into store and dead letters."""
+    base = work_dir(spark, "ingest")
+    raw = fixtures.raw_matches(spark, sf_dir)
+    fields = [c for c in raw.columns if c != "ingest_seq"]
+    topic = raw.select(F.to_json(F.struct(*fields)).cast("binary").alias("value"), F.lit(0).alias("partition"), F.col("ingest_seq").alias("offset"))
+    _drain(spark, base, [topic.where("offset < 1000000000"), topic.where("offset >= 1000000000")],
+           lambda s, chk: ingest.ingest_job(ingest.topic_records(s), f"{base}/store", f"{base}/letters", chk, DRAIN))
+    good = plans.read_store(spark, f"{base}/store").select(
+        "player_id", "match_id", F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("reason"), "region", "score")
+    return good.union(ingest.read_letters(spark, f"{base}/letters").select(
+        "player_id", "match_id", F.lit("rejected"), "reason", "region", F.lit(None).cast("double")))
+
+
+def q_stream_late_rows(spark, sf_dir):
+    """Every 53rd match arrives after all others; those whose window had
+    closed by then, per window."""
+    base, m = work_dir(spark, "late"), _matches(spark, sf_dir)
+    _drain(spark, base, [m.where("ingest_seq % 53 <> 0"), m.where("ingest_seq % 53 = 0")],
+           lambda s, chk: jobs.late_rows_job(s, f"{base}/late", chk, DRAIN, LATE_DELAY))
+    return plans.late_counts(spark.read.parquet(f"{base}/late/rows"))
+
+
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_rule_alerts": q_stream_rule_alerts,
     "stream_dedup": q_stream_dedup,
@@ -205,6 +228,8 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_two_writers": q_store_two_writers,
     "store_dates_read": q_store_dates_read,
     "stream_verdicts": q_stream_verdicts,
+    "stream_quarantine": q_stream_quarantine,
+    "stream_late_rows": q_stream_late_rows,
 }
 
 
@@ -244,6 +269,13 @@ SELECT player_id, sum(score) total_score, CAST(sum(kills) AS BIGINT) total_kills
     "pruned_region_read": oracle._with(_M) + """
 SELECT player_id, match_id, region, strftime(CAST(created_at AS DATE), '%Y-%m-%d') match_date, score
 FROM matches WHERE region = 'India'""",
+    "stream_quarantine": oracle.q_ingested(),
+    "stream_late_rows": oracle._with(_M) + """
+SELECT strftime(time_bucket(INTERVAL '1 minute', created_at), '%Y-%m-%d %H:%M:%S') window_start, count(*) late_matches
+FROM matches
+WHERE CAST(substr(match_id, 2) AS BIGINT) % 53 = 0 AND time_bucket(INTERVAL '1 minute', created_at) + INTERVAL '1 minute' <=
+  (SELECT max(created_at) FROM matches WHERE CAST(substr(match_id, 2) AS BIGINT) % 53 <> 0) - INTERVAL '10 minutes'
+GROUP BY 1""",
     "zscore_refresh": oracle.SQL["zscore_outliers"],
     "topk_refresh": oracle.SQL["top10_players"],
     "top100_refresh": oracle.SQL["top10_players"].replace("LIMIT 10", "LIMIT 100"),

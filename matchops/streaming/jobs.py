@@ -18,18 +18,17 @@ from pyspark.sql.types import StructType
 from matchops.config import Config, DEFAULT
 from matchops.plans.batch import Analysis
 from matchops.sources.store import writer_of
-from matchops.streaming import plans, refresh
+from matchops.streaming import ingest, plans, refresh
 from matchops.streaming.verdicts import reason_pages, verdicts as verdict_rows
 
 
 def match_source(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
                  options: dict | None = None) -> DataFrame:
-    """A file source by default; ``fmt="kafka"`` with broker options
-    reads a topic instead (the value then needs parsing into ``schema``)."""
+    """Matches of a file source, typed by ``schema``.  With ``fmt="kafka"``
+    and broker options the records of a topic, as text by name
+    (``ingest.topic_records``), for ``ingest_job`` and ``verdict_job``."""
     reader = spark.readStream.format(fmt).options(**(options or {}))
-    if fmt != "kafka":
-        reader = reader.schema(schema)
-    return reader.load(path) if fmt != "kafka" else reader.load()
+    return ingest.topic_records(reader.load()) if fmt == "kafka" else reader.schema(schema).load(path)
 
 
 def _start(writer, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -81,6 +80,15 @@ def alert_rate_job(stream: DataFrame, out: str, checkpoint: str, trigger: dict,
     return _start(w, checkpoint, trigger)
 
 
+def late_rows_job(stream: DataFrame, base: str, checkpoint: str, trigger: dict, delay: str,
+                  width: str = "1 minute") -> StreamingQuery:
+    """A side output beside ``rate_job``: the rows that come after their
+    window closed, under ``base`` (``plans.late_counts`` counts them)."""
+    writer = writer_of(checkpoint)
+    w = stream.writeStream.foreachBatch(lambda df, n: plans.take_late_rows(df, n, base, writer, delay, width))
+    return _start(w, checkpoint, trigger)
+
+
 def totals_job(stream: DataFrame, totals: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     """Running player totals (update mode, changed players per batch)."""
     w = plans.running_totals(stream).writeStream.outputMode("update").foreachBatch(
@@ -102,14 +110,21 @@ def reasons_path(verdicts: str) -> str:
 
 
 def verdict_job(stream: DataFrame, store: str, verdicts: str, checkpoint: str, trigger: dict,
-                cfg: Config = DEFAULT, writer: str | None = None) -> StreamingQuery:
+                cfg: Config = DEFAULT, writer: str | None = None, letters: str | None = None) -> StreamingQuery:
     """Land each batch of submissions, then judge them against the
     detection over the whole store; verdicts are appended per batch, and the
-    reasons they refer to (by ``_batch`` and player) beside them."""
+    reasons they refer to (by ``_batch`` and player) beside them.
+
+    With ``letters`` the stream holds text records: they are validated and
+    normalised first, and rejected ones go there instead (B13)."""
     spark, name = stream.sparkSession, writer or writer_of(checkpoint)
 
     def handle(batch, bid):
-        plans.append_to_store(batch, bid, store, name)
+        if letters is None:
+            plans.append_to_store(batch, bid, store, name)
+        else:
+            ingest.take(batch, bid, store, letters, name, cfg)
+            batch = ingest.accepted(batch, cfg)
         a = Analysis(plans.read_store(spark, store), cfg)
         subs = batch.drop(*[c for c in ("ingest_seq",) if c in batch.columns])
         plans.append_log(reason_pages(a, subs), bid, reasons_path(verdicts))

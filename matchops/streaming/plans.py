@@ -58,6 +58,33 @@ def windowed_counts(stream: DataFrame, delay: str, width: str = "1 minute") -> D
     )
 
 
+SEEN = store.Spec(("what",))
+
+
+def take_late_rows(batch: DataFrame, number: int, base: str, writer: str, delay: str, width: str = "1 minute") -> None:
+    """The rows of a micro-batch that its windows no longer take, kept
+    beside them under ``base``.
+
+    As in the windowed plans, the watermark of a batch is the latest event
+    time of earlier batches less the delay, and a row is late if its window
+    ended by then."""
+    spark, rows = batch.sparkSession, event_time(batch)
+    at = store.newest(spark, f"{base}/seen", SEEN, without=(writer, number))
+    mark = F.lit(None).cast("timestamp") if at is None else F.lit(at.agg(F.max("at")).first()[0]) - F.expr(f"INTERVAL {delay}")
+    window = F.window("created_at", width)
+    late = rows.withColumn("w", window).where(F.col("w.end") <= mark)
+    append_log(late.withColumn("window_start", F.date_format("w.start", TS_FORMAT)).drop("w"), number, f"{base}/rows")
+    last = rows.agg(F.max("created_at").alias("at"))
+    both = last if at is None else last.union(at.select("at"))
+    store.append(both.agg(F.max("at").alias("at")).withColumn("what", F.lit("event time")), f"{base}/seen", SEEN, writer, number)
+    store.merge(spark, f"{base}/seen", SEEN, 32)
+
+
+def late_counts(rows: DataFrame) -> DataFrame:
+    """Late matches per window."""
+    return rows.groupBy("window_start").agg(F.count(F.lit(1)).alias("late_matches"))
+
+
 def windowed_alerts(stream: DataFrame, delay: str, cfg: Config = DEFAULT,
                     width: str = "1 minute") -> DataFrame:
     """Alerted matches and (approximate) alerted players per window.

@@ -116,10 +116,7 @@ def _publish(df: DataFrame, base: str, table: str, spec: Spec, writer: str, batc
 
 
 def _earlier(spark: SparkSession, base: str, table: str, spec: Spec, writer: str, batch: int) -> DataFrame | None:
-    try:
-        return store.read(spark, f"{base}/{table}", spec, without=(writer, batch))
-    except FileNotFoundError:
-        return None
+    return store.newest(spark, f"{base}/{table}", spec, without=(writer, batch))
 
 
 def _outliers(spark: SparkSession, base: str, touched: DataFrame, cfg: Config, batch: int) -> DataFrame:
