@@ -17,37 +17,26 @@ def status_kpis(matches: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(matches: DataFrame, flagged: DataFrame, lobby_df: DataFrame) -> DataFrame:
-    """Four global aggregates as one row (union of (metric, value),
-    then a keyless pivot)."""
-    names = ["total_matches", "unique_players", "flagged_players", "lobbies"]
-    m = matches.agg(F.count(F.lit(1)).alias("a"), F.countDistinct("player_id").alias("b")).select(
+def run_summary(profile: DataFrame, flagged: DataFrame, names: DataFrame) -> DataFrame:
+    """Four counts as one row (union of (metric, value), then a keyless
+    pivot).  Matches and players come from the profile, lobbies from their
+    names: no scan of the matches, no rosters."""
+    metrics = ["total_matches", "unique_players", "flagged_players", "lobbies"]
+    m = profile.agg(F.sum("matches_played").alias("a"), F.count("player_id").alias("b")).select(
         F.explode(F.array(
-            F.struct(F.lit(names[0]).alias("k"), F.col("a").alias("v")),
-            F.struct(F.lit(names[1]).alias("k"), F.col("b").alias("v")),
+            F.struct(F.lit(metrics[0]).alias("k"), F.col("a").alias("v")),
+            F.struct(F.lit(metrics[1]).alias("k"), F.col("b").alias("v")),
         )).alias("kv")).select("kv.k", "kv.v")
     parts = [
         m,
-        flagged.agg(F.count(F.lit(1)).alias("v")).select(F.lit(names[2]).alias("k"), "v"),
-        lobby_df.agg(F.countDistinct("lobby_name").alias("v")).select(F.lit(names[3]).alias("k"), "v"),
+        flagged.agg(F.count(F.lit(1)).alias("v")).select(F.lit(metrics[2]).alias("k"), "v"),
+        names.agg(F.count(F.lit(1)).alias("v")).select(F.lit(metrics[3]).alias("k"), "v"),
     ]
     kv = parts[0]
     for p in parts[1:]:
         kv = kv.unionByName(p)
-    return kv.groupBy().pivot("k", names).agg(F.first("v")).select(
-        *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names])
-
-
-def lobbies_in_region(lobby_df: DataFrame, region: str) -> DataFrame:
-    """V2: lobbies of one region ("All" keeps every lobby)."""
-    if region == "All":
-        return lobby_df
-    return lobby_df.filter(F.col("region") == region)
-
-
-def regions_with_lobbies(lobby_df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """H4: distinct lobby regions, without the isolated pool's label."""
-    return lobby_df.filter(F.col("lobby_name") != cfg.isolated_lobby).select("region").distinct()
+    return kv.groupBy().pivot("k", metrics).agg(F.first("v")).select(
+        *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in metrics])
 
 
 def roster_exploded(members: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

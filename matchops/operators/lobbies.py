@@ -59,8 +59,12 @@ def isolated_pool(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT)
     return pools(profile, flagged, cfg).filter(F.col("_iso")).drop("_iso", "region", "ping_band")
 
 
-def _numbered(profile: DataFrame, flagged: DataFrame, cfg: Config) -> DataFrame:
+def _numbered(profile: DataFrame, flagged: DataFrame, cfg: Config, region: str | None = None) -> DataFrame:
+    """Bucket sizes and positions; buckets are apart by region, so one region
+    is numbered without the others."""
     p = pools(profile, flagged, cfg)
+    if region is not None:
+        p = p.filter(F.col("region") == region)
     sizes = p.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("bucket_size"))
     p = p.join(sizes, _BUCKET)
     tiered = (~F.col("_iso")) & (F.col("bucket_size") >= cfg.tier_min_players)
@@ -107,9 +111,9 @@ def bucket_quantiles(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAU
     return sizes.join(cuts, ["region", "ping_band"], "left")
 
 
-def lobby_members(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """M4, M5, F8: one row per lobby member with its roster position."""
-    numbered = _numbered(profile, flagged, cfg)
+def _seated(profile: DataFrame, flagged: DataFrame, cfg: Config, region: str | None = None) -> DataFrame:
+    """M4, M5, F8: the numbered pool with tier and lobby name."""
+    numbered = _numbered(profile, flagged, cfg, region)
     cuts = _cuts(numbered, cfg).select(*_BUCKET, "q_low", "q_high")
     m = numbered.join(cuts, _BUCKET, "left")
     tier = (
@@ -119,11 +123,27 @@ def lobby_members(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT)
         .when(F.col("skill_score") <= F.col("q_high"), F.lit("Intermediate"))
         .otherwise(F.lit("Advanced"))
     )
-    m = m.withColumn("skill_tier", tier).withColumn(
+    return m.withColumn("skill_tier", tier).withColumn(
         "lobby_name",
         F.when(F.col("_iso"), F.lit(cfg.isolated_lobby))
         .otherwise(F.concat_ws("_", "region", "ping_band", "skill_tier")),
     )
+
+
+def lobby_names(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The names of all lobbies, without their rosters."""
+    return _seated(profile, flagged, cfg).select("lobby_name").distinct()
+
+
+def regions_with_lobbies(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """H4: distinct lobby regions, without the isolated pool's label.  Every
+    pooled player has a lobby, so the pool has all of them."""
+    return pools(profile, flagged, cfg).filter(~F.col("_iso")).select("region").distinct()
+
+
+def lobby_members(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT, region: str | None = None) -> DataFrame:
+    """One row per lobby member with its roster position."""
+    m = _seated(profile, flagged, cfg, region)
     # Tiers are contiguous ranges of the bucket order, so the roster
     # position is the bucket position minus the tier's first position; the
     # same per-lobby aggregate gives the lobby size.
@@ -139,9 +159,10 @@ def lobby_members(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT)
     )
 
 
-def lobbies(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """One row per lobby (per roster page)."""
-    members = lobby_members(profile, flagged, cfg)
+def lobbies(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT, region: str | None = None) -> DataFrame:
+    """One row per lobby (per roster page); with a region (V2)
+    only its lobbies, ``All`` means every one."""
+    members = lobby_members(profile, flagged, cfg, None if region == "All" else region)
     keys = ["lobby_name", "region", "ping_band", "skill_tier", "player_count"]
     pages = text_pages(members, keys, "position", "player_label", cfg.roster_separator,
                        cfg.page_size, "player_ids")

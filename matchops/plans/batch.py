@@ -9,8 +9,8 @@ tables under the session's checkpoint folder (shared on a cluster):
 
 Every report then reads those two tables, so the match table is scanned for
 the player aggregate and for the flags (by the rules, and for the matches of
-z-score candidates) however many reports are built; the run summary and the
-season board scan it again.  A lost executor re-reads those tables instead of
+z-score candidates) however many reports are built; the season board scans it
+again.  A lost executor re-reads those tables instead of
 recomputing from the raw scan.
 """
 
@@ -76,5 +76,8 @@ class Analysis:
     def lobby_members(self) -> DataFrame:
         return lobbies.lobby_members(self.profile, self.flagged, self.cfg)
 
-    def lobbies(self) -> DataFrame:
-        return lobbies.lobbies(self.profile, self.flagged, self.cfg)
+    def lobbies(self, region: str | None = None) -> DataFrame:
+        return lobbies.lobbies(self.profile, self.flagged, self.cfg, region)
+
+    def lobby_names(self) -> DataFrame:
+        return lobbies.lobby_names(self.profile, self.flagged, self.cfg)

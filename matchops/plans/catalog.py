@@ -16,6 +16,7 @@ from matchops.config import DEFAULT
 from matchops.operators import cleaning, history, kpis, lobbies, players, ranking, rules, severity
 from matchops.operators import timeline
 from matchops.plans.batch import Analysis
+from matchops.plans.files import FILE_QUERIES
 from matchops.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,11 +160,12 @@ def q_lobbies(spark, sf_dir):
 
 
 def q_lobbies_in_region(spark, sf_dir):
-    return kpis.lobbies_in_region(_analysis(spark, sf_dir).lobbies(), LOBBY_REGION)
+    return _analysis(spark, sf_dir).lobbies(LOBBY_REGION)
 
 
 def q_regions_with_lobbies(spark, sf_dir):
-    return kpis.regions_with_lobbies(_analysis(spark, sf_dir).lobbies(), DEFAULT)
+    a = _analysis(spark, sf_dir)
+    return lobbies.regions_with_lobbies(a.profile, a.flagged)
 
 
 def q_roster_exploded(spark, sf_dir):
@@ -181,7 +183,7 @@ def q_status_kpis(spark, sf_dir):
 
 def q_run_summary(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return kpis.run_summary(a.matches, a.flagged, a.lobbies())
+    return kpis.run_summary(a.profile, a.flagged, a.lobby_names())
 
 
 def q_ingest_rate(spark, sf_dir):
@@ -252,4 +254,5 @@ QUERIES: dict[str, Query] = {
     "season_leaderboard": q_season_leaderboard,
     "canonical_regions": q_canonical_regions,
     "report_by_name": q_report_by_name,
+    **FILE_QUERIES,
 }

@@ -376,6 +376,25 @@ SELECT lobby_name, region, ping_band, skill_tier, player_id, player_label, posit
         "SELECT DISTINCT region FROM lb WHERE lobby_name <> 'Isolated_UnderReview'"),
     "roster_exploded": _lobby_q("""
 SELECT lobby_name, player_label, player_id, contains(player_label, '(Flagged: Low)') is_low_flagged FROM lm"""),
+    "csv_ingest": f"SELECT * EXCLUDE (ingest_seq) FROM ({_q_clean()})",
+    "bulk_replaced_store": f"SELECT * EXCLUDE (ingest_seq) FROM ({_q_clean()})",
+    "persisted_matches": _with(MATCHES) + "SELECT player_id, match_id, region, device, score, kills FROM matches",
+    "region_board_file": _with(*BASE, BOARD) + f"""
+SELECT row_number() OVER (ORDER BY primary_region, rank NULLS LAST, {_KEYS}) place, rank, player_id, primary_region, status, total_score
+FROM ({_board(", primary_region")})""",
+    "suspicious_file": _with(*BASE, REASONS) + """
+SELECT row_number() OVER (ORDER BY CASE severity WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, flagged_matches_count DESC, player_id) place,
+  player_id, severity, flagged_matches_count, flag_reasons
+FROM fl JOIN (SELECT player_id p, string_agg(reason, '; ' ORDER BY pos) flag_reasons FROM rs GROUP BY player_id) ON p = player_id""",
+    "lobbies_file": _lobby_q("""
+SELECT row_number() OVER (ORDER BY lobby_name) place, lobby_name, player_count, status, player_ids FROM lb"""),
+    "reasons_split": _with(*BASE, REASONS) + "SELECT player_id, reason FROM rs",
+    "report_records": _with(*BASE, BOARD, LOBBY) + f"""
+SELECT 'leaderboard_global' report, player_id id, rank number, rank IS NULL null_rank FROM ({_board("")})
+UNION ALL SELECT 'leaderboard_region', player_id, rank, rank IS NULL FROM ({_board(", primary_region")})
+UNION ALL SELECT 'suspicious_players', player_id, flagged_matches_count, false FROM fl
+UNION ALL SELECT 'matchmaking_groups', lobby_name, player_count, false FROM lb
+UNION ALL SELECT 'players', player_id || '/' || match_id, kills, false FROM m""",
     "reasons_exploded": _with(*BASE, REASONS) + "SELECT player_id, reason FROM rs",
     "status_kpis": _with(MATCHES) + """
 SELECT count(*) > 0 is_loaded, count(*) total_records, count(DISTINCT player_id) unique_players FROM matches""",

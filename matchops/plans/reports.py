@@ -39,7 +39,7 @@ def run(spark: SparkSession, data: str, output_dir: str, cfg: Config = DEFAULT)
     a = Analysis(matches, cfg)
     for name in REPORT_NAMES:
         sinks.write_report(sinks.report(a, name), os.path.join(output_dir, name))
-    summary = kpis.run_summary(a.matches, a.flagged, a.lobbies())
+    summary = kpis.run_summary(a.profile, a.flagged, a.lobby_names())
     row = summary.collect()                      # one row
     n_in, n_out = seen.get["rows"], kept.get["rows"]
     print(f"Cleaning: loaded {n_in} rows, retained {n_out}, dropped {n_in - n_out} "
