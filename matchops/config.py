@@ -73,10 +73,9 @@ class Config:
     # --- policies (ours) ----------------------------------------------
     # Dedup on raw ids (parity) or after trimming.
     dedup_after_trim: bool = False
-    # Text lists (rosters, reasons) are emitted in pages of at most this
-    # many items so no single row or task holds an unbounded list.  All
-    # items are kept; a group larger than one page spans several rows.
-    page_size: int = 1000
+    # Text lists (rosters, reasons) are joined by segments of this many
+    # items, so that no list of all items of a group is held anywhere.
+    text_segment: int = 1000
     # Keys with more than hot_key_min_rows rows and more than one
     # hot_key_shares-th of all rows are salted in the skew-aware join.
     # Fewer than hot_key_shares keys can hold that much, which bounds the

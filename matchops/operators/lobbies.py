@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
 from matchops.functions.numeric import lerp, ping_band
-from matchops.operators.numbering import ordered_row_number, text_pages
+from matchops.operators.numbering import joined_text, ordered_row_number
 from matchops.operators.players import player_skill
 
 LOBBY_COLUMNS = (
-    "lobby_name", "region", "ping_band", "skill_tier", "player_count", "status", "player_ids", "page",
+    "lobby_name", "region", "ping_band", "skill_tier", "player_count", "status", "player_ids",
 )
 _BUCKET = ["_iso", "region", "ping_band"]
 
@@ -160,23 +160,22 @@ def lobby_members(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT,
 
 
 def lobbies(profile: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT, region: str | None = None) -> DataFrame:
-    """One row per lobby (per roster page); with a region (V2)
+    """One row per lobby; with a region (V2)
     only its lobbies, ``All`` means every one."""
     members = lobby_members(profile, flagged, cfg, None if region == "All" else region)
     keys = ["lobby_name", "region", "ping_band", "skill_tier", "player_count"]
-    pages = text_pages(members, keys, "position", "player_label", cfg.roster_separator,
-                       cfg.page_size, "player_ids")
+    rosters = joined_text(members, keys, "position", "player_label", cfg.roster_separator, cfg.text_segment, "player_ids")
     status = (
         F.when(F.col("lobby_name") == cfg.isolated_lobby, F.lit(cfg.isolated_status))
         .when(F.col("player_count") >= cfg.lobby_ready_size, F.lit("Ready"))
         .otherwise(F.lit("Waiting"))
     )
-    return pages.select(
+    return rosters.select(
         "lobby_name", "region", "ping_band", "skill_tier", "player_count",
-        status.alias("status"), "player_ids", "page",
+        status.alias("status"), "player_ids",
     )
 
 
 def order_lobbies(lobby_df: DataFrame) -> DataFrame:
     """G6."""
-    return lobby_df.orderBy("lobby_name", "page")
+    return lobby_df.orderBy("lobby_name")

@@ -87,31 +87,31 @@ def ordered_row_number(
     return joined.select(*cols, rn.cast("long").alias(out))
 
 
-def text_pages(
+def joined_text(
     items: DataFrame,
     group_cols: Sequence[str],
     pos_col: str,
     text_col: str,
     sep: str,
-    page_size: int,
+    segment: int,
     out: str,
-    page_col: str = "page",
 ) -> DataFrame:
-    """Join ordered items into text, at most ``page_size`` items per row.
+    """One row per group: ``text_col`` joined in the order of ``pos_col``.
 
     ``pos_col`` is a 1-based position inside the group (from
-    ``ordered_row_number``).  Every item is kept; a group longer than a
-    page spans rows ``page = 0, 1, …`` — so no task or row has to hold an
-    unbounded list.
+    ``ordered_row_number``).  Segments of ``segment`` positions are joined
+    first, wherever they fall, then the texts of a group's segments in their
+    order: no task holds a list of all items of a large group, only the text
+    that its row has anyway.
     """
-    paged = items.withColumn(page_col, F.floor((F.col(pos_col) - 1) / page_size).cast("int"))
-    agg = paged.groupBy(*group_cols, page_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(text_col).alias("t")))).alias("_items")
-    )
-    return agg.select(
-        *group_cols, page_col,
-        F.array_join(F.transform("_items", lambda x: x["t"]), sep).alias(out),
-    )
+    cut = items.withColumn("_segment", F.floor((F.col(pos_col) - 1) / segment))
+    parts = _joined(cut, [*group_cols, "_segment"], F.col(pos_col), F.col(text_col), sep, "_text")
+    return _joined(parts, group_cols, F.col("_segment"), F.col("_text"), sep, out)
+
+
+def _joined(items: DataFrame, keys: Sequence[str], order: Column, text: Column, sep: str, out: str) -> DataFrame:
+    agg = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("p"), text.alias("t")))).alias("_items"))
+    return agg.select(*keys, F.array_join(F.transform("_items", lambda x: x["t"]), sep).alias(out))
 
 
 def ordered_text(
@@ -120,27 +120,10 @@ def ordered_text(
     order_cols: Sequence[str],
     text_col: str,
     sep: str,
-    page_size: int,
+    segment: int,
     out: str,
-    page_col: str = "page",
 ) -> DataFrame:
-    """Per group, ``text_col`` joined in ``order_cols`` order, in pages.
-
-    Groups with at most ``page_size`` items (the usual case) are joined in
-    one aggregate — each list is bounded by the page size.  Only groups
-    above it go through ``ordered_row_number`` and ``text_pages``, so a hot
-    group is split across tasks and rows while nothing is dropped.
-    """
-    counts = items.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = items.join(counts, list(group_cols))
-    small = tagged.filter(F.col("_n") <= page_size).groupBy(*group_cols).agg(
-        F.array_sort(F.collect_list(F.struct(*order_cols, F.col(text_col).alias("_t")))).alias("_items"))
-    small = small.select(
-        *group_cols, F.lit(0).alias(page_col),
-        F.array_join(F.transform("_items", lambda x: x["_t"]), sep).alias(out))
-    big = tagged.filter(F.col("_n") > page_size).drop("_n")
-    if big.isEmpty():
-        return small
-    numbered = ordered_row_number(big, [F.col(c).asc() for c in order_cols], group_cols, out="_pos")
-    return small.unionByName(
-        text_pages(numbered, group_cols, "_pos", text_col, sep, page_size, out, page_col))
+    """Per group, ``text_col`` joined in ``order_cols`` order: numbered across
+    tasks, so a hot group is split, and joined by segments."""
+    numbered = ordered_row_number(items, [F.col(c).asc() for c in order_cols], group_cols, out="_pos")
+    return joined_text(numbered, group_cols, "_pos", text_col, sep, segment, out)

@@ -3,7 +3,7 @@
 Counts and the base severity are one grouped aggregate with bounded
 buffers.  The reason set can grow with a player's flagged matches, so it
 is a long table (one row per distinct reason), numbered in code-point
-order and joined into text pages — never one collect_set per player.
+order and joined by segments — never one collect_set per player.
 """
 
 from __future__ import annotations
@@ -90,22 +90,15 @@ def reasons_long(hits: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) ->
 
 
 def suspicious_report(hits: DataFrame, flagged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The report: one row per flagged player (per page of reasons).
-
-    ``flag_reasons`` joins the reasons with "; "; a player whose reason
-    list is longer than ``page_size`` spans pages 0, 1, …
-    """
+    """The report: one row per flagged player, its reasons joined with "; "."""
     reasons = reasons_long(hits, flagged, cfg)
-    pages = ordered_text(reasons, ["player_id"], ["_last", "reason"], "reason",
-                         cfg.reason_separator, cfg.page_size, "flag_reasons")
-    return flagged.join(pages, "player_id").select(
-        *REPORT_COLUMNS, "page",
-    )
+    texts = ordered_text(reasons, ["player_id"], ["_last", "reason"], "reason", cfg.reason_separator, cfg.text_segment, "flag_reasons")
+    return flagged.join(texts, "player_id").select(*REPORT_COLUMNS)
 
 
 def order_report(report: DataFrame) -> DataFrame:
     """High, Medium, Low; flagged matches desc; player id."""
     return report.orderBy(
         severity_order(F.col("severity")), F.col("flagged_matches_count").desc(),
-        F.col("player_id"), F.col("page"),
+        F.col("player_id"),
     )

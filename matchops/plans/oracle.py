@@ -241,11 +241,9 @@ lb AS (
   SELECT lm.lobby_name, lm.region, lm.ping_band, lm.skill_tier, lc.player_count,
     CASE WHEN lm.lobby_name = 'Isolated_UnderReview' THEN 'Isolated'
          WHEN lc.player_count >= 4 THEN 'Ready' ELSE 'Waiting' END status,
-    string_agg(lm.player_label, ', ' ORDER BY lm.position) player_ids,
-    CAST((lm.position - 1) // {C.page_size} AS INTEGER) page
+    string_agg(lm.player_label, ', ' ORDER BY lm.position) player_ids
   FROM lm JOIN lc ON lm.lobby_name = lc.lobby_name
-  GROUP BY lm.lobby_name, lm.region, lm.ping_band, lm.skill_tier, lc.player_count,
-    CAST((lm.position - 1) // {C.page_size} AS INTEGER))"""
+  GROUP BY lm.lobby_name, lm.region, lm.ping_band, lm.skill_tier, lc.player_count)"""
 
 
 def _with(*parts: str) -> str:
@@ -347,10 +345,9 @@ SELECT player_id, total_matches_count, flagged_matches_count, gameplay_matches_c
 SELECT player_id, base_severity, severity, gameplay_matches_count, total_matches_count FROM fl WHERE escalated""",
     "suspicious_report": _with(*BASE, REASONS) + f"""
 SELECT fl.player_id, fl.severity, fl.flagged_matches_count, fl.total_matches_count,
-  string_agg(rs.reason, '; ' ORDER BY rs.pos) flag_reasons, CAST((rs.pos - 1) // {C.page_size} AS INTEGER) page
+  string_agg(rs.reason, '; ' ORDER BY rs.pos) flag_reasons
 FROM fl JOIN rs ON fl.player_id = rs.player_id
-GROUP BY fl.player_id, fl.severity, fl.flagged_matches_count, fl.total_matches_count,
-  CAST((rs.pos - 1) // {C.page_size} AS INTEGER)""",
+GROUP BY fl.player_id, fl.severity, fl.flagged_matches_count, fl.total_matches_count""",
     "leaderboard_global": _with(*BASE, BOARD) + _board(""),
     "leaderboard_region": _with(*BASE, BOARD) + _board(", primary_region"),
     "top10_players": _with(*BASE, BOARD) + f"""

@@ -186,9 +186,9 @@ def q_stream_verdicts(spark, sf_dir):
            lambda s, chk: jobs.verdict_job(s, store, f"{base}/verdicts", chk, DRAIN))
     rows = spark.read.parquet(f"{base}/verdicts")
     # the schema is given: without a flagged player there is no file of reasons
-    pages = spark.read.schema("player_id string, page int, reasons string, _batch int").parquet(
+    texts = spark.read.schema("player_id string, reasons string, _batch int").parquet(
         jobs.reasons_path(f"{base}/verdicts"))
-    return with_reasons(rows, pages, ("player_id", "_batch"))
+    return with_reasons(rows, texts, ("player_id", "_batch"))
 
 
 def q_stream_quarantine(spark, sf_dir):
@@ -282,11 +282,10 @@ GROUP BY 1""",
     "store_two_writers": oracle._with(_BASE, _MOVED) + _STORED,
     "store_dates_read": oracle._with(_BASE, _MOVED) + _STORED + f"""
 WHERE region = '01' AND match_date IN {STORE_DAYS}""",
-    "stream_verdicts": oracle._with(_BASE, _UPSERTED, *oracle.BASE[1:], oracle.REASONS, """pages AS (
-  SELECT fl.player_id, fl.severity, string_agg(rs.reason, '; ' ORDER BY rs.pos) flag_reasons,
-    CAST((rs.pos - 1) // 1000 AS INTEGER) page
+    "stream_verdicts": oracle._with(_BASE, _UPSERTED, *oracle.BASE[1:], oracle.REASONS, """texts AS (
+  SELECT fl.player_id, fl.severity, string_agg(rs.reason, '; ' ORDER BY rs.pos) flag_reasons
   FROM fl JOIN rs ON fl.player_id = rs.player_id
-  GROUP BY fl.player_id, fl.severity, CAST((rs.pos - 1) // 1000 AS INTEGER)),
+  GROUP BY fl.player_id, fl.severity),
 subs AS (SELECT player_id, match_id FROM m WHERE CAST(substr(match_id, 2) AS BIGINT) % 109 = 0),
 own AS (
   SELECT subs.player_id, subs.match_id,
@@ -295,9 +294,8 @@ own AS (
   FROM subs LEFT JOIN rf ON subs.player_id = rf.player_id AND subs.match_id = rf.match_id
   GROUP BY subs.player_id, subs.match_id)""") + """
 SELECT own.player_id, own.match_id,
-  CASE WHEN own.fired > 0 OR pages.severity IS NOT NULL THEN 'flagged' ELSE 'clean' END status,
-  coalesce(pages.severity, 'None') severity,
-  CASE WHEN pages.severity IS NOT NULL THEN pages.flag_reasons ELSE coalesce(own.reasons, '') END reasons,
-  coalesce(pages.page, 0) page
-FROM own LEFT JOIN pages ON own.player_id = pages.player_id""",
+  CASE WHEN own.fired > 0 OR texts.severity IS NOT NULL THEN 'flagged' ELSE 'clean' END status,
+  coalesce(texts.severity, 'None') severity,
+  CASE WHEN texts.severity IS NOT NULL THEN texts.flag_reasons ELSE coalesce(own.reasons, '') END reasons
+FROM own LEFT JOIN texts ON own.player_id = texts.player_id""",
 }

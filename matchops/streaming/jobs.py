@@ -19,7 +19,7 @@ from matchops.config import Config, DEFAULT
 from matchops.plans.batch import Analysis
 from matchops.sources.store import writer_of
 from matchops.streaming import ingest, plans, refresh
-from matchops.streaming.verdicts import reason_pages, verdicts as verdict_rows
+from matchops.streaming.verdicts import player_reasons, verdicts as verdict_rows
 
 
 def match_source(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -105,7 +105,7 @@ def zscore_job(stream: DataFrame, base: str, checkpoint: str, trigger: dict, del
 
 
 def reasons_path(verdicts: str) -> str:
-    """Where a verdict job puts its pages of reasons."""
+    """Where a verdict job puts the players' reasons."""
     return verdicts.rstrip("/") + "_reasons"
 
 
@@ -127,7 +127,7 @@ def verdict_job(stream: DataFrame, store: str, verdicts: str, checkpoint: str, t
             batch = ingest.accepted(batch, cfg)
         a = Analysis(plans.read_store(spark, store), cfg)
         subs = batch.drop(*[c for c in ("ingest_seq",) if c in batch.columns])
-        plans.append_log(reason_pages(a, subs), bid, reasons_path(verdicts))
+        plans.append_log(player_reasons(a, subs), bid, reasons_path(verdicts))
         plans.append_log(verdict_rows(a, subs), bid, verdicts)
 
     return _start(stream.writeStream.foreachBatch(handle), checkpoint, trigger)

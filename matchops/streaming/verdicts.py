@@ -2,12 +2,12 @@
 
 A submission is ``flagged`` when its own row fires a rule or its player is
 flagged by the detection over the whole store (the batch included).  The
-reasons are the player's report reasons (in pages) when the player is
+reasons are the player's report reasons when the player is
 flagged, otherwise the rules the row itself fired.
 
 Two tables hold this: one row per submission with the player's number of
-reasons, and all reasons of the submitted players, keyed (player_id, page),
-once per player.  ``with_reasons`` joins them: a row per submission and page.
+reasons, and the reasons of the submitted players, once per player.
+``with_reasons`` joins them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from matchops.operators.rules import rule_flags
 from matchops.operators.severity import reasons_long
 from matchops.plans.batch import Analysis
 
-VERDICT_COLUMNS = ("player_id", "match_id", "status", "severity", "reasons", "page")
+VERDICT_COLUMNS = ("player_id", "match_id", "status", "severity", "reasons")
 
 
 def verdicts(a: Analysis, submissions: DataFrame) -> DataFrame:
@@ -42,20 +42,18 @@ def verdicts(a: Analysis, submissions: DataFrame) -> DataFrame:
     )
 
 
-def reason_pages(a: Analysis, submissions: DataFrame) -> DataFrame:
-    """(player_id, page, reasons): all reasons of the submitted flagged players."""
-    return a.suspicious_report().select(
-        "player_id", F.col("page").cast("int").alias("page"), F.col("flag_reasons").alias("reasons")).join(
+def player_reasons(a: Analysis, submissions: DataFrame) -> DataFrame:
+    """(player_id, reasons): all reasons of the submitted flagged players."""
+    return a.suspicious_report().select("player_id", F.col("flag_reasons").alias("reasons")).join(
         submissions.select("player_id").distinct(), "player_id", "left_semi")
 
 
-def with_reasons(rows: DataFrame, pages: DataFrame, keys: tuple[str, ...] = ("player_id",)) -> DataFrame:
-    """A row per submission and page of its reasons (page 0 if it has none)."""
-    return rows.join(pages, list(keys), "left").withColumns({
-        "reasons": F.when(F.col("reason_count") > 0, F.col("reasons")).otherwise(F.col("own_reasons")),
-        "page": F.coalesce("page", F.lit(0))}).select(*VERDICT_COLUMNS)
+def with_reasons(rows: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("player_id",)) -> DataFrame:
+    """A row per submission with its reasons."""
+    return rows.join(texts, list(keys), "left").withColumn(
+        "reasons", F.when(F.col("reason_count") > 0, F.col("reasons")).otherwise(F.col("own_reasons"))).select(*VERDICT_COLUMNS)
 
 
 def submission_verdicts(store: DataFrame, submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     a = Analysis(store, cfg)
-    return with_reasons(verdicts(a, submissions), reason_pages(a, submissions))
+    return with_reasons(verdicts(a, submissions), player_reasons(a, submissions))

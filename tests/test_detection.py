@@ -67,15 +67,21 @@ def test_escalation(spark, matches_df, flagged_n, total_n, severity, escalated):
         assert DEFAULT.escalation_text not in rep.flag_reasons
 
 
-def test_reason_pages_keep_every_reason(spark, matches_df):
+def test_one_row_keeps_every_reason(spark, matches_df):
     from dataclasses import replace
-    cfg = replace(DEFAULT, page_size=3)
+    cfg = replace(DEFAULT, text_segment=3)
     rows = [row("P", f"M{i}", ping=600 + i) for i in range(8)]     # 8 distinct ping reasons
     a = Analysis(matches_df(rows), cfg)
-    pages = sorted(a.suspicious_report().collect(), key=lambda r: r.page)
-    assert [p.page for p in pages] == [0, 1, 2]
-    joined = "; ".join(p.flag_reasons for p in pages).split("; ")
-    assert joined == sorted(f"Ping anomaly: {600 + i}ms (Limits: 5-500ms)" for i in range(8))
+    report = a.suspicious_report().collect()
+    assert len(report) == 1
+    assert report[0].flag_reasons.split("; ") == sorted(f"Ping anomaly: {600 + i}ms (Limits: 5-500ms)" for i in range(8))
+
+
+def test_2500_reasons_are_one_row_of_the_report(spark, matches_df):
+    a = Analysis(matches_df([row("P", f"M{i}", ping=600 + i) for i in range(2500)] + [row("Q", "M", ping=700)]))
+    report = {r.player_id: r for r in a.suspicious_report().collect()}
+    assert len(report) == 2 and report["P"].flagged_matches_count == 2500
+    assert report["P"].flag_reasons.split("; ") == sorted(f"Ping anomaly: {600 + i}ms (Limits: 5-500ms)" for i in range(2500))
 
 
 def test_zscore_pruning_matches_brute_force(spark, matches_df):

@@ -71,13 +71,12 @@ def test_quantile_cuts_match_pandas(spark, matches_df, scores):
         assert r.skill_tier == want
 
 
-def test_roster_pages_keep_every_member(spark, matches_df):
+def test_one_row_keeps_every_member(spark, matches_df):
     from dataclasses import replace
     from matchops.config import DEFAULT
-    cfg = replace(DEFAULT, page_size=2)
+    cfg = replace(DEFAULT, text_segment=2)
     m = matches_df([row(f"P{i}", "M1") for i in range(5)])
     a = Analysis(m, cfg)
-    rows = sorted(lobbies.lobbies(a.profile, a.flagged, cfg).collect(), key=lambda r: r.page)
-    assert [r.page for r in rows] == [0, 1, 2]
-    assert ", ".join(r.player_ids for r in rows) == "P0, P1, P2, P3, P4"
+    rows = lobbies.lobbies(a.profile, a.flagged, cfg).collect()
+    assert [r.player_ids for r in rows] == ["P0, P1, P2, P3, P4"]
     assert {r.player_count for r in rows} == {5}

@@ -59,3 +59,28 @@ def test_region_argument_is_normalized(spark, matches_df):
     m = matches_df([row("A", "M1", region="India"), row("B", "M1", region="Sea")])
     got = Analysis(m).leaderboard_region("  india ").collect()
     assert [(r.player_id, r.rank) for r in got] == [("A", 1)]
+
+
+def test_totals_and_ranks_do_not_depend_on_the_order_of_sums(spark):
+    """Fractional scores, one total and one order in every partitioning."""
+    import random
+
+    from matchops.operators.players import player_profile
+
+    rng = random.Random(8)
+    scores = [round(rng.uniform(0, 1e6), rng.choice([1, 2, 3])) for _ in range(300)]
+    rows = [(p, f"m{i}", "India", "Pc", 40, x, 1, 1, 300) for i, x in enumerate(scores) for p in ("a", "b")]
+    rows += [("c", f"m{i}", "India", "Pc", 40, x, 1, 1, 300) for i, x in enumerate([1e300, 3e16, 0.1, 0.2, 1e26, 2.0 ** 60])]
+    seen = set()
+    for n in range(1, 6):
+        rng.shuffle(rows)
+        m = spark.createDataFrame(rows, "player_id string, match_id string, region string, device string, ping int, score double, "
+                                        "kills int, deaths int, match_duration_seconds int").repartition(n)
+        a = Analysis(m)
+        seen.add(tuple(sorted((r.player_id, r.total_score, r.avg_score) for r in player_profile(a.matches).collect())))
+        board = a.leaderboard_global().where("player_id <> 'c'").collect()
+        assert len({r.total_score for r in board}) == 1
+    assert len(seen) == 1
+    from decimal import Decimal
+    total = dict((p, t) for p, t, _ in seen.pop())
+    assert total["a"] == float(sum(map(Decimal, map(str, scores)))) and total["c"] == 1e300

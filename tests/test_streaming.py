@@ -99,7 +99,7 @@ def test_submission_verdicts(spark):
     assert got["B"].reasons == "Ping anomaly: 700ms (Limits: 5-500ms)"
 
 
-def test_submission_verdicts_keep_all_pages_of_reasons(spark):
+def test_submission_verdicts_keep_all_reasons(spark):
     from dataclasses import replace
 
     from matchops.config import DEFAULT
@@ -107,7 +107,7 @@ def test_submission_verdicts_keep_all_pages_of_reasons(spark):
     from matchops.streaming import jobs
     from matchops.streaming.verdicts import submission_verdicts, with_reasons
 
-    cfg = replace(DEFAULT, page_size=3)
+    cfg = replace(DEFAULT, text_segment=3)
     old = _rows([("B", f"M{i}", 0, 100, 1, 1, 300, 700 + i) for i in range(7)])  # 7 distinct reasons
     new = _rows([("B", "M8", 1, 100, 1, 1, 300, 40), ("B", "M9", 1, 100, 1, 1, 300, 40), ("A", "M1", 1, 100, 1, 1, 300, 40)])
     store, subs = spark.createDataFrame(old + new, SCHEMA), spark.createDataFrame(new, SCHEMA)
@@ -126,10 +126,10 @@ def test_submission_verdicts_keep_all_pages_of_reasons(spark):
     q = jobs.verdict_job(spark.readStream.schema(subs.schema).parquet(src), f"{base}/store", f"{base}/v", f"{base}/chk",
                          {"availableNow": True}, cfg)
     q.awaitTermination()
-    table, pages = spark.read.parquet(f"{base}/v"), spark.read.parquet(jobs.reasons_path(f"{base}/v"))
+    table, texts = spark.read.parquet(f"{base}/v"), spark.read.parquet(jobs.reasons_path(f"{base}/v"))
     counts = {r.match_id: r.reason_count for r in table.collect()}
     assert table.count() == 3 and counts == {"M8": len(everything), "M9": len(everything), "M1": 0}
-    assert pages.groupBy("player_id", "page").count().where("count > 1").isEmpty()
-    for rows in (submission_verdicts(store, subs, cfg).collect(), with_reasons(table, pages, ("player_id", "_batch")).collect()):
+    assert [r.player_id for r in texts.collect()] == ["B"]
+    for rows in (submission_verdicts(store, subs, cfg).collect(), with_reasons(table, texts, ("player_id", "_batch")).collect()):
         assert held(rows, "M8") == held(rows, "M9") == everything
-        assert [(r.status, r.reasons, r.page) for r in rows if r.player_id == "A"] == [("clean", "", 0)]
+        assert [(r.status, r.reasons) for r in rows if r.player_id == "A"] == [("clean", "")]
