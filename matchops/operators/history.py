@@ -12,8 +12,7 @@ flagged matches only, and for them (``flagged_matches``) the match table is
 not shuffled: matches of other players are decided by the rules where they
 are scanned, and matches of candidates by an inner join, which is a broadcast
 or, past its limit, one that Spark prunes by a runtime filter of the
-candidates.  Hot candidates are fewer than ``hot_key_shares``, so they are
-always broadcast, and their matches never meet in one task.
+candidates; what a hot candidate leaves there, Spark's skew join splits.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from matchops.config import Config, DEFAULT
 from matchops.functions.text import fixed2
-from matchops.operators.joins import hot_keys, salted_join
+from matchops.operators.joins import salted_join
 from matchops.operators.players import z_candidates
 from matchops.operators.rules import DEFAULT_RULES, FLAG_TYPE, flag_struct, rule_flags
 
@@ -79,16 +78,12 @@ def flagged_matches(matches: DataFrame, profile: DataFrame, cfg: Config = DEFAUL
                     rules=DEFAULT_RULES) -> DataFrame:
     """The rows of ``match_flags`` that have a flag, without a shuffle of all matches."""
     base, moments = _base(matches), z_candidates(profile, cfg).drop("matches_played")
-    hot = F.broadcast(hot_keys(profile, "player_id", "matches_played", cfg).select("player_id"))  # fewer than hot_key_shares
-    often = F.broadcast(moments.join(hot, "player_id", "left_semi"))
-    seldom = moments.join(hot, "player_id", "left_anti")
-    of_candidates = [_with_flags(x, base.columns, cfg, rules).filter(F.size("all_flags") > 0) for x in (
-        base.join(often, "player_id"), base.join(hot, "player_id", "left_anti").join(seldom, "player_id"))]
+    of_candidates = _with_flags(base.join(moments, "player_id"), base.columns, cfg, rules).filter(F.size("all_flags") > 0)
     fires = reduce(lambda a, b: a | b, [F.coalesce(r.predicate(cfg), F.lit(False)) for r in rules], F.lit(False))
     by_rule = base.filter(fires).join(moments.select("player_id"), "player_id", "left_anti").select(
         *base.columns, rule_flags(cfg, rules).alias("rule_flags"), F.array().cast(f"array<{FLAG_TYPE}>").alias("stat_flags"),
         *[F.lit(None).cast("double").alias(c) for c in _MOMENTS])
-    return by_rule.withColumn("all_flags", F.col("rule_flags")).union(of_candidates[0]).union(of_candidates[1])
+    return by_rule.withColumn("all_flags", F.col("rule_flags")).union(of_candidates)
 
 
 def zscore_outliers(flags: DataFrame) -> DataFrame:

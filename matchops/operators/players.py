@@ -20,26 +20,29 @@ STATS_COLUMNS = (
 )
 
 
-#: |x| from which a value is summed as a whole number, and from which as a double.
-_WHOLE, _HUGE = 1e15, 1e27
+#: |x| from which a value is no longer summed by its whole part, and from which as a double.
+_LARGE, _HUGE = 1e9, 1e15
 
 
 def exact_parts(col: str, prefix: str) -> dict[str, Column]:
-    """Aggregates whose sum is the same in any order: decimals with 12 places
-    below 1e15 (a double counts as it prints), whole numbers below 1e27.  Only
-    values beyond that, infinities and NaN are added up as doubles."""
+    """Aggregates whose sum is the same in any order: whole numbers, and
+    decimals of 12 places for fractions (a double counts as it prints).  Only
+    values from 1e15 on, infinities and NaN are added up as doubles."""
     x = F.col(col).cast("double")
-    size = F.abs(x)
+    size, whole = F.abs(x), F.floor(x)
+    printed = x.cast("decimal(28,12)")
+    fine = F.when((size < _LARGE) & (x != whole), printed - whole.cast("decimal(10,0)")).when((size >= _LARGE) & (size < _HUGE), printed)
     return {
-        f"{prefix}_fine": F.coalesce(F.sum(F.when(size < _WHOLE, x.cast("decimal(28,12)"))), F.lit(0).cast("decimal(38,12)")),
-        f"{prefix}_whole": F.coalesce(F.sum(F.when((size >= _WHOLE) & (size < _HUGE), x.cast("decimal(28,0)"))), F.lit(0).cast("decimal(38,0)")),
+        f"{prefix}_whole": F.coalesce(F.sum(F.when(size < _LARGE, whole)), F.lit(0).cast("long")),
+        f"{prefix}_fine": F.coalesce(F.sum(fine.cast("decimal(28,12)")), F.lit(0).cast("decimal(38,12)")),
         f"{prefix}_huge": F.coalesce(F.sum(F.when(size >= _HUGE, x)), F.lit(0.0)),
     }
 
 
 def exact_value(prefix: str) -> Column:
-    """The sum of ``exact_parts`` as a double."""
-    return F.col(f"{prefix}_fine").cast("double") + F.col(f"{prefix}_whole").cast("double") + F.col(f"{prefix}_huge")
+    """The sum of ``exact_parts`` as a double, rounded once below 1e15."""
+    exact = F.col(f"{prefix}_fine").cast("decimal(37,12)") + F.col(f"{prefix}_whole")
+    return F.when(F.col(f"{prefix}_fine") == 0, F.col(f"{prefix}_whole").cast("double")).otherwise(exact.cast("double")) + F.col(f"{prefix}_huge")
 
 
 def player_profile(matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
