@@ -408,12 +408,40 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
 
 
 def test_pattern_voters_read_whole_texts():
+    def fires(text):
+        return toxicity.marks_of(text, toxicity.Marker({}))
+
     calm = "plain words here " * 3000
-    votes = toxicity.Voters([])
-    assert votes(calm) == 0
-    assert votes(calm + "no!!! way!!! " * 9000) & 2
-    assert votes(calm + "$#%& " * 9000) & 8
-    assert votes("$#%&") & 8 and votes("sooooo") & 4
+    assert fires(calm) == []
+    assert 1 in fires(calm + "no!!! way!!! " * 9000)
+    assert 3 in fires(calm + "$#%& " * 9000)
+    assert 3 in fires("$#%&") and 2 in fires("sooooo")
+
+
+def test_toxicity_voters_of_a_small_language_vote(spark):
+    """One row in ten is of a second language, with toxic words of its own."""
+    importable(spark)
+    rng = random.Random(9)
+    bad = {"en": ["grumblo", "snarfish", "blortful", "wexling"], "xx": ["zzorpan", "qquilto"]}
+    other = [f"{a}{b}" for a in ("ael", "oru", "imi", "une") for b in ("ta", "ko", "shi", "va", "ro")]
+    rows, labels, truth = [], [], {}
+    for i in range(3000):
+        lang = "xx" if i % 10 == 3 else "en"
+        w = [rng.choice(other if lang == "xx" else WORDS) + rng.choice("abcdefgh") for _ in range(rng.randint(20, 80))]
+        truth[i] = lang, rng.random() < 0.15
+        for word in bad[lang] if truth[i][1] else []:
+            w.insert(rng.randrange(len(w)), word)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(truth[i][1])))
+    rows += [(i, "always the same hateful copy") for i in range(5000, 5400)]  # a group of copies teaches once
+    labels += [(i, 1) for i in range(5000, 5400)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"),
+                                               spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for lang in bad:
+        held = [i for i, (of, toxic) in truth.items() if of == lang and toxic and got[i].held_out]
+        assert np.mean([got[i].predicted for i in held]) > 0.9
+    clean = [i for i, (_, toxic) in truth.items() if not toxic]
+    assert not any(got[i].predicted for i in clean)
 
 
 def test_pipeline_keeps_one_row_of_each_group_whatever_its_ids(spark):
