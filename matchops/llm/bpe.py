@@ -32,6 +32,7 @@ from matchops.llm.tokens import ChunkCache, ranks_of_tiktoken
 SPAN = 256  # ranks per leaf bitmap
 NONE = -1
 JOINT = 1 << 21  # bytes of short pre-tokens that share one queue
+SLICE = {"max_rows": 2048, "max_bytes": 8 << 20}  # of texts whose new pre-tokens share queues: the more, the fewer ranks are popped
 
 
 class Pairs:
@@ -159,6 +160,7 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.pattern, self.plain, self.exact = pattern, regex.compile(pattern), None
+        self.common: set[str] = set()  # characters met that every version knows alike
 
     def _exact(self):
         import tiktoken
@@ -180,7 +182,10 @@ class Splitter:
         return regex.compile(adjusted)
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii() or not any(c > "⿿" or unicodedata.category(c) == "Cn" for c in text):
+        if text.isascii() or self.common.issuperset(text):
+            return self.plain.findall(text)
+        if not any(c > "⿿" or unicodedata.category(c) == "Cn" for c in text):
+            self.common.update(text)
             return self.plain.findall(text)
         if self.exact is None:
             self.exact = self._exact()
@@ -210,7 +215,8 @@ class Codec:
                 flat, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
                 known.update(zip(new[lo:hi], map(flat.__getitem__, map(slice, [0, *stops], stops)), strict=True))
                 lo, size = hi, 0
-        return [b"".join([self.whole[p] if p in self.whole else known[p] for p in ps]) for ps in cut]
+        whole = self.whole
+        return [(known.get(ps[0]) or whole[ps[0]]) if len(ps) == 1 else b"".join([known.get(p) or whole[p] for p in ps]) for ps in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4").astype(np.int32) for x in self.cache.ids(texts)]
@@ -225,24 +231,37 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) of every document; ``path``: a rank file."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
+    def run(part: pa.RecordBatch) -> dict:
+        return {"doc_id": part.column("doc_id"), "ids": _lists(codec(path, pattern).encode(part.column("text").to_pylist()))}
+
+    return map_texts(texts(docs), run, schema, "doc_id long, ids array<int>", **SLICE)
+
+
+_DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("bytes", pa.binary())])
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, bytes binary) of every document: its ids, and what these
+    ids alone stand for; ``decode(encode(docs))`` in one pass."""
     def run(part: pa.RecordBatch) -> dict:
         c = codec(path, pattern)
         rows = c.encode(part.column("text").to_pylist())
-        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        return {"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+        return {"doc_id": part.column("doc_id"), "ids": _lists(rows), "bytes": list(map(c.decode, rows))}
 
-    return map_texts(texts(docs), run, schema, "doc_id long, ids array<int>")
+    return map_texts(texts(docs), run, _DECODED, "doc_id long, ids array<int>, bytes binary", **SLICE)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, bytes binary): what the ids stand for, null ids: none."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("bytes", pa.binary())])
-
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
@@ -250,6 +269,6 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 part = batch.slice(lo, 512)
                 rows = [b"" if not x.is_valid else c.decode(x.values.to_numpy()) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(rows, pa.binary())],
-                                                 schema=schema)
+                                                 schema=_DECODED)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")

@@ -50,7 +50,7 @@ def test_empty_tables(spark, empty):
     v = topk.quantised(vectors, "vec_id", "embedding", 1024)
     for out in (toxicity.score(empty, labels), packing.pack(empty, JSON), bpe.encode(empty, RANKS, public_tokenizers.PATTERN),
                 sharding.shard_bytes(empty), language.identify(empty), token_counts.count(empty, JSON), licenses.scan(empty),
-                fingerprints.fingerprint_edits(empty), topk.top_k(v, v, 3), near_dups.near_duplicates(empty)):
+                bpe.round_trip(empty, RANKS, public_tokenizers.PATTERN), fingerprints.fingerprint_edits(empty), topk.top_k(v, v, 3), near_dups.near_duplicates(empty)):
         assert out.count() == 0
 
 
@@ -60,6 +60,7 @@ def test_codec_matches_library_and_round_trips(docs):
     from matchops.llm.tokens import ranks_of_tiktoken
     core = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of_tiktoken(RANKS), special_tokens={})
     got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(map(str, got)) == sorted(map(str, bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()))
     assert len(got) == len(TEXTS) + 1
     for r in got:
         assert list(r.ids) == core.encode_ordinary(text_of(r.doc_id))
