@@ -26,10 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchops.llm.common import shuffle_width, texts
+from matchops.llm.common import shuffle_width, slices, texts
 from matchops.session import materialize
 
 CHARS, STEPS = 1024, 2304  # of a block, and of the walk over it
@@ -135,70 +136,92 @@ def prints(strings: list[str]) -> list[Print]:
     return out
 
 
+ROWS = 16_384  # of a range of ids, about
+
+
 def _ordered(docs: DataFrame) -> DataFrame:
-    """Rows in buckets of neighbouring ids, each bucket followed by the first
-    row of the next one (the last by the first of all), marked ``ahead``."""
-    width = 4 * shuffle_width(docs.sparkSession)
+    """Rows in ranges of ids, each sorted by id and text."""
     rows = texts(docs)
-    wanted = max(width, rows.count() // 2048)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 100 * wanted)).first()[0] or []
-    cuts = sorted(set(cuts))
-    keys = F.array(*map(F.lit, cuts)).cast("array<long>")
-    steps = F.array(*(F.lit(1 << b) for b in reversed(range(max(len(cuts), 1).bit_length()))))
-    bucket = F.aggregate(steps, F.lit(0), lambda at, s: F.when(
-        (at + s <= len(cuts)) & (F.element_at(keys, F.least(at + s, F.lit(len(cuts)))) <= F.col("doc_id")), at + s).otherwise(at))
-    rows = rows.withColumn("bucket", bucket if cuts else F.lit(0))
-    firsts = sorted(rows.groupBy("bucket").agg(F.min_by("doc_id", F.struct("doc_id"))).collect())  # one row for each bucket
-    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
-    first = F.array(*(F.lit(dict(firsts).get(b)).cast("long") for b in range(len(cuts) + 1)))
-    to = F.array(*(F.lit(before.get(b, 0)).cast("int") for b in range(len(cuts) + 1)))
-    spot = lambda a: F.element_at(a, F.col("bucket") + 1)
-    own = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(False).alias("ahead"))
-    also = F.struct(spot(to).alias("bucket"), F.lit(True).alias("ahead"))
-    places = F.when(F.col("doc_id").eqNullSafe(spot(first)), F.array(own, also)).otherwise(F.array(own))
-    return (rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.bucket", "p.ahead")
-            .repartition(max(width, wanted), "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text"))
-
-
-def _with_next(batches) -> Iterator[tuple[int | None, str, str]]:
-    """(doc_id, text, next text) from the ordered rows."""
-    held, closed = None, False
-    for batch in batches:
-        for doc_id, text, bucket, ahead in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "ahead")), strict=True):
-            if held is not None and bucket == held[2]:
-                yield held[0], held[1], text
-            held = None if ahead else (doc_id, text, bucket)
-    assert held is None, "a bucket ends with the row ahead"
+    ranges = max(shuffle_width(docs.sparkSession), -(-rows.count() // ROWS))
+    return rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+
+
+_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+           ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bands", pa.list_(pa.int64()))]
+_DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double, bands array<long>")
+_EDGE = [("range", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("last_id", pa.int64())]
+
+
+def _finish(rows: list[tuple[int | None, str, str]]) -> list[pa.Array]:
+    """Columns of _FIELDS for (doc_id, text, next text)."""
+    edited = [t[:len(t) - len(t) // 2] + after[:len(t) // 2] for _, t, after in rows]
+    found = list(dict.fromkeys([s for _, t, after in rows for s in (t, after)] + edited))
+    of = dict(zip(found, prints(found), strict=True))
+    out = [(d, len(t), hashlib.sha256(e.encode()).hexdigest(), str(of[t]), str(of[e]), of[t].likeness(of[e]), of[t].likeness(of[after]), of[t].bands())
+           for (d, t, after), e in zip(rows, edited, strict=True)]
+    return [pa.array(c, f[1]) for c, f in zip(zip(*out, strict=True), _FIELDS, strict=True)]
+
+
+def _in_parts(rows: Iterator[tuple[int | None, str, str]]) -> Iterator[list[pa.Array]]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1]) + CHARS
+        if size > BATCH_CHARS:
+            yield _finish(held)
+            held, size = [], 0
+    if held:
+        yield _finish(held)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last half of
-    its code points replaced by as many from the start of the next text."""
-    fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-              ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bands", pa.list_(pa.int64()))]
-    schema = pa.schema(fields)
-
-    def finish(rows):
-        edited = [t[:len(t) - len(t) // 2] + after[:len(t) // 2] for _, t, after in rows]
-        found = list(dict.fromkeys([s for _, t, after in rows for s in (t, after)] + edited))
-        of = dict(zip(found, prints(found), strict=True))
-        out = [(d, len(t), hashlib.sha256(e.encode()).hexdigest(), str(of[t]), str(of[e]), of[t].likeness(of[e]), of[t].likeness(of[after]), of[t].bands())
-               for (d, t, after), e in zip(rows, edited, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=schema)
+    its code points replaced by as many from the start of the next text.
+
+    A task finishes all rows of its range but the last, whose next text is
+    in another range.  It leaves its first and its last text as a row of
+    their own in the written table: one such row a range, joined to the
+    range behind it for the rows that were left."""
+    schema = pa.schema(_FIELDS + _EDGE)
 
     def run(batches):
-        rows, size = [], 0
-        for row in _with_next(batches):
-            rows.append(row)
-            size += len(row[1]) + CHARS
-            if size > BATCH_CHARS:
-                yield finish(rows)
-                rows, size = [], 0
-        if rows:
-            yield finish(rows)
-
-    return _ordered(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-                                          "near_edited double, near_next double, bands array<long>")
+        edge: list = [None, None, None]  # first text, last text, last id
+
+        def followed():
+            for batch in batches:
+                for part in slices([batch]):
+                    for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                        if edge[0] is None:
+                            edge[0] = text
+                        else:
+                            yield edge[2], edge[1], text
+                        edge[1:] = text, doc_id
+
+        for columns in _in_parts(followed()):
+            blank = [pa.nulls(len(columns[0]), f[1]) for f in _EDGE]
+            yield pa.RecordBatch.from_arrays(columns + blank, schema=schema)
+        if edge[0] is not None:
+            own = zip([TaskContext.get().partitionId(), *edge], _EDGE, strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f[1]) for f in _FIELDS), *(pa.array([v], f[1]) for v, f in own)], schema=schema)
+
+    ddl = f"{_DDL}, range long, first string, last string, last_id long"
+    done = materialize(_ordered(docs).mapInArrow(run, ddl), "fingerprinted")
+    edges = done.where("range is not null").select("range", "first", "last", "last_id")
+    every = Window.orderBy("range")  # over a number a range, no texts
+    least = F.min("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    behind = edges.select("range").select("range", F.coalesce(F.lead("range").over(every), least).alias("next"))
+    left = edges.drop("first").join(behind, "range").join(edges.select(F.col("range").alias("next"), "first"), "next")
+
+    def rest(batches):
+        def rows():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield tuple(batch.column(c)[i].as_py() for c in ("last_id", "last", "first"))
+        for columns in _in_parts(rows()):
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(_FIELDS))
+
+    return done.where("range is null").select(*(f[0] for f in _FIELDS)).union(left.select("last_id", "last", "first").mapInArrow(rest, _DDL))
 
 
 def parse(text: str) -> Print:
