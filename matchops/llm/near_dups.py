@@ -46,6 +46,7 @@ from matchops.session import materialize
 TREES, DEPTH = 16, 8  # labels of DEPTH values
 MIN_DEPTH = 4
 REGION = 32
+RANGE = 50_000  # rows of a tree that a task walks, about
 REACH = 8
 SURE, POSSIBLE = 0.14, -0.2  # sketch similarity against the threshold
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -84,9 +85,8 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, label of each tree, sketch); h1 and h2 name the set."""
-    label = pa.list_(pa.list_(pa.int32()))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-                        ("labels", label), ("sketch", pa.binary())])
+                        ("labels", pa.list_(pa.binary())), ("sketch", pa.binary())])
 
     def run(part: pa.RecordBatch) -> dict:
         a, b = _coefficients(TREES * DEPTH)
@@ -96,14 +96,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             name = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
             sig = signature(s, a, b)
             nibbles = (sig & np.uint32(15)).astype(np.uint8)
-            row = (doc_id, len(s), name[0], name[1], list(sig.view(np.int32).reshape(TREES, DEPTH)),
+            row = (doc_id, len(s), name[0], name[1], [x.tobytes() for x in sig.reshape(TREES, DEPTH)],
                    (nibbles[::2] << 4 | nibbles[1::2]).tobytes())
             for col, value in zip(cols.values(), row, strict=True):
                 col.append(value)
         return cols
 
     return map_texts(texts(docs), run, schema,
-                     "doc_id long, n_shingles long, h1 long, h2 long, labels array<array<int>>, sketch binary")
+                     "doc_id long, n_shingles long, h1 long, h2 long, labels array<binary>, sketch binary")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -161,14 +161,15 @@ class _Region:
                     parent[max(p, q)] = min(p, q)
 
 
-def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, threshold: float, about: int = 0) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b), a < b, of class representatives that may be similar,
-    and the (id) of those in regions of more than ``REGION`` rows."""
+    and the (id) of those in regions of more than ``REGION`` rows.  ``about``:
+    how many classes there are at most."""
     rows = classes.select("rep", "n_shingles", "sketch", F.posexplode("labels").alias("tree", "label"))
-    order = ["tree", *(f"l{i}" for i in range(DEPTH)), "spread"]
-    rows = rows.select("rep", "n_shingles", "sketch", "tree", *(F.col("label")[i].alias(f"l{i}") for i in range(DEPTH)),
-                       F.xxhash64("rep", "tree").alias("spread"))
-    rows = rows.repartitionByRange(shuffle_width(classes.sparkSession), *order).sortWithinPartitions(*order)
+    order = ["tree", "label", "spread"]
+    rows = rows.withColumn("spread", F.xxhash64("rep", "tree"))
+    ranges = max(shuffle_width(classes.sparkSession), -(-TREES * about // RANGE))
+    rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.binary()), ("n_shingles", pa.int64())])
 
     def walk(batches):
@@ -176,12 +177,12 @@ def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         first = True  # no region of the partition is closed yet
 
         def close(part, last=False):
-            """Rows (a, b): a pair; (a, a): a row of a crowded region; (a or null, null, region):
+            """Batches of rows (a, b): a pair; (a, a): a row of a crowded region; (a or null, null, region):
             a row, or more than ``REGION`` rows, of a region that may go on in the next partition."""
             nonlocal first
             reps, sizes, labels, sketches = part
             change = np.flatnonzero((labels[1:, :MIN_DEPTH + 1] != labels[:-1, :MIN_DEPTH + 1]).any(axis=1)) + 1
-            out, edge = set(), []
+            pairs, edge, many = [], [], []
             for lo, hi in zip([0, *change], [*change, len(reps)], strict=True):
                 own = reps[lo:hi]
                 crowded = hi - lo > REGION
@@ -190,16 +191,20 @@ def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
                     edge += [(None, None, name, None)] if crowded else [(r, None, name, n) for r, n in zip(own, sizes[lo:hi], strict=True)]
                     first = False
                 if hi - lo > 1:
-                    out.update((min(own[i], own[j]), max(own[i], own[j])) for i, j in
-                               region.pairs(own, sizes[lo:hi], labels[lo:hi, 1:], sketches[lo:hi]))
+                    found = np.array(list(region.pairs(own, sizes[lo:hi], labels[lo:hi, 1:], sketches[lo:hi])), np.int64).reshape(-1, 2)
+                    pairs.append(np.sort(own[found], axis=1))
                 if crowded:
-                    out.update(zip(own, own, strict=True))
-            columns = zip(*edge, *((a, b, None, None) for a, b in out), strict=True) if edge or out else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    many.append(np.stack([own, own], axis=1))
+            if edge:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*edge, strict=True), schema, strict=True)], schema=schema)
+            if pairs or many:
+                a, b = np.unique(np.concatenate(pairs + many), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64())], schema=schema)
 
         region = _Region(threshold)
         for batch in batches:
-            labels = np.stack([batch.column(c).to_numpy() for c in ("tree", *order[1:-1])], axis=1)
+            values = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.int32).reshape(-1, DEPTH)
+            labels = np.concatenate([batch.column("tree").to_numpy()[:, None], values], axis=1)
             sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             part = [batch.column("rep").to_numpy(), batch.column("n_shingles").to_numpy(), labels, sketches]
             if held:
@@ -208,9 +213,9 @@ def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
             open_from = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             held = [x[open_from:] for x in part]
             if open_from:
-                yield close([x[:open_from] for x in part])
+                yield from close([x[:open_from] for x in part])
         if held:
-            yield close(held, last=True)
+            yield from close(held, last=True)
 
     found = materialize(rows.mapInArrow(walk, "a long, b long, region binary, n_shingles long"), "found")
     edge = found.where("region is not null")
@@ -340,9 +345,9 @@ def rare_pairs(sets: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return shared.where("lo < hi").select("rows").mapInArrow(meet, "a long, b long").distinct()
 
 
-def _labels(docs: DataFrame, classes: DataFrame, words: int, threshold: float) -> DataFrame:
+def _labels(docs: DataFrame, classes: DataFrame, words: int, threshold: float, about: int) -> DataFrame:
     """(node, label) of the linked class representatives."""
-    pairs, crowded = (materialize(x, n) for x, n in zip(candidates(classes, threshold), ("pairs", "crowded"), strict=True))
+    pairs, crowded = (materialize(x, n) for x, n in zip(candidates(classes, threshold, about), ("pairs", "crowded"), strict=True))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded)
     sets = full_sets(docs, ids, words)
     label = components(confirm(sets, pairs, threshold))
@@ -367,7 +372,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     classes = filled.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
-    label = _labels(docs, classes.where("rep is not null"), words, threshold).select(F.col("node").alias("rep"), "label")
+    label = _labels(docs, classes.where("rep is not null"), words, threshold, every.count()).select(F.col("node").alias("rep"), "label")
     named = (filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).join(label, "rep", "left")
              .select("h1", "h2", F.coalesce("label", "rep").alias("component_id")))
     out = (filled.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"])
