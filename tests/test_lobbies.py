@@ -80,3 +80,20 @@ def test_one_row_keeps_every_member(spark, matches_df):
     rows = lobbies.lobbies(a.profile, a.flagged, cfg).collect()
     assert [r.player_ids for r in rows] == ["P0, P1, P2, P3, P4"]
     assert {r.player_count for r in rows} == {5}
+
+
+def test_small_bucket_goes_by_id_over_segments(spark, matches_df):
+    from dataclasses import replace
+    from matchops.config import DEFAULT
+    cfg = replace(DEFAULT, text_segment=2)
+    a = Analysis(matches_df([row(f"P{i}", "M1", score=9000 - 1000 * i) for i in range(5)]), cfg)
+    got = {r.player_id: (r.position, r.player_count) for r in lobbies.lobby_members(a.profile, a.flagged, cfg).collect()}
+    assert got == {f"P{i}": (i + 1, 5) for i in range(5)}
+    assert lobbies.lobbies(a.profile, a.flagged, cfg).first().player_ids == "P0, P1, P2, P3, P4"
+
+
+def test_numbered_pool_is_read_twice(spark, matches_df):
+    """Once for the rows, once for the few at the cuts; sizes come from the pieces."""
+    a = Analysis(matches_df([row(f"P{i}", "M1", score=1000 + i) for i in range(8)]))
+    plan = lobbies.lobbies(a.profile, a.flagged)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "_nb_seq" in line for line in plan.splitlines()) == 2
