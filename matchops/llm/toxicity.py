@@ -54,6 +54,7 @@ ANCHOR = 4.0  # weight of the labelled rows against all documents in the label m
 RATE, L1 = 0.3, 0.005
 LEVELS = ("", "!", "!!")  # a stem occurs; is at least these shares of a text's words, and occurs more than once
 DENSE = (0.0, 0.005, 0.01)
+BITS = 1 << 25  # of the bitmap of labelled ids
 STEMS = 400_000  # of a task; beyond it partial counts go out early
 _WORD = re.compile(r"\w+")
 _STRETCHED, _MASKED = re.compile(r"(\w)\1{3,}"), re.compile(r"[#$%&*]{3,}")
@@ -153,13 +154,27 @@ class Lexicon:
         self.rows = rows
 
 
+def labelled_texts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(text, toxic) of the rows of ``labelled(doc_id, toxic)``.
+
+    A bitmap of fixed size (at most ``BITS`` / 64 rows) holds their hashed ids,
+    and only texts that it lets through are shuffled; the join leaves out those
+    it should not have let through.  It is a merge join for few rows too: the
+    plan is the same at any size."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    word, bit = F.shiftright(slot, 6), F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    bitmap = labelled.select(word.alias("_word"), slot.alias("_slot")).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
+    near = texts(docs).withColumns({"_word": word, "_slot": slot}).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return near.select("doc_id", "text").join(labelled.hint("merge"), "doc_id").select("text", "toxic")
+
+
 def mine_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Stems that mark toxic rows, from all labelled rows that are not held out."""
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).where("toxic in (0, 1)").dropDuplicates(["doc_id"])
     named = texts(docs).select("doc_id", F.sha2("text", 256).alias("name")).join(known, "doc_id")
     once = named.groupBy("name", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()  # copies teach once
-    both = texts(docs).join(materialize(once, "labelled"), "doc_id").select("text", "toxic")
+    both = labelled_texts(docs, materialize(once, "labelled"))
     schema = pa.schema([("stem", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches):

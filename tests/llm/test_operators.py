@@ -408,6 +408,22 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert done == {r[0] for r in rows[:300] if "grumblo" not in r[1]}
 
 
+def test_toxicity_shuffles_the_labelled_texts_only(spark, monkeypatch):
+    """At any size of the label table, and with any size of the bitmap, the same rows."""
+    rows = [(i if i % 50 else None, f"text {i}") for i in range(2000)] + [(7, "text 7 again"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(0, 2000, 8)] + [(7, 0), (7, 1), (5000, 1), (None, 1), (8, 1)], "doc_id long, toxic int")
+    want = sorted(map(tuple, docs.selectExpr("doc_id", "coalesce(text, '') AS text").join(labelled, "doc_id").select("text", "toxic").collect()))
+    assert ("text 7", 1) in want and ("text 7 again", 0) in want and ("", 1) in want
+    for bits in (1 << 25, 64):
+        monkeypatch.setattr(toxicity, "BITS", bits)
+        got = toxicity.labelled_texts(docs, labelled)
+        assert sorted(map(tuple, got.collect())) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        above = plan[plan.index("SortMergeJoin"):]  # what is shuffled for the join has met the bitmap
+        assert "bit" in above and above.index("BroadcastHashJoin") > above.index("Exchange hashpartitioning")
+
+
 def test_pattern_voters_read_whole_texts():
     def fires(text):
         return toxicity.marks_of(text, toxicity.Marker({}))
