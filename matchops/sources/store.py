@@ -225,11 +225,13 @@ def _moved(spark: SparkSession, path: str, spec: Spec, live: Sequence, hit: Colu
 
 
 def read(spark: SparkSession, path: str, spec: Spec, where: Mapping[str, object] | None = None,
-         without: tuple[str, int] | None = None, versions: bool = False) -> DataFrame:
+         without: tuple[str, int] | None = None, versions: bool = False, only: DataFrame | None = None) -> DataFrame:
     """The newest row of every key.
 
     ``where`` gives wanted values by partition column: one value, or a list of
-    values.  ``without`` leaves an entry out (a batch that is being retried)."""
+    values.  ``without`` leaves an entry out (a batch that is being retried).
+    ``only`` has wanted values of some of the key columns: rows of other keys
+    are left out before versions are compared."""
     live = [e for e in entries(spark, path) if without is None or (e.writer, e.batch) != without]
     if not live:
         raise FileNotFoundError(f"nothing is published in {path}")
@@ -240,6 +242,8 @@ def read(spark: SparkSession, path: str, spec: Spec, where: Mapping[str, object]
         own = [e for e in own if any(p["values"][at] in texts for p in e.parts)]
         hit = hit & F.col(f"{_PART}{at}").isin(sorted(texts))
     rows = _read(spark, path, spec, own or live[-1:]).filter(hit)
+    if only is not None:
+        rows = rows.join(only, [c for c in spec.keys if c in only.columns], "left_semi")
     if not (len(own) == 1 and own[0].kind == "merge"):  # that one has a key once
         rows = _newest(rows, spec)
     if where and own and (moved := _moved(spark, path, spec, live, hit)) is not None:

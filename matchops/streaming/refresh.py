@@ -126,7 +126,7 @@ def _outliers(spark: SparkSession, base: str, touched: DataFrame, cfg: Config, b
     chosen = known.where((F.col("matches_played") >= cfg.z_min_matches) & extremes_fire(cfg)).withColumn(
         "bucket", _bucket()).select("player_id", "bucket", "mean_score", "std_score", "mean_kills", "std_kills")
     buckets = [r.bucket for r in chosen.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    rows = store.read(spark, f"{base}/history", HISTORY, where={"bucket": buckets})
+    rows = store.read(spark, f"{base}/history", HISTORY, where={"bucket": buckets}, only=chosen.select("player_id"))
     return rows.join(chosen, ["player_id", "bucket"]).select("player_id", "match_id", F.explode(stat_flags(cfg)).alias("f")).select(
         "player_id", "match_id", F.col("f.code").alias("stat_code"), F.col("f.observed").alias("z"), F.lit(batch).cast("long").alias("as_of"))
 
@@ -170,11 +170,23 @@ def top_slots(counts: dict[int, int], k: int) -> list[int]:
     return [*out, FLAGGED]
 
 
-def apply_batch(batch: DataFrame, number: int, base: str, writer: str, cfg: Config = DEFAULT, k: int = 100) -> dict:
-    """Take one batch into all tables; says what it touched."""
-    spark = batch.sparkSession
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Dealt out so that a task holds one or few buckets, and a bucket goes to
+    several tasks if there are more of them: about one file a task."""
+    tasks = max(BUCKETS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("match_id"), F.lit(tasks // BUCKETS)))
+
+
+def apply_batch(batch: DataFrame, number: int, base: str, writer: str, cfg: Config = DEFAULT, k: int = 100,
+                spark: SparkSession | None = None) -> dict:
+    """Take one batch into all tables; says what it touched.
+
+    Only the history is written by the session of the stream, which has no
+    adaptive execution and so a task and its files for each state partition,
+    however small.  All else reads tables, in the session ``spark``."""
+    spark = spark or batch.sparkSession
     columns = ["player_id", "match_id", "region", "score", "kills", "deaths", "ping", "match_duration_seconds"]
-    store.append(batch.select(*columns, _bucket().alias("bucket")), f"{base}/history", HISTORY, writer, number)
+    store.append(_by_bucket(batch.select(*columns, _bucket().alias("bucket"))), f"{base}/history", HISTORY, writer, number)
     fresh = store.batch_rows(spark, f"{base}/history", HISTORY, writer, number)
 
     if store.exists(spark, f"{base}/top") and fresh.isEmpty():  # a batch that only moves the watermark
@@ -214,7 +226,7 @@ def refresh_job(stream: DataFrame, base: str, checkpoint: str, trigger: dict, de
     """J5 + J6: keep z-scores and the first k of the board under ``base``."""
     writer = store.writer_of(checkpoint)
     once = plans.dedup_within_watermark(stream, delay)
-    query = once.writeStream.foreachBatch(lambda df, n: apply_batch(df, n, base, writer, cfg, k) and None)
+    query = once.writeStream.foreachBatch(lambda df, n: apply_batch(df, n, base, writer, cfg, k, stream.sparkSession) and None)
     return query.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 

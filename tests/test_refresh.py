@@ -97,6 +97,48 @@ def test_job_drops_copies_and_ranks_only_touched_slots(spark, monkeypatch):
     assert sum(r.n for r in store.read(spark, f"{base}/state/slots", refresh.SLOTS).collect()) == 8
 
 
+def test_files_do_not_multiply_with_shuffle_partitions(spark):
+    """A table has about a file for each of its folders, not one for each folder and state partition."""
+    base = work_dir(spark, "t-refresh")
+    rows = [(f"p{i % 200}", f"m{i}", "Sea", "Pc", 40, 10.0 * 2 ** (i % 5), 1, 1, 300, T0) for i in range(2000)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{base}/in/s0")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        stream = jobs.match_source(spark, f"{base}/in/*", spark.createDataFrame([], SCHEMA).schema)
+        refresh.refresh_job(stream, f"{base}/state", f"{base}/chk", {"availableNow": True}, "1 day", k=2).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def files(table):
+        return spark.read.parquet(f"{base}/state/{table}/data").inputFiles()
+
+    players = store.read(spark, f"{base}/state/players", refresh.PLAYERS)
+    assert len(files("history")) <= refresh.BUCKETS
+    assert len(files("players")) <= 4 * players.select("slot").distinct().count()
+    assert store.read(spark, f"{base}/state/history", refresh.HISTORY).count() == 2000 and players.count() == 200
+
+
+def test_a_bucket_goes_to_several_tasks_of_a_wide_shuffle(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "256")
+    try:
+        rows = spark.range(400).selectExpr("'p' AS player_id", "concat('m', id) AS match_id").withColumn("bucket", refresh._bucket())
+        assert 1 < refresh._by_bucket(rows).selectExpr("spark_partition_id() AS t").distinct().count() <= 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_outliers_compare_versions_of_wanted_players_only(spark):
+    base = work_dir(spark, "t-refresh")
+    for n, score in enumerate((1.0, 2.0)):
+        rows = [(p, "m", p and p[0], score) for p in ("a1", "a2", "b1", None)]
+        store.append(spark.createDataFrame(rows, "player_id string, match_id string, bucket string, score double"), base, refresh.HISTORY, "w", n)
+    only = spark.createDataFrame([("a1",), ("b1",)], "player_id string")
+    got = store.read(spark, base, refresh.HISTORY, where={"bucket": ["a"]}, only=only)
+    assert [(r.player_id, r.score) for r in got.collect()] == [("a1", 2.0)]
+
+
 def test_slots_rise_with_totals_and_reach_k():
     assert refresh.top_slots({5: 2, 9: 1, 7: 3, -1: 4}, 2) == [9, 7]
     assert refresh.top_slots({5: 2, 9: 0, -1: 4}, 3) == [5, -1]
