@@ -9,9 +9,12 @@ under limit i are then the first k of slots i, i+1, ... read downward (a
 suffix of one descending list), and a window's lower limit only cuts their
 tail.
 
-Rows stand in blocks of about ``BLOCK`` as matrices; anchors come in parts of
-about ``PART`` and meet every block once.  First the meetings give each
-anchor's positives, then, with the windows known, its negatives.
+Rows stand in blocks as matrices; anchors come in parts of about ``PART`` and
+meet every block once.  First the meetings give each anchor's positives, then,
+with the windows known, its negatives.  A block is followed by its parts in
+one sorted stream, so nothing is joined or broadcast, and a task holds one
+block and one part.  Blocks grow with the table (from ``BLOCK`` rows up to
+``MOST`` components), as every block gets a copy of every part.
 
 Contract: rows with a null id, label or vector, or with a null or non-finite
 component take no part; shorter vectors count as padded with zeros;
@@ -27,110 +30,209 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from matchops.llm.common import shuffle_width
 from matchops.session import materialize
 
-BLOCK, PART, SLICE = 4096, 512, 64
+BLOCK, PART, SLICE, CHUNK, SOME = 4096, 512, 64, 4096, 8
+BLOCKS, MOST, PENDING = 64, 1 << 22, 1 << 16
 LARGEST = 1 << 26
-EXACT_FLOAT = 1 << 53
+#: Sums below these sizes are exact in the type beside.
+EXACT = ((1 << 24, np.float32), (1 << 53, np.float64))
+NONE = np.iinfo(np.int64).min
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str, label: Column, scale: int) -> DataFrame:
-    """(row, vec_id, label, v array<int>) of the rows that take part, written
-    once: ``row`` tells rows apart that have the same id."""
-    x = F.col(vector_col).cast("array<double>")
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = F.transform(x, lambda c: F.floor(F.least(F.greatest(c * scale, F.lit(float(-LARGEST))), F.lit(float(LARGEST)))).cast("int"))
-    used = rows.where(F.col(id_col).isNotNull() & label.isNotNull() & F.col(vector_col).isNotNull() & finite)
-    return materialize(used.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"),
-                                   label.cast("long").alias("label"), whole.alias("v")), "vectors")
+    """(row, vec_id, label, v) of the rows that take part, written once:
+    ``row`` tells rows apart that have the same id, v holds 32-bit integers."""
+    v = F.col(vector_col)
+    if rows.select(v.alias("v")).dtypes[0][1] not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
+    used = rows.where(F.col(id_col).isNotNull() & label.isNotNull() & F.col(vector_col).isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), v.alias("v"))
+
+    def whole(batches):
+        for batch in batches:
+            v = batch.column("v")
+            x = pc.fill_null(v.values, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64)
+            cuts = v.offsets.to_numpy()
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])[cuts]
+            with np.errstate(over="ignore", invalid="ignore"):
+                ints = np.floor(np.clip(np.nan_to_num(x) * scale, -LARGEST, LARGEST)).astype("<i4")
+            bytewise = pa.BinaryArray.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(4 * cuts), pa.py_buffer(ints)])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "label")), bytewise], ["row", "vec_id", "label", "v"])
+            yield out.filter(pa.array(bad[1:] == bad[:-1]))
+
+    return materialize(used.mapInArrow(whole, "row long, vec_id long, label long, v binary"), "vectors")
+
+
+def _matrix(lists: list[np.ndarray], kind: str, empty: int) -> np.ndarray:
+    """The lists as rows of a matrix, filled up with ``empty``."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    out = np.full((len(sizes), int(sizes.max(initial=0))), empty, kind)
+    if len(lists):
+        out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate(lists)
+    return out
 
 
 def _packed(rows: DataFrame, into: str, size: int, name: str, extra: str = "") -> tuple[DataFrame, int]:
     """Rows dealt by hash into groups of about ``size``, and the number of
     groups: one row a group, with its columns as arrays of bytes in ascending
-    order of ids.  ``extra`` names an array<long> column that is kept as lists."""
+    order of labels and ids.  ``extra`` names an array<long> column that is
+    kept as a matrix."""
     groups = max(1, -(-rows.count() // size))
     columns = ["row", "vec_id", "label", "v", *([extra] if extra else [])]
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["vec_id", "row"])
-        width = max(map(len, pdf["v"]))
-        ints = np.zeros((len(pdf), width), "<i4")
-        for own, v in zip(ints, pdf["v"], strict=True):
-            own[:len(v)] = v
-        out = {into: [pdf[into].iloc[0]], "width": [width], "ints": [ints.tobytes()]}
-        out |= {f"{c}s": [pdf[c].to_numpy("<i8").tobytes()] for c in ("row", "vec_id", "label")}
-        return pd.DataFrame(out | ({extra: [[list(x) for x in pdf[extra]]]} if extra else {}))
-
-    ddl = f"{into} long, width int, ints binary, rows binary, vec_ids binary, labels binary" + (f", {extra} array<array<long>>" if extra else "")
+    def pack(table: pa.Table) -> pa.Table:
+        row, vec_id, label = (table[c].to_numpy() for c in ("row", "vec_id", "label"))
+        order = np.lexsort((row, vec_id, label))
+        ints = _matrix([np.frombuffer(v, "<i4") for v in table["v"].to_pylist()], "<i4", 0)[order]
+        out = {into: table[into].combine_chunks()[:1], "width": pa.array([ints.shape[1]], pa.int32()), "ints": [ints.tobytes()]}
+        out |= {f"{c}s": [x[order].astype("<i8").tobytes()] for c, x in (("row", row), ("vec_id", vec_id), ("label", label))}
+        if extra:
+            out[extra] = [_matrix([np.array(x, "<i8") for x in table[extra].to_pylist()], "<i8", NONE)[order].tobytes()]
+        return pa.table(out)
+
+    ddl = f"{into} long, width int, ints binary, rows binary, vec_ids binary, labels binary" + (f", {extra} binary" if extra else "")
     dealt = rows.select(*columns, F.pmod(F.xxhash64("row"), F.lit(groups)).alias(into))
-    return materialize(dealt.groupBy(into).applyInPandas(pack, ddl), name), groups
+    return materialize(dealt.groupBy(into).applyInArrow(pack, ddl), name), groups
+
+
+def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks of a table: ``BLOCKS`` of them, or more where these would
+    pass ``MOST`` components, or fewer where they would fall below ``BLOCK`` rows."""
+    n, width = rows.agg(F.count("*"), F.max(F.length("v"))).first()
+    return _packed(rows, "block", max(BLOCK, min(n // BLOCKS, MOST // max((width or 0) // 4, 1))), "blocks")
 
 
 class Rows:
-    """The rows of a block or part."""
+    """The rows of a block or part, in ascending order of labels and ids."""
 
     def __init__(self, packed: dict):
         self.rows, self.ids, self.labels = (np.frombuffer(packed[c], "<i8") for c in ("rows", "vec_ids", "labels"))
-        self.values = np.frombuffer(packed["ints"], "<i4").reshape(len(self.ids), packed["width"]).astype(np.int64)
+        self.values = np.frombuffer(packed["ints"], "<i4").reshape(len(self.ids), packed["width"])
         self.largest = int(np.abs(self.values).max(initial=0))
-        self.floats = self.values.astype(np.float64)
-
-    def scores(self, anchors: Rows) -> Iterator[tuple[int, np.ndarray]]:
-        """(number of the anchor, its exact scores with all rows)."""
-        width = min(self.values.shape[1], anchors.values.shape[1])
-        exact = width * self.largest * anchors.largest < EXACT_FLOAT
-        own, other = (self.floats, anchors.floats) if exact else (self.values, anchors.values)
-        for lo in range(0, len(anchors.ids), SLICE):
-            for i, scores in enumerate(other[lo:lo + SLICE, :width] @ own[:, :width].T, lo):
-                yield i, scores.astype(np.int64)
-
-
-def best_by_slot(scores: np.ndarray, limits: list[int], k: int) -> np.ndarray:
-    """Positions of the best k scores of every slot, smaller positions first
-    among equals; ``limits`` descend, the last slot has no end."""
-    parts = []
-    for j, upper in enumerate(limits):
-        lower = limits[j + 1] if j + 1 < len(limits) else None
-        inside = np.flatnonzero((scores <= upper) if lower is None else (scores <= upper) & (scores > lower))
-        if len(inside) > k:  # equals stand in order of ids
-            least = np.partition(scores[inside], len(inside) - k)[len(inside) - k]
-            sure, ties = inside[scores[inside] > least], inside[scores[inside] == least]
-            inside = np.concatenate([sure, ties[:k - len(sure)]])
-        parts.append(inside)
-    return np.concatenate(parts)
+        self.extra = packed.get("limits") and np.frombuffer(packed["limits"], "<i8").reshape(len(self.ids), -1)
+        self.kinds: dict[type, np.ndarray] = {}
+
+    def of(self, kind: type) -> np.ndarray:
+        if kind not in self.kinds:
+            self.kinds[kind] = self.values.astype(kind)
+        return self.kinds[kind]
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        """First and last position of every label."""
+        cuts = np.flatnonzero(self.labels[1:] != self.labels[:-1]) + 1
+        yield from zip([0, *cuts], [*cuts, len(self.labels)], strict=True)
+
+    def span(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows of the labels stand."""
+        return np.searchsorted(self.labels, labels, "left"), np.searchsorted(self.labels, labels, "right")
+
+
+def slots_of(scores: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The slot of every score, below 0 above all limits; ``limits`` descend
+    (a row for every score, or one for all), the last slot has no end."""
+    return (scores[:, None] <= limits).sum(axis=1) - 1
+
+
+def best_by_slot(scores: np.ndarray, limits: list[int] | np.ndarray, k: int, ids: np.ndarray | None = None,
+                 anchors: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the best k scores of every slot of every anchor, smaller
+    ids (without ids: smaller positions) first among equals, by anchor, slot
+    and falling scores; ``limits`` as in ``slots_of``."""
+    limits = np.atleast_2d(np.array(limits, np.int64))
+    slots = slots_of(scores, limits)
+    inside = np.flatnonzero(slots >= 0)
+    group = slots[inside] + (0 if anchors is None else anchors[inside] * limits.shape[1])
+    order = np.lexsort(((inside if ids is None else ids[inside]), -scores[inside], group))
+    group = group[order]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[:len(group)])
+    nth = np.arange(len(group)) - np.repeat(first, np.diff([*first, len(group)]))
+    return inside[order[nth < k]]
+
+
+class Asked:
+    """What some anchors ask of a block: of each the best ``k`` scores of every
+    slot that are ``least`` or more, without those of its ``barred`` positions."""
+
+    def __init__(self, anchors: Rows, picked: slice, limits: np.ndarray, least: np.ndarray, barred: tuple[np.ndarray, np.ndarray], k: int):
+        self.anchors, self.picked, self.limits, self.least, self.barred, self.k = anchors, picked, limits, least, barred, k
+        self.last = (limits > NONE).sum(axis=1) - 1
+
+    def _scores(self, own: np.ndarray, rows: np.ndarray, start: int, end: int, step: int, lowest: float) -> np.ndarray:
+        """Scores with every ``step``-th row, those of barred positions ``lowest``."""
+        scores = own @ rows[start:end:step].T
+        from_, to = (np.clip(-((start - x) // step), 0, scores.shape[1]) for x in self.barred)
+        for i in np.flatnonzero(from_ < to).tolist():
+            scores[i, from_[i]:to[i]] = lowest
+        return scores
+
+    def best(self, block: Rows, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the anchor, slot, position, score) of those among the
+        positions ``start`` to ``end``.  The lowest slot takes most scores: the
+        ``k``-th of its scores with some of the rows is the least that can
+        still count, so few of the others have to be put in order."""
+        width = min(block.values.shape[1], self.anchors.values.shape[1])
+        kind = next((t for limit, t in EXACT if width * block.largest * self.anchors.largest < limit), np.int64)
+        own, rows = self.anchors.of(kind)[self.picked, :width], block.of(kind)[:, :width]
+        lowest = NONE if kind is np.int64 else -np.inf
+        floor, limit = self.least.astype(kind), self.limits[np.arange(len(own)), self.last].astype(kind)
+        some = self._scores(own, rows, start, end, SOME, lowest)
+        if (n := some.shape[1]) >= self.k:
+            low = np.where(some <= limit[:, None], some, lowest)
+            floor = np.maximum(floor, np.partition(low, n - self.k, axis=1)[:, n - self.k])
+        pending, size = [np.zeros((3, 0), np.int64)], 0
+        for at in range(start, end, CHUNK):
+            scores = self._scores(own, rows, at, min(at + CHUNK, end), 1, lowest)
+            found = np.flatnonzero(scores >= floor[:, None])
+            anchor, position = np.divmod(found, scores.shape[1])
+            pending.append(np.stack([anchor, position + at, scores.ravel()[found].astype(np.int64)]))
+            size += len(found)
+            if size > PENDING or at + CHUNK >= end:
+                anchor, position, score = np.concatenate(pending, axis=1)
+                kept = best_by_slot(score, self.limits[anchor], self.k, block.ids[position], anchor)
+                anchor, position, score = pending[0] = np.stack([anchor, position, score])[:, kept]
+                pending, size = pending[:1], 0
+                low = slots_of(score, self.limits[anchor]) == self.last[anchor]
+                counts = np.bincount(anchor[low], minlength=len(floor))
+                full = counts == self.k
+                floor[full] = score[low][np.cumsum(counts)[full] - 1]
+        anchor, position, score = pending[0]
+        return anchor + self.picked.start, slots_of(score, self.limits[anchor]), position, score
 
 
 _FOUND = pa.schema([("anchor", pa.int64()), ("slot", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _meetings(index: tuple[DataFrame, int], parts: DataFrame, choose: Callable[[Rows, int, Rows, np.ndarray, dict], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Every part with every block: ``choose`` gives the positions and slots
-    of the rows that an anchor keeps of a block."""
+def _meetings(index: tuple[DataFrame, int], parts: DataFrame, choose: Callable[[Rows, Rows], Iterator[tuple]]) -> DataFrame:
+    """Every part with every block: ``choose`` gives numbers of anchors, and
+    the slots, positions and scores that they keep of a block."""
     blocks, n = index
-    asked = parts.select(F.struct(*parts.columns).alias("asked"), F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("block"))
-    met = asked.join(blocks, "block").select("asked", *[c for c in blocks.columns if c != "block"])
+    asked = (parts.repartition(shuffle_width(parts.sparkSession), "part")  # few files hold all parts, and each part is written n times
+             .withColumn("block", F.explode(F.expr(f"sequence(0L, {n - 1}L)"))))
+    lined = (asked.unionByName(blocks, allowMissingColumns=True)
+             .repartition(n, "block").sortWithinPartitions("block", F.asc_nulls_first("part")))
 
     def search(batches):
+        number = block = None
         for batch in batches:
             for at in range(batch.num_rows):
                 one = {n: batch.column(n)[at].as_py() for n in batch.schema.names}
-                block, anchors = Rows(one), Rows(one["asked"])
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for i, scores in block.scores(anchors):
-                    kept, slots = choose(anchors, i, block, scores, one["asked"])
-                    for column, values in zip(out, (np.full(len(kept), anchors.rows[i]), slots, block.ids[kept], scores[kept]), strict=True):
-                        column.append(values)
-                arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(arrays, _FOUND, strict=True)], schema=_FOUND)
+                if one["part"] is None:
+                    number, block = one["block"], Rows(one)
+                elif one["block"] == number:  # a number may have no rows
+                    anchors = Rows(one)
+                    for anchor, slot, position, score in choose(anchors, block):
+                        columns = anchors.rows[anchor], slot, block.ids[position], score
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
-    return met.mapInArrow(search, "anchor long, slot int, vec_id long, score long")
+    return lined.mapInArrow(search, "anchor long, slot int, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -142,10 +244,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def positives(index: tuple[DataFrame, int], anchors: DataFrame, n: int) -> DataFrame:
     """(anchor, nth, vec_id, score): the first ``n`` other rows of the anchor's label."""
 
-    def choose(anchors, i, block, scores, _):
-        same = np.flatnonzero((block.labels == anchors.labels[i]) & (block.ids != anchors.ids[i]))
-        kept = same[best_by_slot(scores[same], [np.iinfo(np.int64).max], n)] if len(same) else same
-        return kept, np.zeros(len(kept), np.int64)
+    def choose(anchors, block):
+        for first, end in anchors.groups():
+            start, stop = (int(x) for x in block.span(anchors.labels[first]))
+            for lo in range(first, end if start < stop else first, SLICE):
+                own = slice(lo, min(lo + SLICE, end))
+                barred = tuple(np.searchsorted(block.ids[start:stop], anchors.ids[own], side) + start for side in ("left", "right"))
+                size = own.stop - lo
+                yield Asked(anchors, own, np.full((size, 1), np.iinfo(np.int64).max), np.full(size, NONE + 1), barred, n).best(block, start, stop)
 
     return _best(_meetings(index, _packed(anchors, "part", PART, "anchors")[0], choose), n).drop("slot")
 
@@ -156,7 +262,7 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = 5, k: int = 10, lo
     another label whose score is ``low`` to ``high`` hundredths of the
     positive's.  ``rows`` comes from ``quantised``."""
     chosen = materialize(rows.where(anchors), "chosen")
-    index = _packed(rows, "block", BLOCK, "blocks")
+    index = _blocks(rows)
     score = "CAST(score AS DECIMAL(20,0))"
     found = materialize(positives(index, chosen, n_positives).select(
         "anchor", "nth", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"),
@@ -164,14 +270,16 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = 5, k: int = 10, lo
         F.expr(f"CAST(floor({score} * {high} / 100) AS LONG)").alias("upper")).where("lower <= upper"), "positives")
     windows = found.groupBy("anchor").agg(
         F.sort_array(F.collect_set("upper"), asc=False).alias("limits"), F.min("lower").alias("least"))
-    asking = chosen.join(windows, chosen["row"] == windows["anchor"]).select(
+    # vectors stay where they are, whatever their files' size says
+    asking = chosen.join(windows.hint("merge"), chosen["row"] == windows["anchor"]).select(
         "row", "vec_id", "label", "v", F.concat(F.array("least"), "limits").alias("limits"))
 
-    def choose(anchors, i, block, scores, asked):
-        least, *limits = asked["limits"][i]
-        other = np.flatnonzero((block.labels != anchors.labels[i]) & (scores <= limits[0]) & (scores >= least))
-        kept = other[best_by_slot(scores[other], limits, k)] if len(other) else other
-        return kept, len(limits) - np.searchsorted(np.array(limits[::-1]), scores[kept]) - 1
+    def choose(anchors, block):
+        barred = block.span(anchors.labels)
+        for lo in range(0, len(anchors.ids), SLICE):
+            own = slice(lo, min(lo + SLICE, len(anchors.ids)))
+            least, limits = anchors.extra[own, 0], anchors.extra[own, 1:]
+            yield Asked(anchors, own, limits, least, tuple(x[own] for x in barred), k).best(block, 0, len(block.ids))
 
     slots = _best(_meetings(index, _packed(materialize(asking, "asking"), "part", PART, "windows", "limits")[0], choose), k)
     # every slot has k rows at most: one descending list an anchor, of which each window takes the first k

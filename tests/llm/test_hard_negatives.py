@@ -74,3 +74,49 @@ def test_slots_hold_the_best_of_disjoint_scores():
     assert hard_negatives.best_by_slot(scores, [8, 5], 2).tolist() == [5, 0, 6]
     assert hard_negatives.best_by_slot(scores, [9], 2).tolist() == [1, 2]
     assert hard_negatives.best_by_slot(scores, [0], 2).tolist() == []
+
+
+def test_no_side_of_a_meeting_is_joined_or_broadcast(spark, monkeypatch):
+    """A copy of every part goes to every block, more than a file's size tells."""
+    plans, best = [], hard_negatives._best
+
+    def watched(found, k):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return best(found, k)
+
+    monkeypatch.setattr(hard_negatives, "_best", watched)
+    rows = awkward(5)
+    assert mined(spark, rows) == brute(rows, lambda i: i % 4 == 0, 5, 10, 30, 90, 256)
+    assert len(plans) == 2
+    assert not [p for p in plans if "Broadcast" in p or "Join" in p]
+
+
+def in_rows(values, ids, labels):
+    order = np.lexsort((ids, labels))
+    return hard_negatives.Rows({"width": values.shape[1], "ints": values[order].astype("<i4").tobytes()} | {
+        name: x[order].astype("<i8").tobytes() for name, x in (("rows", np.arange(len(ids))), ("vec_ids", ids), ("labels", labels))})
+
+
+def test_a_block_in_many_chunks(monkeypatch):
+    for name, value in (("CHUNK", 7), ("PENDING", 20), ("SOME", 3)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = np.random.default_rng(6)
+    for factor in (1, 3000, 1 << 24):  # sums exact as float32, float64, int64
+        block = in_rows(rng.integers(-3, 4, (90, 3)) * factor, rng.permutation(90), rng.integers(0, 4, 90))
+        anchors = in_rows(rng.integers(-3, 4, (6, 3)) * factor, np.arange(100, 106), rng.integers(0, 5, 6))
+        unit = factor * factor
+        limits = np.array([[9, 4, -2], [20, 3, hard_negatives.NONE], [2, 1, 0], [0, hard_negatives.NONE, hard_negatives.NONE], [5, 4, 3], [-4, -6, -8]])
+        limits = np.where(limits > hard_negatives.NONE, limits * unit, limits)
+        least = np.array([-9, -30, 0, -2, 1, -20]) * unit
+        barred = block.span(anchors.labels)
+        own = slice(2, 6)
+        found = hard_negatives.Asked(anchors, own, limits[own], least[own], tuple(x[own] for x in barred), 4).best(block, 0, 90)
+        scores = anchors.values.astype(object) @ block.values.astype(object).T
+        expected = []
+        for i in range(2, 6):
+            bounds = [x for x in limits[i].tolist() if x > hard_negatives.NONE]
+            for slot, upper in enumerate(bounds):
+                lower = bounds[slot + 1] + 1 if slot + 1 < len(bounds) else least[i]
+                inside = [(-s, block.ids[p], p) for p, s in enumerate(scores[i]) if max(lower, least[i]) <= s <= upper and block.labels[p] != anchors.labels[i]]
+                expected += [(i, slot, p, -s) for s, _, p in sorted(inside)[:4]]
+        assert sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted(expected)
