@@ -270,7 +270,7 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = 5, k: int = 10, lo
         F.expr(f"CAST(floor({score} * {high} / 100) AS LONG)").alias("upper")).where("lower <= upper"), "positives")
     windows = found.groupBy("anchor").agg(
         F.sort_array(F.collect_set("upper"), asc=False).alias("limits"), F.min("lower").alias("least"))
-    # vectors stay where they are, whatever their files' size says
+    # merge joins: a table's files are far smaller than its rows on the driver
     asking = chosen.join(windows.hint("merge"), chosen["row"] == windows["anchor"]).select(
         "row", "vec_id", "label", "v", F.concat(F.array("least"), "limits").alias("limits"))
 
@@ -287,6 +287,6 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = 5, k: int = 10, lo
         F.struct((-F.col("score")).alias("below"), F.col("vec_id").alias("negative_id")))).alias("list"))
     inside = F.slice(F.filter("list", lambda x: (-x["below"] <= F.col("upper")) & (-x["below"] >= F.col("lower"))), 1, k)
     ids = chosen.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))
-    out = found.join(lists, "anchor").join(ids, "anchor").select("anchor_id", "positive_id", "positive_score", F.posexplode(inside).alias("pos", "x"))
+    out = found.join(lists.hint("merge"), "anchor").join(ids.hint("merge"), "anchor").select("anchor_id", "positive_id", "positive_score", F.posexplode(inside).alias("pos", "x"))
     return out.select("anchor_id", "positive_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.negative_id", "positive_score",
                       (-F.col("x.below")).alias("negative_score"))
